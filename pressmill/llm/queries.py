@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from .chat import op7_chat_format
 from .decontaminate import OP9_SQL, op9_decontaminate
 from .language_id import op4_language_id
 from .line_dedup import OP1_SQL, op1_line_dedup
+from .lm_scoring import op8_lm_scoring
 from .near_dedup import op5_near_dedup
 from .packing import op6_packing
+from .pii import op10_pii
 from .sharding import op2_sharding
 from .simhash import op3_simhash
 
@@ -17,6 +20,9 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_near_dedup": op5_near_dedup,
     "op6_packing": op6_packing,
+    "op7_chat_format": op7_chat_format,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_decontaminate": op9_decontaminate,
+    "op10_pii": op10_pii,
 }
 ORACLES = {"op1_line_dedup": OP1_SQL, "op9_decontaminate": OP9_SQL}

@@ -2,27 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ASCII_SPACE = " \t\n\x0b\x0c\r"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+from ..work import table, work_dir
 
+__all__ = ["ascii_lower", "columns", "components", "forget", "let", "save", "table", "work_dir"]
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = getattr(spark, "_pressmill_work", None)
-        if not at:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            at = tempfile.mkdtemp(prefix="pressmill-")
-            spark._pressmill_work = at
-    return at.rstrip("/")
+ASCII_SPACE = " \t\n\x0b\x0c\r"
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def save(df: DataFrame, tag: str) -> DataFrame:
@@ -43,10 +33,6 @@ def forget(df: DataFrame) -> None:
         p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def columns(df: DataFrame) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 

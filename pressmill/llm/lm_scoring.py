@@ -257,9 +257,9 @@ def score_documents(docs: DataFrame, vocabulary: str | None = None, rounds: int
         p = (e + PRIOR * prior) / (e.sum() + PRIOR)
     stop = (ends + 1) / (n + 2)
     weighed = save(words.mapInArrow(_weigh(data, with_none(p), n, v, stop), "word binary, c bigint, score double"), "weighed")
-    needed = ranged.select("rng", "word").distinct().join(weighed, "word").select("rng", "word", "c", "score")
-    out = docs.groupBy("rng").cogroup(needed.groupBy("rng")).applyInArrow(_score(n, v), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     forget(words)
+    needed = ranged.select("rng", "word").join(weighed, "word").select("rng", "word", "c", "score")  # a range's repeats meet in _score
+    out = docs.groupBy("rng").cogroup(needed.groupBy("rng")).applyInArrow(_score(n, v), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 

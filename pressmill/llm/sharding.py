@@ -1,7 +1,8 @@
 """Sharding by balanced label propagation.
 
 Nodes are documents, links join those that should share a shard (in the query: each document with the hub of its group of
-equal texts; a group larger than a shard has as many hubs as it needs shards). Linked documents start in hashed shards and
+equal texts). A group larger than a shard cannot share one; it is cut by capacity first, into as few shards as hold it, and
+what it takes comes off their quotas. All other linked documents start in hashed shards, in proportion to the quotas, and
 move in rounds: joins bring each node its neighbours' shards, it asks for the one that most of them are in among those with
 room, and requests are granted bucket by bucket while the target's quota lasts. Local minima of the links and all other
 nodes take turns, so two neighbours never swap places. Unlinked documents are ballast: after the last round they fill what is
@@ -31,7 +32,10 @@ def propagate(nodes: DataFrame, links: DataFrame, quota: list[int], rounds: int
     both = save(links.where("a <> b").select("a", "b").unionAll(links.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
     low = both.groupBy("a").agg(F.min("b").alias("low"))
     state = nodes.join(low, nodes["node"] == low["a"], "left").select("node", F.least("node", F.coalesce("low", "node")).alias("anchor"))
-    state = save(state.withColumns({"minimum": F.col("anchor") == F.col("node"), "bucket": F.pmod(F.xxhash64("anchor"), F.lit(buckets)).cast("int"), "shard": F.pmod(F.xxhash64("node", F.lit(0)), F.lit(n)).cast("int")}), "state")
+    dealt, start, at = F.pmod(F.xxhash64("node", F.lit(0)), F.lit(max(1, sum(quota)))), F.lit(n - 1), sum(quota)
+    for s in reversed(range(n)):
+        start, at = F.when(dealt >= at, start).otherwise(s), at - quota[s]
+    state = save(state.withColumns({"minimum": F.col("anchor") == F.col("node"), "bucket": F.pmod(F.xxhash64("anchor"), F.lit(buckets)).cast("int"), "shard": start.cast("int")}), "state")
     idle = 0
     for r in range(rounds):
         load = dict(state.groupBy("shard").count().collect())
@@ -70,6 +74,29 @@ def propagate(nodes: DataFrame, links: DataFrame, quota: list[int], rounds: int
     return state.select("node", "shard")
 
 
+def _cut_large(linked: DataFrame, large: list[tuple[bytes, int]], quota: list[int]) -> tuple[DataFrame | None, list[int]]:
+    """Groups larger than a shard: (node, shard), by the share of the group's hashes that each shard takes; what is left of
+    the quotas. Shards are filled to 95 percent, as hashes fall unevenly, unless these groups need more."""
+    if not large:
+        return None, quota
+    level = max(0.95, sum(n for _, n in large) / max(1, sum(quota)))
+    room, s, cuts = [q * level for q in quota], 0, []
+    for g, n in large:
+        left = float(n)
+        while left > 1e-9:
+            take = min(left, room[s]) if s < len(room) - 1 else left
+            left, room[s] = left - take, room[s] - take
+            cuts.append((g, 1 - left / n, s))
+            s += room[s] <= 1e-9 and s < len(room) - 1
+    spark = linked.sparkSession
+    table_ = spark.createDataFrame(cuts, "g binary, upto double, shard int").groupBy("g").agg(F.sort_array(F.collect_list(F.struct("upto", "shard"))).alias("cuts"))
+    share = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
+    at = F.get(F.filter("cuts", lambda c: share < c["upto"]), F.lit(0))
+    spread = save(linked.join(F.broadcast(table_), "g").select("node", F.coalesce(at["shard"], F.lit(len(quota) - 1)).alias("shard")), "large")  # large: below the number of shards
+    taken = dict(spread.groupBy("shard").count().collect())
+    return spread, [max(0, q - taken.get(k, 0)) for k, q in enumerate(quota)]
+
+
 def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of each of docs (doc_id, text)."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
@@ -78,11 +105,15 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     total = rows.count()
     quota = [total // shards + (s < total % shards) for s in range(shards)]
     groups = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    chunks = F.ceil(F.col("n") / F.lit(max(1, int(0.9 * quota[-1])))).cast("long")
-    linked = save(rows.select("node", "g").join(groups, "g").select("node", "g", F.when(F.col("n") > quota[-1], F.pmod(F.xxhash64("node", F.lit(7)), chunks)).otherwise(0).alias("chunk")), "linked")
-    hubs = linked.groupBy("g", "chunk").agg(F.min("node").alias("hub"))
-    links = linked.join(hubs, ["g", "chunk"]).select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    placed = propagate(linked.select("node"), links, quota, rounds)
+    linked = save(rows.select("node", "g").join(groups, "g").select("node", "g", "n"), "linked")
+    large = groups.where(F.col("n") > quota[-1]).orderBy(F.desc("n"), "g").collect()  # fewer than there are shards
+    spread, quota_left = _cut_large(linked.where(F.col("n") > quota[-1]), [(bytes(r["g"]), r["n"]) for r in large], quota)
+    small = linked.where(F.col("n") <= quota[-1])
+    hubs = small.groupBy("g").agg(F.min("node").alias("hub"))
+    links = small.join(hubs, "g").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    placed = propagate(small.select("node"), links, quota_left, rounds)
+    if spread is not None:
+        placed = placed.unionByName(spread)
     # ranks without a window over all rows of a shard: within ranges of hashed nodes, plus the counts of the ranges before
     ranges = max(1, total // ROWS_A_RANK)
     kind = rows.join(placed, "node", "left").select("node", "doc_id", "size", "text_crc32", F.coalesce("shard", F.lit(-1)).alias("kind"), F.pmod(F.xxhash64("node", F.lit(9)), F.lit(ranges)).cast("int").alias("rng"))

@@ -76,7 +76,7 @@ def test_sharding_law_and_groups(spark, tables):
     for d, s in zip(out.doc_id, out.shard, strict=True):
         where[text[d]].add(s)
     split = sum(len(s) > 1 for t, s in where.items() if t.startswith("pair"))
-    assert split <= 10 and len(where["hot"]) <= 14  # 200 of 600 rows need 8 of 24 shards at least
+    assert split <= 10 and len(where["hot"]) <= 11  # 200 of 600 rows need 8 of 24 shards at least
 
 
 def test_propagation_follows_links(spark):
@@ -238,7 +238,7 @@ def test_packing_over_several_rounds(spark):
     out = packing.pack(spark.createDataFrame(rows, packing.PIECES), node_pieces=100, fan=3).toPandas()
     assert sorted(zip(out.doc_id, out.length, strict=True)) == [(i, n) for i, _, _, n, _ in rows]
     assert out.groupby("sequence_id").length.sum().max() <= 1024
-    assert out.sequence_id.nunique() <= 1.02 * sum(r[3] for r in rows) / 1024
+    assert out.sequence_id.nunique() <= 1.04 * len(packing.best_fit(np.array([r[3] for r in rows]), 1024)[0])
 
 
 def test_both_vocabulary_files_give_the_same_ids():

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -15,10 +15,15 @@ from ..functions.text import strip_isbn, trim_all
 RSS_ITEM = "title string, link string, description string, `content:encoded` string, isoDate string, pubDate string"
 
 
+def mail_date(c: Column) -> Column:
+    """A mail date without its day of the week, and with a numeric zone."""
+    return F.regexp_replace(F.regexp_replace(F.trim(c), "^[A-Za-z]+,\\s*", ""), "(?:GMT|UTC|UT|Z)$", "+0000")
+
+
 def rss(spark: SparkSession, paths: Sequence[str], feed: str | None = None) -> DataFrame:
     """Items of landed RSS files: feed, title, link, snippet, content, iso_ts. The feed's name, or the file it came from."""
     raw = spark.read.format("xml").option("rowTag", "item").option("mode", "PERMISSIVE").option("ignoreCorruptFiles", "true").schema(RSS_ITEM).load(",".join(paths))
-    at = F.coalesce(F.try_to_timestamp("isoDate"), F.try_to_timestamp("pubDate", F.lit("EEE, dd MMM yyyy HH:mm:ss Z")))
+    at = F.coalesce(F.try_to_timestamp("isoDate"), F.try_to_timestamp(mail_date(F.col("pubDate")), F.lit("d MMM yyyy HH:mm:ss Z")))
     name = F.lit(feed) if feed else F.regexp_extract(F.col("_metadata.file_path"), "([^/]*)$", 1)
     return raw.select(name.alias("feed"), "title", "link", F.col("description").alias("snippet"), F.coalesce("`content:encoded`", "description").alias("content"), at.cast("timestamp_ntz").alias("iso_ts")).where("link IS NOT NULL")
 

@@ -35,7 +35,7 @@ def sf():
 
 
 def plain(value):
-    if value is None or value != value or str(value) in ("nan", "NaT", "<NA>"):
+    if value is None or str(value) in ("nan", "NaT", "<NA>"):
         return None
     if isinstance(value, bool) or type(value).__name__ == "bool_":
         return bool(value)

@@ -13,6 +13,7 @@ from ..functions.text import escape_brackets, host, json_object, page_body, shor
 from ..operators import books as B
 from ..operators import news as N
 from ..sources import rulepacks as R
+from ..work import save
 
 
 def headlines(articles: DataFrame, posted: DataFrame, metrics: DataFrame, as_of: Column, pack=None, exclusion: Sequence[str] = R.EXCLUSION, k: int = 3) -> DataFrame:
@@ -20,11 +21,15 @@ def headlines(articles: DataFrame, posted: DataFrame, metrics: DataFrame, as_of:
     fresh = N.not_in(articles.where(N.recent(F.col("iso_ts"), as_of, 24)), posted, "link")
     scored = N.dynamic_score(N.score_news(fresh, pack, exclusion), metrics)
     order = [F.desc("final_score"), F.desc("iso_ts"), F.col("ord")]
-    from pyspark.sql.window import Window
-
-    ranked = scored.withColumn("place", F.row_number().over(Window.orderBy(*order)))  # the day's scored articles
-    lead = N.leaders(ranked.select(F.col("place").alias("ord"), F.lower("title").alias("title")))
-    kept = ranked.join(lead.select(F.col("ord").alias("_place")), ranked["place"] == F.col("_place"), "left_semi")
+    scored, first = save(scored, "scored"), 64
+    while True:
+        # whether a title leads depends on better ones only, so the best few are enough once they hold k leaders
+        best = N.top(scored, first, *order).withColumnRenamed("rank", "place")
+        lead = save(N.leaders(best.select(F.col("place").alias("ord"), F.lower("title").alias("title"))), "leaders")
+        if lead.count() >= k or first >= scored.count():
+            break
+        first *= 4
+    kept = best.join(lead, best["place"] == lead["ord"], "left_semi")
     return N.top(kept, k, *order).select("rank", "ord", "title", "link", "score", "final_score", "label")
 
 

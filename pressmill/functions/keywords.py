@@ -52,9 +52,16 @@ def count_matches(text: Column, words: Sequence[str]) -> Column:
 
 def points(text: Column, rules: Sequence[tuple[str, int, Sequence[str]]], hit=contains_any) -> tuple[Column, Column]:
     """(score, categories): the points of each category that hits, once; the categories in the order of the rules."""
-    flags = [(name, worth, hit(text, words)) for name, worth, words in rules]
-    score = reduce(lambda a, b: a + b, [F.when(f, F.lit(worth)).otherwise(0) for _, worth, f in flags], F.lit(0))
-    return score.cast("int"), F.array_compact(F.array(*(F.when(f, F.lit(name)) for name, _, f in flags)))
+
+    def judged(seen: Column) -> Column:
+        flags = [(name, worth, F.get(seen, F.lit(i))) for i, (name, worth, _) in enumerate(rules)]
+        score = reduce(lambda a, b: a + b, [F.when(f, F.lit(worth)).otherwise(0) for _, worth, f in flags], F.lit(0))
+        return F.struct(score.cast("int").alias("score"), F.array_compact(F.array(*(F.when(f, F.lit(name)) for name, _, f in flags))).alias("cats"))
+
+    # lambda variables hold the text and the flags, so neither is worked out once for each keyword
+    seen = F.get(F.transform(F.array(text), lambda t: F.array(*(F.coalesce(hit(t, words), F.lit(False)) for _, _, words in rules))), F.lit(0))
+    out = F.get(F.transform(F.array(seen), judged), F.lit(0))
+    return out["score"], out["cats"]
 
 
 def distinct_words(words: Sequence[str], limit: int | None = None) -> list[str]:

@@ -80,7 +80,7 @@ def base_spans(text: str) -> list[Span]:
 # --- regions and segments
 
 TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|[^\W\d_]+|[\s\S]")
-ACTIVE = re.compile(r"\S*[0-9@]\S*(?:\x20\S*[0-9@]\S*)*")
+ACTIVE = re.compile(r"(?<!\S)\S*[0-9@]\S*(?:\x20\S*[0-9@]\S*)*")  # starts at words only, so that no word is read twice
 CUES = {w: k for k, ws in {"phone": "tel telephone phone call mobile cell fax whatsapp sms", "email": "mail email contact write", "card": "card visa mastercard amex credit debit", "ip": "ip host server address"}.items() for w in ws.split()}
 #: Digit groups in which the kinds are usually written.
 FORMS = {"3-3-4": "phone", "1-3-3-4": "phone", "2-4-4": "phone", "2-3-3-3": "phone", "2-2-2-2-2": "phone", "4-4-4-4": "card", "4-6-5": "card", "4-4-4-4-3": "card"}
@@ -156,10 +156,23 @@ class SemiCRF:
         return sum(self.w.get(x, 0.0) for x in f)
 
     def decode(self, text: str, a: int, b: int, fixed: list[tuple[int, int]]) -> list[Span]:
+        """The added spans of text[a:b]; fixed: base spans there, by start."""
         cuts = _tokens(text, a, b)
-        if len(cuts) > REGION + 1:
-            at = next((c for c in reversed(cuts[1 : REGION + 1]) if text[c] == " "), cuts[REGION])
-            return self.decode(text, a, at, fixed) + self.decode(text, at, b, fixed)
+        out, i, lo = [], 0, 0
+        while i < len(cuts) - 1:
+            j = len(cuts) - 1
+            if j - i > REGION:
+                j = next((k for k in range(i + REGION, i, -1) if text[cuts[k]] == " "), i + REGION)
+            while lo < len(fixed) and fixed[lo][1] <= cuts[i]:
+                lo += 1
+            hi = lo
+            while hi < len(fixed) and fixed[hi][0] < cuts[j]:
+                hi += 1
+            out += self._piece(text, cuts[i : j + 1], fixed[lo:hi])
+            i = j
+        return out
+
+    def _piece(self, text: str, cuts: list[int], fixed: list[tuple[int, int]]) -> list[Span]:
         arcs = self.arcs(text, cuts, fixed)
         if not arcs:
             return []

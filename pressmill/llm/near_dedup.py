@@ -3,11 +3,12 @@
 A document's set is its distinct 5-word shingles, hashed to 64 bits; its sketch is the SKETCH smallest values. Documents with
 equal sets are one representative. Inverted lists of retained values bring representatives together: each goes into the lists
 of its rarest values only, as many as a pair at the threshold must touch (prefix filter: two sketches that share c of k values
-share one of either's k - c + 1 rarest). Lists that overlap form families. A family is cut into blocks of BLOCK shingles, and
-each pair of blocks is one task: overlaps of sketches estimate the similarity of all its pairs and filter them, exact
+share one of either's k - c + 1 rarest). Lists that overlap form families. A family is cut into blocks of BLOCK shingles, a
+document counting as LIGHT at least, which bounds the documents of a block too; each pair of blocks is one task: overlaps of sketches estimate the similarity of all its pairs and filter them, exact
 intersections of the full sets verify the rest, and a spanning forest of the links found is emitted, never all pairs.
 
-LEAST is the overlap that a pair at the threshold has in its sketches with all but about 1e-10 of probability.
+least_sketch is the overlap that a pair at the threshold has in its sketches with all but about 1e-10 of probability. Where the
+smaller set is its own sketch, the overlap is at least LEAST_SMALL with certainty, for thresholds of 75 percent or more.
 
 Defined results: documents without words are linked with nothing; null doc_ids are linked with nothing and kept; rows with
 one doc_id and one set are one document. An empty table gives no rows.
@@ -16,6 +17,7 @@ one doc_id and one set are one document. An empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import components, forget, save, table
 
-WORDS, PERCENT, SKETCH, LEAST, LEAST_SMALL, BLOCK = 5, 85, 48, 22, 32, 200_000
+WORDS, PERCENT, SKETCH, LEAST_SMALL, BLOCK, LIGHT = 5, 85, 48, 32, 200_000, 100
 P1, P2, P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -60,8 +62,18 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sketch, pa.list_(pa.int64()))], names=["doc_id", "n", "fa", "fb", "sketch"])
 
 
-def least_overlap(n: int) -> int:
-    return LEAST if n > SKETCH else min(LEAST_SMALL, -(-PERCENT * n // 100))
+def least_sketch(percent: int, missed: float = 1e-10) -> int:
+    """The largest overlap that SKETCH draws, each shared with a chance of percent, stay below with a chance of `missed`."""
+    p, below = percent / 100, 0.0
+    for t in range(SKETCH + 1):
+        below += comb(SKETCH, t) * p**t * (1 - p) ** (SKETCH - t)
+        if below > missed:
+            return t
+    return SKETCH
+
+
+def least_overlap(n: int, percent: int = PERCENT) -> int:
+    return least_sketch(percent) if n > SKETCH else min(LEAST_SMALL, -(-percent * n // 100))
 
 
 def _common(sets: list[np.ndarray], left: int, columns: int = 4096) -> np.ndarray:
@@ -83,10 +95,11 @@ def _common(sets: list[np.ndarray], left: int, columns: int = 4096) -> np.ndarra
     return out
 
 
-def links(sets: list[np.ndarray], left: int = 0) -> np.ndarray:
+def links(sets: list[np.ndarray], left: int = 0, percent: int = PERCENT) -> np.ndarray:
     """Which pairs are similar enough, as a symmetric matrix over all sets; with left, only pairs across that border."""
     size = np.array([len(s) for s in sets], np.float32)
-    least = np.array([least_overlap(len(s)) for s in sets])
+    large = least_sketch(percent)
+    least = np.array([large if len(s) > SKETCH else least_overlap(len(s), percent) for s in sets])
     out = np.zeros((len(sets), len(sets)), bool)
     a, b = (slice(0, left), slice(left, None)) if left else (slice(None), slice(None))
     maybe = _common([s[:SKETCH] for s in sets], left) >= np.maximum(least[a][:, None], least[b][None])
@@ -99,7 +112,7 @@ def links(sets: list[np.ndarray], left: int = 0) -> np.ndarray:
         else:
             c, inter = r, _common([sets[i] for i in r], 0)
         union = size[a][r][:, None] + size[b][c][None] - inter
-        ok = (100 * inter.astype(np.int64) >= PERCENT * union.astype(np.int64)) & maybe[np.ix_(r, c)]
+        ok = (100 * inter.astype(np.int64) >= percent * union.astype(np.int64)) & maybe[np.ix_(r, c)]
         out[np.ix_(np.arange(len(sets))[a][r], np.arange(len(sets))[b][c])] = ok
     return out | out.T
 
@@ -121,19 +134,23 @@ def forest(adjacent: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _verify(t: pa.Table) -> pa.Table:
+def _verify(t: pa.Table, percent: int) -> pa.Table:
     """Links among the rows of one pair of blocks: node, side, text."""
     nodes, side, text = t.column("node").to_numpy(), t.column("side").to_numpy(), t.column("text").cast(pa.binary())
     order = np.lexsort((nodes, side))
     sets = [shingles(text[int(i)].as_py()) for i in order]
     left = int((side == 0).sum()) if side.any() else 0
-    found = forest(links(sets, left))
+    found = forest(links(sets, left, percent))
     nodes = nodes[order]
     return pa.table({"a": pa.array([nodes[i] for i, _ in found], pa.int64()), "b": pa.array([nodes[j] for _, j in found], pa.int64())})
 
 
-def near_components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each of docs (doc_id, text)."""
+def _verifier(percent: int):
+    return lambda t: _verify(t, percent)
+
+
+def near_components(docs: DataFrame, block: int = BLOCK, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of each of docs (doc_id, text); linked are sets that are `percent` (75 to 100) alike."""
     docs = docs.select("doc_id", "text")
     sk = save(docs.mapInArrow(_sketches, "doc_id bigint, n bigint, fa bigint, fb bigint, sketch array<bigint>"), "sketches")
     able = sk.where("n > 0 AND doc_id IS NOT NULL")
@@ -142,19 +159,19 @@ def near_components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     entries = reps.select("rep", "n", F.size("sketch").alias("k"), F.explode("sketch").alias("v"))
     shared = save(entries.groupBy("v").agg(F.count(F.lit(1)).alias("many")).where("many > 1"), "shared")
     mine = entries.join(shared, "v").groupBy("rep", "n", "k").agg(F.sort_array(F.collect_list(F.struct("many", "v"))).alias("mine"))  # at most SKETCH
-    least = F.when(F.col("n") > SKETCH, F.lit(LEAST)).otherwise(F.least(F.lit(LEAST_SMALL), F.ceil(F.col("n") * PERCENT / 100)))
+    least = F.when(F.col("n") > SKETCH, F.lit(least_sketch(percent))).otherwise(F.least(F.lit(LEAST_SMALL), F.ceil(F.col("n") * percent / 100)))
     lone = F.col("k") - F.size("mine")  # values no other has are the rarest
     prefix = F.greatest(F.lit(0), F.col("k") - least + 1 - lone).cast("int")
     lists = save(mine.select("rep", F.explode(F.slice("mine", F.lit(1), prefix)).alias("x")).select("rep", "x.v"), "lists")
     heads = lists.groupBy("v").agg(F.min("rep").alias("head"))
     family = save(components(lists.join(heads, "v").where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(), "families"), "families")
     sized = family.join(reps.select(F.col("rep").alias("node"), "n"), "node")
-    blocks = sized.groupBy("root").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
+    blocks = sized.groupBy("root").agg(F.ceil(F.sum(F.greatest("n", F.lit(LIGHT))) / block).cast("int").alias("blocks"))
     placed = family.join(blocks, "root").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     texts = docs.join(placed, docs["doc_id"] == placed["node"]).select("node", "root", "blocks", "mine", "text").dropDuplicates(["node"])
     dealt = texts.select("node", "root", "mine", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("root", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", F.when(F.col("mine") > F.col("other"), 1).otherwise(0).alias("side"), "text")
-    found = save(dealt.groupBy("root", "i", "j").applyInArrow(_verify, "a bigint, b bigint"), "found")
+    found = save(dealt.groupBy("root", "i", "j").applyInArrow(_verifier(percent), "a bigint, b bigint"), "found")
     linked = components(found)
     named = groups.join(linked, groups["rep"] == linked["node"], "left").select(F.col("fa").alias("ga"), F.col("fb").alias("gb"), F.col("n").alias("gn"), F.coalesce("root", "rep").alias("component_id"))
     both = sk.join(named, (sk["fa"] == named["ga"]) & (sk["fb"] == named["gb"]) & (sk["n"] == named["gn"]) & (sk["n"] > 0) & sk["doc_id"].isNotNull(), "left")

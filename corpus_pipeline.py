@@ -2,7 +2,7 @@
 
 language_id drops documents without a recognised language (no letter, or a mean window probability below MIN_SCORE);
 line_dedup rewrites the texts without the repeated lines (and n_chars with them); near_dedup keeps one document of each group
-of near duplicates; decontaminate drops documents that hold a benchmark passage; packing returns the pieces of the sequences.
+of near duplicates, whose shingles are NEAR percent alike or more; decontaminate drops documents that hold a benchmark passage; packing returns the pieces of the sequences.
 The last stage has no SQL form, as it runs a tokenizer.
 """
 
@@ -18,7 +18,7 @@ from pressmill.llm.line_dedup import dedup_lines
 from pressmill.llm.near_dedup import near_components
 from pressmill.llm.packing import pack_documents
 
-MIN_SCORE = 0.3
+MIN_SCORE, NEAR = 0.3, 80
 ORACLE_SQL = None
 
 
@@ -35,7 +35,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows with a doc_id that its component does not keep go; repeated rows of a kept document are one."""
-    gone = save(near_components(docs).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    gone = save(near_components(docs, percent=NEAR).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct(), "gone")
     return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
 
 

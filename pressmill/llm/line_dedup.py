@@ -7,7 +7,7 @@ they are merged into one run of the next. A key's total is its key entry plus it
 repeat entry, or that one batch already holds often enough, can be hot; all others are never looked at again.
 
 Defined results: a null text is one empty line; lines of fewer than `min_chars` code points always stay; a row is a
-document, rows with one doc_id and text count once; a null doc_id is less than any other, and keeps a line only if no other
+document, rows with one doc_id and text count once (and each lose the same lines); a null doc_id is less than any other, and keeps a line only if no other
 document holds it. An empty table gives an empty result. Texts may be of any length: nothing is quadratic in their lines.
 """
 
@@ -94,14 +94,17 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     All columns of docs come back in a struct `row`, so that none can clash."""
     own = docs.select(F.struct(*columns(docs)).alias("row"), F.col("doc_id"), F.col("text"))
     lines = save(_lines(own, min_chars, batches), "lines")
+    counted = lines.where("first").select("batch", "h", "doc_id", "th")
+    if not own.groupBy("doc_id", F.xxhash64("text")).count().where("count > 1").isEmpty():
+        counted = save(counted.distinct(), "counted")
     runs = LineRuns(fanout)
     for b in range(batches):
-        runs.add(lines.where((F.col("batch") == b) & F.col("first")).select("h", "doc_id"))
+        runs.add(counted.where(F.col("batch") == b).select("h", "doc_id"))
     hot = save(runs.hot(min_docs), "hot")
     for levels in (runs.keys, runs.repeats):
         for run in (r for level in levels for r in level):
             forget(run)
-    drops = lines.join(hot, "h").where(~F.col("doc_id").eqNullSafe(F.col("top"))).groupBy("doc_id", "th").agg(F.collect_list("pos").alias("drops"))
+    drops = lines.join(hot, "h").where(~F.col("doc_id").eqNullSafe(F.col("top"))).groupBy("doc_id", "th").agg(F.collect_set("pos").alias("drops"))
     drops = drops.select(F.col("doc_id").alias("d"), "th", "drops")
     own = own.withColumn("h", F.xxhash64("text"))
     both = own.join(drops, own["doc_id"].eqNullSafe(drops["d"]) & (own["h"] == drops["th"]), "left")

@@ -22,7 +22,7 @@ def test_stages_against_plain_python(spark, sf):
     text = {d: "\n".join(x for x in t.split("\n") if len(holders[key(x)]) < 5 or max(holders[key(x)]) == d) for d, t in text.items()}
     from test_operators import brute_components
 
-    root, _ = brute_components(text)
+    root, _ = brute_components(text, corpus_pipeline.NEAR)
     text = {d: t for d, t in text.items() if root[d] == d}
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.encode().lower().decode())
     windows = set()

@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 
 from .common import forget, save, table
 
-SHARDS, ROUNDS, BUCKETS, ROWS_A_RANK = 24, 8, 128, 20_000
+SHARDS, ROUNDS, BUCKETS, ROWS_A_RANK = 24, 8, 128, 5_000
 
 
 def propagate(nodes: DataFrame, links: DataFrame, quota: list[int], rounds: int = ROUNDS, buckets: int = BUCKETS) -> DataFrame:

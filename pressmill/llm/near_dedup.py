@@ -182,3 +182,30 @@ def near_components(docs: DataFrame, block: int = BLOCK, percent: int = PERCENT)
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"))
+
+
+#: Equal sets are one class, so copies are never paired; a class links to classes that hold one of its shingles.
+OP5_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, list_sort(list_distinct(list_transform(range(CASE WHEN len(w) = 0 THEN 0 ELSE greatest(len(w) - 4, 1) END), lambda i: array_to_string(w[i + 1 : i + 5], ' ')))) AS s FROM words
+), keyed AS (
+  SELECT doc_id, len(s)::BIGINT AS n, CASE WHEN len(s) > 0 THEN sha256(array_to_string(s, chr(10))) ELSE 'none ' || doc_id END AS k, s FROM sets
+), classes AS (
+  SELECT k, n, min(doc_id) AS rep, first(s) AS s FROM keyed GROUP BY k, n
+), entries AS (
+  SELECT rep, n, unnest(s) AS v FROM classes
+), pairs AS (
+  SELECT a.rep AS a, b.rep AS b FROM entries a JOIN entries b ON a.v = b.v AND a.rep < b.rep
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), links AS (
+  SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs
+), reach AS (
+  SELECT rep AS a, rep AS b FROM classes UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), roots AS (
+  SELECT a, min(b) AS root FROM reach GROUP BY a
+)
+SELECT doc_id, keyed.n AS n_shingles, root AS component_id, doc_id = root AS kept
+FROM keyed JOIN classes ON keyed.k = classes.k AND keyed.n = classes.n JOIN roots ON roots.a = classes.rep
+"""

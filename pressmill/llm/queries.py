@@ -7,7 +7,7 @@ from .decontaminate import OP9_SQL, op9_decontaminate
 from .language_id import op4_language_id
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .lm_scoring import op8_lm_scoring
-from .near_dedup import op5_near_dedup
+from .near_dedup import OP5_SQL, op5_near_dedup
 from .packing import op6_packing
 from .pii import op10_pii
 from .sharding import op2_sharding
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_pii": op10_pii,
 }
-ORACLES = {"op1_line_dedup": OP1_SQL, "op9_decontaminate": OP9_SQL}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op5_near_dedup": OP5_SQL, "op9_decontaminate": OP9_SQL}

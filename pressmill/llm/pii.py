@@ -4,8 +4,8 @@ Base spans (email, ip, card, phone) come from patterns, leftmost and non-overlap
 of words that hold a digit or '@', single spaces between them; all other words are outside by definition. Within a region it
 scores whole segments of at most SEGMENT tokens (runs of digits, runs of letters, single other characters) by features of the
 whole span (digits, groups, separators, marks, neighbours, the word before), and a dynamic program over boundaries chooses
-segments and types jointly. Base spans of a region are fixed; segments may not overlap them. A region of more than REGION
-tokens is scored in pieces cut at spaces, or every REGION tokens where there is none.
+segments and types jointly. Base spans of a region are fixed; segments may not overlap them. A region of any length is decoded
+as one: segments are scored as they come and not kept, so time and memory grow with its tokens.
 
 The weights are trained here by maximum likelihood (forward sums over all segmentations) on written-out forms of each kind,
 on counterexamples, and on at most SAMPLE documents of the corpus whose base spans are the labels.
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 KINDS = ("email", "ip", "card", "phone")
-SEGMENT, REGION, SAMPLE, SEED = 24, 400, 300, 11
+SEGMENT, SAMPLE, SEED = 24, 300, 11
 
 # The base patterns. The address pattern is run from each @, see base_spans.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -138,10 +139,12 @@ class SemiCRF:
     def __init__(self, weights: dict[str, float] | None = None):
         self.w = weights or {}
 
-    def arcs(self, text: str, cuts: list[int], fixed: list[tuple[int, int]]) -> list[tuple[int, int, str, list[str]]]:
-        """(from, to, kind, features) of the possible segments of a region; all other tokens are segments outside, of score 0."""
-        inside = [any(a < cuts[i + 1] and cuts[i] < b for a, b in fixed) for i in range(len(cuts) - 1)]
-        out = []
+    def arcs(self, text: str, cuts: list[int], fixed: list[tuple[int, int]]) -> Iterator[tuple[int, int, str, list[str]]]:
+        """(from, to, kind, features) of the possible segments of a region, by from; all other tokens are segments outside, of score 0."""
+        inside = [False] * (len(cuts) - 1)
+        for a, b in fixed:
+            for i in range(max(0, bisect_right(cuts, a) - 1), min(bisect_left(cuts, b), len(inside))):
+                inside[i] = True
         for i in range(len(cuts) - 1):
             first = text[cuts[i]]
             if inside[i] or not (first.isalnum() or first in "(+"):
@@ -149,8 +152,8 @@ class SemiCRF:
             for j in range(i + 1, min(i + SEGMENT, len(cuts) - 1) + 1):
                 if inside[j - 1]:
                     break
-                out += [(i, j, k, features(text, cuts[i], cuts[j], k)) for k in _possible(text[cuts[i] : cuts[j]])]
-        return out
+                for k in _possible(text[cuts[i] : cuts[j]]):
+                    yield i, j, k, features(text, cuts[i], cuts[j], k)
 
     def score(self, f: list[str]) -> float:
         return sum(self.w.get(x, 0.0) for x in f)
@@ -158,35 +161,21 @@ class SemiCRF:
     def decode(self, text: str, a: int, b: int, fixed: list[tuple[int, int]]) -> list[Span]:
         """The added spans of text[a:b]; fixed: base spans there, by start."""
         cuts = _tokens(text, a, b)
-        out, i, lo = [], 0, 0
-        while i < len(cuts) - 1:
-            j = len(cuts) - 1
-            if j - i > REGION:
-                j = next((k for k in range(i + REGION, i, -1) if text[cuts[k]] == " "), i + REGION)
-            while lo < len(fixed) and fixed[lo][1] <= cuts[i]:
-                lo += 1
-            hi = lo
-            while hi < len(fixed) and fixed[hi][0] < cuts[j]:
-                hi += 1
-            out += self._piece(text, cuts[i : j + 1], fixed[lo:hi])
-            i = j
-        return out
-
-    def _piece(self, text: str, cuts: list[int], fixed: list[tuple[int, int]]) -> list[Span]:
-        arcs = self.arcs(text, cuts, fixed)
-        if not arcs:
-            return []
-        into: dict[int, list[tuple[int, str, float]]] = {}
-        for i, j, k, f in arcs:
+        best: list[tuple[float, int, str]] = [(0.0, 0, "")] + [(-np.inf, 0, "")] * (len(cuts) - 1)
+        done = 0
+
+        def settle(i: int) -> None:
+            nonlocal done
+            while done < i:
+                best[done + 1] = max(best[done + 1], (best[done][0], done, ""))
+                done += 1
+
+        for i, j, k, f in self.arcs(text, cuts, fixed):
             s = self.score(f)
             if s > 0:
-                into.setdefault(j, []).append((i, k, s))
-        best: list[tuple[float, int, str]] = [(0.0, 0, "")]
-        for j in range(1, len(cuts)):
-            top = (best[j - 1][0], j - 1, "")
-            for i, k, s in into.get(j, ()):
-                top = max(top, (best[i][0] + s, i, k))
-            best.append(top)
+                settle(i)
+                best[j] = max(best[j], (best[i][0] + s, i, k))
+        settle(len(cuts) - 1)
         out, j = [], len(cuts) - 1
         while j:
             _, i, k = best[j]
@@ -203,9 +192,7 @@ class SemiCRF:
             wanted = {(a, b, k) for k, a, b in gold}
             for a, b in regions(text):
                 cuts = _tokens(text, a, b)
-                if len(cuts) > REGION:
-                    continue
-                arcs = self.arcs(text, cuts, [])
+                arcs = list(self.arcs(text, cuts, []))
                 if arcs:
                     lattices.append((len(cuts), [(i, j, [names.setdefault(x, len(names)) for x in f], (cuts[i], cuts[j], k) in wanted) for i, j, k, f in arcs]))
         w, power = np.zeros(len(names)), np.zeros(len(names))

@@ -409,3 +409,14 @@ def test_field_on_long_regions_and_words():
     assert pii.spans_of("x" * 500_000 + " a@b.cd", model)[1] == [("email", 500_001, 500_007)]
     text = "ab@cd.ef " * 20_000
     assert pii.spans_of(text, model)[1] == [("email", i, i + 8) for i in range(0, len(text), 9)]
+
+
+def test_pii_long_regions_are_decoded_whole():
+    model = pii.SemiCRF().fit(pii.written_cases())
+    numbers = [f"({200 + i % 700}) 555-{1000 + i}" for i in range(2000)]
+    text, wanted, at = ", ".join(numbers), [], 0
+    assert list(pii.regions(text)) == [(0, len(text))]
+    for s in numbers:
+        wanted.append(("phone", at, at + len(s)))
+        at += len(s) + 2
+    assert pii.spans_of(text, model) == ([], wanted)

@@ -6,8 +6,9 @@ is set where the votes for it outweigh those against. The votes are 64 long sums
 one partial-aggregation entry, whatever its length up to 2^30 terms.
 
 Search: the fingerprint is cut into `radius` + 2 blocks; two fingerprints within the radius agree in at least two of them, so
-a table for each pair of blocks, keyed by both blocks' digits, brings every such pair together; the distance is then checked.
-Equal fingerprints are one entry with a count.
+a table for each pair of blocks, keyed by the bits of both, brings every such pair together; the distance is then checked.
+The entries are dealt by the first block of the pair alone, and its tables with the later blocks are made where they lie. A pair
+counts in the first table that it is in, so no pairs need to be told apart. Equal fingerprints are one entry with a count.
 
 Defined results: a null text is empty; a text without words has the fingerprint 0. The next document is the one before in
 doc_id order (nulls last, ties by text hash); after the last comes the first, and a lone document is its own next.
@@ -16,7 +17,8 @@ Repeated rows are kept, each with its own next.
 
 from __future__ import annotations
 
-from itertools import combinations
+from collections.abc import Callable
+from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +26,7 @@ from pyspark.sql.window import Window
 
 from .common import let, save, table
 
-BITS, RADIUS, ROWS_A_RANGE = 128, 3, 1000
+BITS, RADIUS, ROWS_A_RANGE = 128, 14, 1000
 LANES = (1 << 32) | 1
 
 
@@ -67,15 +69,46 @@ def apart(a: tuple[str, str], b: tuple[str, str]) -> Column:
     return F.bit_count(F.col(a[0]).bitwiseXOR(F.col(b[0]))) + F.bit_count(F.col(a[1]).bitwiseXOR(F.col(b[1])))
 
 
+def _masked(hi: Column, lo: Column, mask: int) -> Column:
+    """The bits of the mask, which are 64 neighbouring ones at most, so that those of both halves do not meet."""
+    parts = [c.bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for c, m in ((hi, mask >> 64), (lo, mask & (1 << 64) - 1)) if m]
+    return parts[0] if len(parts) == 1 else parts[0].bitwiseOR(parts[1])
+
+
+def _tables(prints: DataFrame, radius: int) -> tuple[DataFrame, Callable[[Column, Column], Column]]:
+    """prints: distinct (hi, lo, n). The tables' keys i, x, j, y that several fingerprints have, with those as members (hi, lo,
+    n); and whether two members are different, within the radius, and in no table before this one."""
+    n = radius + 2
+    masks = [(1 << BITS - a) - (1 << BITS - b) for a, b in pairwise(round(i * BITS / n) for i in range(n + 1))]
+    block = [_masked(F.col("hi"), F.col("lo"), m) for m in masks]
+    dealt = prints.select("hi", "lo", "n", F.posexplode(F.array(*block[:-1])).alias("i", "x")).repartition("i", "x")
+    keyed = dealt.select("*", F.posexplode(F.array(*block)).alias("j", "y")).where("j > i")
+    groups = keyed.groupBy("i", "x", "j", "y").agg(F.collect_list(F.struct("hi", "lo", "n")).alias("members")).where(F.size("members") > 1)
+
+    def near(a: Column, b: Column) -> Column:
+        hi, lo = a["hi"].bitwiseXOR(b["hi"]), a["lo"].bitwiseXOR(b["lo"])
+        out = (F.bit_count(hi) + F.bit_count(lo)).between(1, radius)
+        for k, m in enumerate(masks[:-1]):
+            out = out & ((F.col("i") == k) | (F.col("j") <= k) | (_masked(hi, lo, m) != 0))
+        return out
+
+    return groups, near
+
+
 def near_fingerprints(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """prints: distinct (hi, lo, n). All ordered pairs (hi, lo, hi2, lo2, n2, distance) of different ones within the radius."""
-    n, size = radius + 2, BITS // 4
-    cut = [round(i * size / n) for i in range(n + 1)]
-    block = [F.substring("fp", cut[i] + 1, cut[i + 1] - cut[i]) for i in range(n)]
-    keyed = prints.withColumn("fp", digits("hi", "lo")).select("hi", "lo", "n", F.posexplode(F.array(*(F.concat(block[i], block[j]) for i, j in combinations(range(n), 2)))).alias("tab", "key"))
-    other = keyed.select("tab", "key", F.col("hi").alias("hi2"), F.col("lo").alias("lo2"), F.col("n").alias("n2"))
-    pairs = keyed.drop("n").join(other, ["tab", "key"]).where("hi <> hi2 OR lo <> lo2")
-    return pairs.withColumn("distance", apart(("hi", "lo"), ("hi2", "lo2"))).where(F.col("distance") <= radius).drop("tab", "key").distinct()
+    groups, near = _tables(prints, radius)
+    pairs = groups.select(F.explode_outer(F.flatten(F.transform("members", lambda a: F.transform(F.filter("members", lambda b: near(a, b)), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p"))
+    pairs = pairs.where("p IS NOT NULL").select("p.a.hi", "p.a.lo", F.col("p.b.hi").alias("hi2"), F.col("p.b.lo").alias("lo2"), F.col("p.b.n").alias("n2"))
+    return pairs.withColumn("distance", apart(("hi", "lo"), ("hi2", "lo2")))
+
+
+def near_counts(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """prints: distinct (hi, lo, n). hi, lo, more: the sum of n of the other fingerprints within the radius, where there are any."""
+    groups, near = _tables(prints, radius)
+    count = lambda a: F.aggregate("members", F.lit(0).cast("long"), lambda s, b: F.when(near(a, b), s + b["n"]).otherwise(s))
+    found = F.filter(F.transform("members", lambda a: F.struct(a["hi"].alias("hi"), a["lo"].alias("lo"), count(a).alias("more"))), lambda x: x["more"] > 0)
+    return groups.select(F.explode_outer(found).alias("x")).where("x IS NOT NULL").groupBy("x.hi", "x.lo").agg(F.sum("x.more").alias("more"))
 
 
 def _ranges(docs: DataFrame) -> tuple[Column, int]:
@@ -129,8 +162,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = save(fingerprints(both.select(*keys[:-1], "x.kind", "x.text"), keys), "simhash")
     own = prints.where("kind = 0")
     counts = own.groupBy("hi", "lo").agg(F.sum("copies").alias("n"))
-    near = near_fingerprints(counts).groupBy("hi", "lo").agg(F.sum("n2").alias("more"))
-    links = counts.join(near, ["hi", "lo"], "left").select(F.col("hi"), F.col("lo"), (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("near_docs"))
+    links = counts.join(near_counts(counts), ["hi", "lo"], "left").select(F.col("hi"), F.col("lo"), (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("near_docs"))
     row = prints.groupBy(*keys[:-1]).agg(F.max("copies").alias("copies"), *(F.max(F.when(F.col("kind") == i, F.col(c))).alias(f"{p}{c}") for i, p in ((0, ""), (1, "e")) for c in ("hi", "lo")))
     after = own.select(F.col("doc_id").alias("nd"), F.col("th").alias("nt"), F.col("hi").alias("nhi"), F.col("lo").alias("nlo")).distinct()
     row = row.join(after, row["next_id"].eqNullSafe(after["nd"]) & (row["next_th"] == after["nt"])).join(links, ["hi", "lo"])

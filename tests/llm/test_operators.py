@@ -142,6 +142,34 @@ def test_block_tables_find_all_within_the_radius(spark):
     assert found == {(a, b) for a in set(prints) for b in set(prints) if a != b and (a ^ b).bit_count() <= simhash.RADIUS}
 
 
+def test_edited_copies_are_near(spark, tables):
+    rng = random.Random(8)
+    rows, shingles = [], lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    for i in range(60):
+        words = [f"word{rng.randrange(3000)}" for _ in range(200)]
+        other = words[:]
+        for j in rng.sample(range(200), 3):
+            other[j] = f"new{rng.randrange(3000)}"
+        a, b = shingles(words), shingles(other)
+        assert len(a & b) >= 0.8 * len(a | b)
+        rows += [(2 * i, " ".join(words), "en", "s", 1), (2 * i + 1, " ".join(other), "en", "s", 1)]
+    out = QUERIES["op3_simhash"](spark, tables(rows)).collect()
+    assert sum(r["near_docs"] for r in out) >= 0.75 * len(rows) and max(r["near_docs"] for r in out) == 1
+
+
+def test_near_counts_tell_each_pair_once(spark):
+    rng = random.Random(6)
+    first = rng.getrandbits(128)
+    prints = sorted({first ^ sum(1 << b for b in rng.sample(range(128), rng.randrange(10))) for _ in range(80)})
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(signed(p >> 64), signed(p % 2**64), 1 + i % 3) for i, p in enumerate(prints)], "hi long, lo long, n long")
+    for radius in (3, simhash.RADIUS):
+        want = {p: sum(1 + i % 3 for i, q in enumerate(prints) if q != p and (p ^ q).bit_count() <= radius) for p in prints}
+        got = {(r["hi"] % 2**64) << 64 | r["lo"] % 2**64: r["more"] for r in simhash.near_counts(df, radius).collect()}
+        assert got == {p: m for p, m in want.items() if m}
+        assert simhash.near_fingerprints(df, radius).count() == sum((p ^ q).bit_count() <= radius for p in prints for q in prints if p != q)
+
+
 # --- 4
 
 

@@ -1,7 +1,8 @@
 """Personal data: fixed patterns, and a semi-Markov conditional random field that adds spans to them.
 
 Base spans (email, ip, card, phone) come from patterns, leftmost and non-overlapping by kind. The field works on regions: runs
-of words that hold a digit or '@', single spaces between them; all other words are outside by definition. Within a region it
+of words that hold a digit or '@', or spell it out as (at) or [at], with the words that such a form joins and with words of
+marks alone between them, single spaces between all; all other words are outside by definition. Within a region it
 scores whole segments of at most SEGMENT tokens (runs of digits, runs of letters, single other characters) by features of the
 whole span (digits, groups, separators, marks, neighbours, the word before), and a dynamic program over boundaries chooses
 segments and types jointly. Base spans of a region are fixed; segments may not overlap them. A region of any length is decoded
@@ -81,7 +82,10 @@ def base_spans(text: str) -> list[Span]:
 # --- regions and segments
 
 TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|[^\W\d_]+|[\s\S]")
-ACTIVE = re.compile(r"(?<!\S)\S*[0-9@]\S*(?:\x20\S*[0-9@]\S*)*")  # starts at words only, so that no word is read twice
+SPELLED = r"(?:[^\s(\[]+\x20)?[^\s(\[]*[(\[]at[)\]](?:\x20?[^\s(\[]+)?(?:\x20?[(\[]dot[)\]]\x20?[^\s(\[]+)*"
+ITEM = rf"(?:\S*[0-9@]\S*|{SPELLED})"
+ACTIVE = re.compile(rf"(?<!\S){ITEM}(?:\x20(?:[^\w\s@]+\x20)*{ITEM})*")  # starts at words only, so that a word is read a few times at most
+AT, DOT = re.compile(r"@|\(at\)|\[at\]"), re.compile(r"\.|\(dot\)|\[dot\]")
 CUES = {w: k for k, ws in {"phone": "tel telephone phone call mobile cell fax whatsapp sms", "email": "mail email contact write", "card": "card visa mastercard amex credit debit", "ip": "ip host server address"}.items() for w in ws.split()}
 #: Digit groups in which the kinds are usually written.
 FORMS = {"3-3-4": "phone", "1-3-3-4": "phone", "2-4-4": "phone", "2-3-3-3": "phone", "2-2-2-2-2": "phone", "4-4-4-4": "card", "4-6-5": "card", "4-4-4-4-3": "card"}
@@ -129,7 +133,7 @@ def _possible(s: str) -> tuple[str, ...]:
     if not (s[0].isalnum() or s[0] in "(+") or not s[-1].isalnum() or "\n" in s:
         return ()
     n = sum(c in "0123456789" for c in s)
-    out = ("email",) if "@" in s and s[0] not in "(+" and "." in s else ()
+    out = ("email",) if s[0] not in "(+" and AT.search(s) and DOT.search(s) else ()
     if 4 <= n <= 19 and not any(c.isalpha() for c in s):
         out += ("ip",) * (s.count(".") >= 3 and s[0].isdigit()) + ("card",) * (n >= 13 and s[0].isdigit()) + ("phone",) * (7 <= n <= 15)
     return out
@@ -243,11 +247,11 @@ def written_cases(n: int = 220, seed: int = SEED) -> list[tuple[str, list[Span]]
     area = lambda: str(rng.integers(2, 10)) + d(2)
     kinds = {
         "phone": [lambda: f"({area()}) {d(3)}-{d(4)}", lambda: f"{area()}-{d(3)}-{d(4)}", lambda: f"{area()}.{d(3)}.{d(4)}", lambda: f"+1 ({area()}) {d(3)}-{d(4)}", lambda: f"+{d(2)} {d(3)} {d(3)} {d(3)}", lambda: f"1-{area()}-{d(3)}-{d(4)}"],
-        "email": [lambda: f"{word()}.{word()}@{word()}.com", lambda: f"{word()}{d(2)}@{word()}.example.org", lambda: f"{word()}_{word()}@{word()}.{word()}.net"],
+        "email": [lambda: f"{word()}.{word()}@{word()}.com", lambda: f"{word()}{d(2)}@{word()}.example.org", lambda: f"{word()}_{word()}@{word()}.{word()}.net", lambda: f"{word()}.{word()} (at) {word()} (dot) com", lambda: f"{word()}{d(2)} [at] {word()}.org"],
         "card": [lambda: card(), lambda: spaced(card(), " "), lambda: spaced(card(), "-")],
         "ip": [lambda: ".".join(octet() for _ in range(4))],
     }
-    none = [lambda: f"20{d(2)}-0{rng.integers(1, 10)}-{rng.integers(10, 29)}", lambda: f"{d(1)}.{d(1)}.{d(2)}", lambda: f"{d(4)}-{d(4)}", lambda: f"{d(5)}-{d(2)}", lambda: d(int(rng.integers(1, 24))), lambda: f"{d(2)}:{d(2)}:{d(2)}", lambda: f"{d(3)},{d(3)},{d(3)}", lambda: f"{d(2)} {d(3)} {d(2)}", lambda: f"{d(3)}.{d(3)}.{d(3)}.{d(3)}.{d(3)}", lambda: f"{d(3)} {d(3)} {d(4)} {d(3)} {d(4)}", lambda: f"{d(4)} {d(4)}", lambda: f"#{d(7)}", lambda: f"id{d(10)}", lambda: f"{d(7)}", lambda: f"{d(8)}", lambda: f"{d(9)}", lambda: f"{d(10)}", lambda: f"{d(12)}", lambda: spaced(d(16), " "), lambda: f"@{word()}{d(2)}", lambda: f"{d(2)}.{d(4)}, {d(3)}.{d(4)}", lambda: f"978-{d(1)}-{d(4)}-{d(4)}-{d(1)}", lambda: f"/{word()}/{d(3)}-{d(3)}-{d(4)}x", lambda: f"{d(3)}-{d(2)}-{d(4)}"]
+    none = [lambda: f"20{d(2)}-0{rng.integers(1, 10)}-{rng.integers(10, 29)}", lambda: f"{d(1)}.{d(1)}.{d(2)}", lambda: f"{d(4)}-{d(4)}", lambda: f"{d(5)}-{d(2)}", lambda: d(int(rng.integers(1, 24))), lambda: f"{d(2)}:{d(2)}:{d(2)}", lambda: f"{d(3)},{d(3)},{d(3)}", lambda: f"{d(2)} {d(3)} {d(2)}", lambda: f"{d(3)}.{d(3)}.{d(3)}.{d(3)}.{d(3)}", lambda: f"{d(3)} {d(3)} {d(4)} {d(3)} {d(4)}", lambda: f"{d(4)} {d(4)}", lambda: f"#{d(7)}", lambda: f"id{d(10)}", lambda: f"{d(7)}", lambda: f"{d(8)}", lambda: f"{d(9)}", lambda: f"{d(10)}", lambda: f"{d(12)}", lambda: spaced(d(16), " "), lambda: f"@{word()}{d(2)}", lambda: f"{d(2)}.{d(4)}, {d(3)}.{d(4)}", lambda: f"978-{d(1)}-{d(4)}-{d(4)}-{d(1)}", lambda: f"/{word()}/{d(3)}-{d(3)}-{d(4)}x", lambda: f"{d(3)}-{d(2)}-{d(4)}", lambda: f"{word()} (at) {word()}. {word()}"]
     out = []
     for _ in range(n):
         for k, forms in kinds.items():
@@ -272,7 +276,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> SemiCRF:
 def spans_of(text: str, model: SemiCRF) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans: those and what the model adds outside of them."""
     base = base_spans(text)
-    if "@" not in text and not DIGIT.search(text):
+    if not AT.search(text) and not DIGIT.search(text):
         return base, base
     added: list[Span] = []
     taken = sorted((a, b) for _, a, b in base)

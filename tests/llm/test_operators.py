@@ -448,3 +448,11 @@ def test_pii_long_regions_are_decoded_whole():
         wanted.append(("phone", at, at + len(s)))
         at += len(s) + 2
     assert pii.spans_of(text, model) == ([], wanted)
+
+
+def test_field_reaches_spelled_out_addresses_and_spaced_marks():
+    model = pii.SemiCRF().fit(pii.written_cases())
+    for lead, span, kind in (("write to ", "jane.doe (at) host (dot) com", "email"), ("", "jane42 [at] host.org", "email"), ("call ", "(212) 555 - 0187", "phone")):
+        assert pii.spans_of(f"{lead}{span} today", model) == ([], [(kind, len(lead), len(lead) + len(span))])
+    assert pii.spans_of("we looked (at) it. then we went on", model)[1] == []
+    assert pii.spans_of("1 " + "- " * 100_000 + "x " + "(at) " * 50_000, model)[0] == []

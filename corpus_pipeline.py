@@ -1,6 +1,7 @@
 """A training-data pipeline over `documents`: STAGES in order, each written as Parquet and reread as the next one's input.
 
-language_id drops documents without a recognised language (no letter, or a mean window probability below MIN_SCORE);
+language_id drops documents without a recognised language (no letter, or a mean window probability below MIN_SCORE),
+and none where no document is labelled, so that nothing could be learned;
 line_dedup rewrites the texts without the repeated lines (and n_chars with them); near_dedup keeps one document of each group
 of near duplicates, whose shingles are NEAR percent alike or more; decontaminate drops documents that hold a benchmark passage; packing returns the pieces of the sequences.
 The last stage has no SQL form, as it runs a tokenizer.
@@ -23,7 +24,10 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = identify(docs, train(docs))
+    model = train(docs)
+    if model is None:
+        return docs
+    found = identify(docs, model)
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select("row.*")
 
 

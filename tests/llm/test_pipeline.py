@@ -37,3 +37,9 @@ def test_stages_against_plain_python(spark, sf):
 
     encode = packing.encoder("v.tiktoken", open(packing.default_tokenizer(), "rb").read())
     assert dict(out.groupby("doc_id").length.sum()) == {d: len(encode(t)) + 1 for d, t in text.items()}
+
+
+def test_nothing_learned_drops_nothing(spark, tables):
+    at = tables([(i, text, None, "s", 1) for i, text in enumerate(["some words of a text", "other words", None])])
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    assert sorted(corpus_pipeline.language_id(spark, docs, at).collect()) == sorted(docs.collect())

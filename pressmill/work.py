@@ -1,4 +1,9 @@
-"""Work tables in the folder that the driver and all executors share."""
+"""Work tables in the folder that the driver and all executors share.
+
+Every table is registered with its session until it is forgotten, so that release() can delete what a query left behind once
+its result is written. Tables are compressed with zstd: its streams hold no direct buffers outside the heap, which those of
+the default codec do until the next full collection.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +12,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CODEC = {"compression": "zstd", "parquet.compression.codec.zstd.level": "1"}
+
 
 def work_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or a local folder where it is unset and Spark is local (tests)."""
@@ -20,11 +27,63 @@ def work_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def _held(spark: SparkSession) -> dict[str, str | None]:
+    """Paths of the session's work tables, with their names in the catalog where they have one."""
+    sc = spark.sparkContext
+    if not hasattr(sc, "_pressmill_held"):
+        sc._pressmill_held = {}
+    return sc._pressmill_held
+
+
 def save(df: DataFrame, tag: str) -> DataFrame:
-    """Write a work table and read it back: the lineage ends here."""
-    path = f"{work_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write a work table and read it back: the lineage ends here, and a lost executor costs nothing."""
+    spark = df.sparkSession
+    path = f"{work_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _held(spark)[path] = None
+    df.write.options(**CODEC).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._pressmill_path = path
+    return out
+
+
+def save_bucketed(df: DataFrame, tag: str, key: str, buckets: int) -> DataFrame:
+    """A work table in `buckets` buckets of the key, each sorted by it, so that joins on the key need no shuffle."""
+    spark = df.sparkSession
+    name = f"pressmill_{tag}_{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{name}"
+    _held(spark)[path] = name
+    df.write.options(**CODEC, path=path).bucketBy(buckets, key).sortBy(key).format("parquet").saveAsTable(name)
+    out = spark.table(name)
+    out._pressmill_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    name = _held(spark).pop(path, None)
+    if name:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete work tables that no later plan reads."""
+    for df in tables:
+        path = getattr(df, "_pressmill_path", None)
+        if path:
+            _delete(df.sparkSession, path)
+
+
+def mark(spark: SparkSession) -> set[str]:
+    """The work tables that there are now, for release()."""
+    return set(_held(spark))
+
+
+def release(spark: SparkSession, but: set[str] = frozenset()) -> None:
+    """Delete the session's work tables, but for those; for use when the results that read them are written."""
+    for path in [p for p in _held(spark) if p not in but]:
+        _delete(spark, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

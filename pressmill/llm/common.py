@@ -2,37 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..work import table, work_dir
+from ..work import forget, save, save_bucketed, table, work_dir
 
-__all__ = ["ascii_lower", "columns", "components", "forget", "let", "save", "table", "work_dir"]
+__all__ = ["ascii_lower", "columns", "components", "forget", "let", "save", "save_bucketed", "table", "work_dir"]
 
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def save(df: DataFrame, tag: str) -> DataFrame:
-    """Write a work table into the shared folder and read it back: lineage ends here, and a lost executor costs nothing."""
-    path = f"{work_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._pressmill_path = path
-    return out
-
-
-def forget(df: DataFrame) -> None:
-    """Delete a work table that no later plan reads."""
-    path = getattr(df, "_pressmill_path", None)
-    if path:
-        sc = df.sparkSession.sparkContext
-        p = sc._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def columns(df: DataFrame) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 

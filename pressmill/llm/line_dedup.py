@@ -1,111 +1,147 @@
 """Line dedup by levelled sorted runs of line hashes.
 
-The index is a set of sorted runs on shared storage. A batch of documents is reduced to one entry (hash, documents, largest
-doc_id) per line key; a merge anti-join against the runs parts its keys into new ones, which become a run of the key levels
-(over all levels a key is held once), and repeats, which become a run of the repeat levels. When a level holds `fanout` runs
-they are merged into one run of the next. A key's total is its key entry plus its repeat entries, so only keys that have a
-repeat entry, or that one batch already holds often enough, can be hot; all others are never looked at again.
+The index is a set of runs on shared storage, each in the same number of buckets of the hash and sorted by it within them. A
+batch of documents is reduced to one entry (hash, documents, largest doc_id) per line key and written the same way; a merge
+anti-join against the fresh entries of each run, which needs neither a shuffle nor a sort of the runs, tells its fresh keys
+(over all runs a key is fresh once) from its repeats, and the marked batch becomes a run of level 0. When a level holds
+`fanout` runs they are merged into one run of the next. A key's total is its fresh entry plus its repeats.
+
+The lines of very frequent keys are found by a broadcast of those keys, at most HEAVY of them whatever the size of the
+table, so that no task reads all lines of one key; those of other hot keys by a join on the hash.
 
 Defined results: a null text is one empty line; lines of fewer than `min_chars` code points always stay; a row is a
 document, rows with one doc_id and text count once (and each lose the same lines); a null doc_id is less than any other, and keeps a line only if no other
-document holds it. An empty table gives an empty result. Texts may be of any length: nothing is quadratic in their lines.
+document holds it. A line found several times in the document that keeps it stays each time. Of equal doc_ids with different texts all
+keep the line. An empty table gives an empty result. Texts may be of any length: nothing is quadratic in their lines.
 """
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, ascii_lower, columns, forget, let, save, table
+from .common import ASCII_SPACE, ascii_lower, columns, forget, let, save, save_bucketed, table
 
 MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 40, 5, 4, 3
+ROWS_A_BUCKET, MOST_BUCKETS, HEAVY = 250_000, 20_000, 2_000
+ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 
 def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(ASCII_SPACE)))
 
 
+@contextmanager
+def ordered_scans(spark: SparkSession):
+    """Scans of sorted buckets count as sorted, so that merge joins take them as they are."""
+    before = spark.conf.get(ORDERED, "false")
+    spark.conf.set(ORDERED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(ORDERED, before)
+
+
 class LineRuns:
-    """Levelled sorted runs of (h, n, top): key runs hold each hash once, repeat runs hold what later batches added."""
+    """Levelled sorted runs of (h, n, top, fresh): a hash is fresh in one of all runs, and a repeat in others."""
 
-    def __init__(self, fanout: int = FANOUT):
-        self.fanout = fanout
-        self.keys: list[list[DataFrame]] = [[]]
-        self.repeats: list[list[DataFrame]] = [[]]
+    def __init__(self, buckets: int, fanout: int = FANOUT):
+        self.buckets, self.fanout = buckets, fanout
+        self.levels: list[list[DataFrame]] = [[]]
 
-    @staticmethod
-    def _all(levels: list[list[DataFrame]]) -> DataFrame | None:
-        out = None
-        for run in (r for level in levels for r in level):
-            out = run if out is None else out.unionAll(run)
-        return out
+    def _runs(self) -> list[DataFrame]:
+        return [run for level in self.levels for run in level]
 
-    def _push(self, levels: list[list[DataFrame]], run: DataFrame, merge) -> None:
+    def _save(self, df: DataFrame, tag: str) -> DataFrame:
+        with ordered_scans(df.sparkSession):
+            return save_bucketed(df, tag, "h", self.buckets)
+
+    def _push(self, run: DataFrame) -> None:
         """Add a run to level 0; merge each level that is full into the next."""
-        levels[0].append(run)
+        self.levels[0].append(run)
         k = 0
-        while len(levels[k]) >= self.fanout:
-            old, levels[k] = levels[k], []
-            merged = save(merge(self._all([old])).sortWithinPartitions("h"), "run")
-            for r in old:
-                forget(r)
+        while len(self.levels[k]) >= self.fanout:
+            old, self.levels[k] = self.levels[k], []
+            entries = old[0]
+            for r in old[1:]:
+                entries = entries.unionAll(r)
+            entries = entries.groupBy("h").agg(F.sum("n").alias("n"), F.max("top").alias("top"), F.max("fresh").alias("fresh"))
+            merged = self._save(entries, "run")
+            forget(*old)
             k += 1
-            if k == len(levels):
-                levels.append([])
-            levels[k].append(merged)
+            if k == len(self.levels):
+                self.levels.append([])
+            self.levels[k].append(merged)
 
     def add(self, lines: DataFrame) -> None:
         """lines: (h, doc_id), one row for each document and key."""
-        batch = save(lines.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("top")).sortWithinPartitions("h"), "batch")
-        held = self._all(self.keys)
-        if held is None:
-            self._push(self.keys, batch, lambda x: x)
+        entries = lines.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("top"))
+        entries = entries.repartition(self.buckets, "h").sortWithinPartitions("h")
+        runs = self._runs()
+        if not runs:
+            self._push(self._save(entries.withColumn("fresh", F.lit(True)), "run"))
             return
-        seen = held.select("h")
-        fresh = save(batch.join(seen, "h", "left_anti").sortWithinPartitions("h"), "run")
-        again = save(batch.join(seen, "h", "left_semi").sortWithinPartitions("h"), "run")
+        batch = self._save(entries, "batch")
+        marked = batch
+        for i, run in enumerate(runs):
+            held = run.where("fresh").select("h", F.lit(True).alias(f"held{i}")).hint("merge")
+            marked = marked.join(held, "h", "left")
+        fresh = F.coalesce(*(F.col(f"held{i}") for i in range(len(runs))), F.lit(False))
+        self._push(self._save(marked.select("h", "n", "top", (~fresh).alias("fresh")), "run"))
         forget(batch)
-        self._push(self.keys, fresh, lambda x: x.repartition("h"))
-        self._push(self.repeats, again, lambda x: x.groupBy("h").agg(F.sum("n").alias("n"), F.max("top").alias("top")))
 
     def hot(self, min_docs: int) -> DataFrame:
-        """(h, top) of the keys found in at least min_docs documents."""
-        held, more = self._all(self.keys), self._all(self.repeats)
-        if more is None:
-            return held.where(F.col("n") >= min_docs).select("h", "top")
-        asked = held.where(F.col("n") >= min_docs).unionAll(held.join(more.select("h").distinct(), "h", "left_semi").where(F.col("n") < min_docs)).unionAll(more)
-        return asked.groupBy("h").agg(F.sum("n").alias("n"), F.max("top").alias("top")).where(F.col("n") >= min_docs).select("h", "top")
+        """(h, n, top) of the keys found in at least min_docs documents."""
+        runs = self._runs()
+        entries = runs[0]
+        for r in runs[1:]:
+            entries = entries.unionAll(r)
+        return entries.groupBy("h").agg(F.sum("n").alias("n"), F.max("top").alias("top")).where(F.col("n") >= min_docs)
+
+    def forget(self) -> None:
+        forget(*self._runs())
 
 
 def _lines(docs: DataFrame, min_chars: int, batches: int) -> DataFrame:
     """(batch, doc_id, th, pos, h, first): the lines whose key is long enough; first: the key's first line of its document."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = F.transform(F.split(text, "\n"), lambda x, i: F.struct(line_key(x).alias("k"), i.alias("pos")))
-    hashed = F.transform(F.filter(keyed, lambda s: F.char_length(s["k"]) >= min_chars), lambda s: F.struct(F.md5(s["k"].cast("binary")).alias("h"), s["pos"].alias("pos")))
-    ordered = let(F.sort_array(hashed), lambda a: F.transform(a, lambda s, i: F.struct(s["h"].alias("h"), s["pos"].alias("pos"), F.coalesce(F.get(a, i - 1)["h"] != s["h"], F.lit(True)).alias("first"))))
+    hashed = F.transform(
+        F.split(text, "\n"),
+        lambda x, i: let(line_key(x), lambda k: F.when(F.char_length(k) >= min_chars, F.struct(F.unhex(F.md5(k.cast("binary"))).alias("h"), i.alias("pos")))),
+    )
+    ordered = let(F.array_sort(F.array_compact(hashed)), lambda a: F.transform(a, lambda s, i: F.struct(s["h"].alias("h"), s["pos"].alias("pos"), F.coalesce(F.get(a, i - 1)["h"] != s["h"], F.lit(True)).alias("first"))))
     th = F.xxhash64("text")
     rows = docs.select("doc_id", th.alias("th"), F.pmod(F.xxhash64("doc_id", th), F.lit(batches)).cast("int").alias("batch"), ordered.alias("lines"))
-    rows = rows.select("doc_id", "th", "batch", F.inline("lines"))
-    return rows.select("batch", "doc_id", "th", "pos", F.unhex("h").alias("h"), "first")
+    return rows.select("doc_id", "th", "batch", F.inline("lines")).select("batch", "doc_id", "th", "pos", "h", "first")
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT, rows_a_bucket: int = ROWS_A_BUCKET) -> DataFrame:
     """docs (doc_id, text, ...) with three more columns: n_lines, n_dropped and kept, the text without its dropped lines.
     All columns of docs come back in a struct `row`, so that none can clash."""
     own = docs.select(F.struct(*columns(docs)).alias("row"), F.col("doc_id"), F.col("text"))
     lines = save(_lines(own, min_chars, batches), "lines")
+    total = lines.count()
     counted = lines.where("first").select("batch", "h", "doc_id", "th")
+    twice = None
     if not own.groupBy("doc_id", F.xxhash64("text")).count().where("count > 1").isEmpty():
-        counted = save(counted.distinct(), "counted")
-    runs = LineRuns(fanout)
+        counted = twice = save(counted.distinct(), "counted")
+    runs = LineRuns(max(1, min(MOST_BUCKETS, total // rows_a_bucket)), fanout)
     for b in range(batches):
         runs.add(counted.where(F.col("batch") == b).select("h", "doc_id"))
     hot = save(runs.hot(min_docs), "hot")
-    for levels in (runs.keys, runs.repeats):
-        for run in (r for level in levels for r in level):
-            forget(run)
-    drops = lines.join(hot, "h").where(~F.col("doc_id").eqNullSafe(F.col("top"))).groupBy("doc_id", "th").agg(F.collect_set("pos").alias("drops"))
-    drops = drops.select(F.col("doc_id").alias("d"), "th", "drops")
+    runs.forget()
+    if twice is not None:
+        forget(twice)
+    often = max(10 * min_docs, -(-total // HEAVY))
+    heavy = hot.where(F.col("n") >= often).select("h", F.col("top").alias("t"), F.lit(True).alias("is_heavy"))  # at most HEAVY rows, as total lines are split among them
+    told = lines.join(F.broadcast(heavy), "h", "left")
+    rest = told.where("is_heavy IS NULL").drop("t").join(hot.where(F.col("n") < often).select("h", F.col("top").alias("t")), "h")
+    drops = told.where("is_heavy").select("doc_id", "th", "pos", "t").unionAll(rest.select("doc_id", "th", "pos", "t"))
+    drops = drops.where(~F.col("doc_id").eqNullSafe(F.col("t"))).groupBy("doc_id", "th").agg(F.collect_set("pos").alias("drops"))
+    drops = save(drops.select(F.col("doc_id").alias("d"), "th", "drops"), "drops")
+    forget(lines, hot)
     own = own.withColumn("h", F.xxhash64("text"))
     both = own.join(drops, own["doc_id"].eqNullSafe(drops["d"]) & (own["h"] == drops["th"]), "left")
     text = F.coalesce(F.col("text"), F.lit(""))

@@ -272,20 +272,77 @@ def test_packing_round_trip(spark, sf, docs):
 def test_packing_over_several_rounds(spark):
     rng = random.Random(2)
     rows = [(i, 0, 0, rng.randrange(1, 1025), i) for i in range(3000)]
-    out = packing.pack(spark.createDataFrame(rows, packing.PIECES), node_pieces=100, fan=3).toPandas()
+    out = packing.pack(spark.createDataFrame(rows, packing.PIECES), node_pieces=100).toPandas()
     assert sorted(zip(out.doc_id, out.length, strict=True)) == [(i, n) for i, _, _, n, _ in rows]
     assert out.groupby("sequence_id").length.sum().max() <= 1024
     assert out.sequence_id.nunique() <= 1.04 * len(packing.best_fit(np.array([r[3] for r in rows]), 1024)[0])
 
 
-def test_both_vocabulary_files_give_the_same_ids():
+def vocabulary():
     import public_tokenizers
 
-    a, b = (packing.encoder(p, open(public_tokenizers.path(p), "rb").read()) for p in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken"))
+    return [open(public_tokenizers.path(f"byte_bpe_50k.{x}"), "rb").read() for x in ("json", "tiktoken")]
+
+
+def test_packing_of_pieces_that_never_fit_together(spark):
+    rows = [(i, 0, 0, 600 + i % 300, i) for i in range(1000)]
+    out = packing.pack(spark.createDataFrame(rows, packing.PIECES), node_pieces=100).toPandas()
+    assert len(out) == 1000 and out.sequence_id.nunique() == 1000 and (out.offset == 0).all()
+
+
+def test_equal_rows_are_dealt_to_many_nodes(spark):
+    rows = [(None, 0, 0, 1, 5)] * 5000
+    out = packing.pack(spark.createDataFrame(rows, packing.PIECES).repartition(4), node_pieces=500).toPandas()
+    assert len(out) == 5000 and out.sequence_id.nunique() <= 12
+
+
+def test_both_vocabulary_files_give_the_same_ids():
+    exact, fast = packing.encoder(vocabulary()[0]), packing.encoder(*vocabulary())
     rng = random.Random(0)
     for _ in range(500):
-        text = "".join(rng.choice(["a", "The", " ", "\n", "é", "'s", "1", "２", "　", "😀", "<|endoftext|>", "\t", "\x00"]) for _ in range(rng.randrange(30)))
-        assert list(a(text)) == list(b(text))
+        text = "".join(rng.choice(["a", "The", " ", "\n", "é", "'s", "'S", "'ll", "1", "２", "　", "😀", "<|endoftext|>", "\t", "\x00"]) for _ in range(rng.randrange(30)))
+        assert list(exact(text)) == list(fast(text))
+
+
+def test_merging_by_rank_takes_the_listed_steps():
+    """Before two neighbours merge, what happened between their outer ends is what happens to these bytes alone. So if for each
+    token the last step of merging its bytes by rank is the listed one, every step of merging by rank is listed, and as the list
+    is in the order of the ranks, both forms choose alike."""
+    import json
+
+    data, ranks = vocabulary()
+    spec, ranks = json.loads(data), packing.read_ranks(ranks)
+    assert packing.same_tokens(spec, ranks) and not packing.same_tokens(spec, dict(list(ranks.items())[:-1]))
+    names = packing.byte_names()
+    listed = {}
+    for i, m in enumerate(spec["model"]["merges"]):
+        x, y = (bytes(names[c] for c in part) for part in (m if isinstance(m, list) else m.split(" ")))
+        assert ranks[x + y] == 256 + i
+        listed[x + y] = (x, y)
+    assert len(listed) == len(ranks) - 256
+    for token in listed:
+        parts = [bytes([b]) for b in token]
+        while len(parts) > 1:
+            k = min(range(len(parts) - 1), key=lambda i: (ranks.get(parts[i] + parts[i + 1], math.inf), i))
+            step = (parts[k], parts[k + 1])
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        assert step == listed[token], token
+
+
+def test_pre_tokens_of_every_code_point():
+    exact, fast = packing.encoder(vocabulary()[0]), packing.encoder(*vocabulary())
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for s in range(0, len(points), 4096):
+        text = "".join(f"a{chr(c)}1{chr(c)} {chr(c)}." for c in points[s : s + 4096])
+        assert list(exact(text)) == list(fast(text)), hex(points[s])
+
+
+@pytest.mark.parametrize("text", ["\n", " ", "x", "-", " \t", "é", "語"])
+def test_tokens_of_a_giant_run(text):
+    exact, fast = packing.encoder(vocabulary()[0]), packing.encoder(*vocabulary())
+    assert list(exact(text * 1_000_000)) == list(fast(text * 1_000_000))
+    for n in range(1, 300):
+        assert list(exact(text * n)) == list(fast(text * n))
 
 
 # --- 7

@@ -26,7 +26,8 @@ from .common import ASCII_SPACE, ascii_lower, columns, forget, let, save, save_b
 
 MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 40, 5, 4, 3
 ROWS_A_BUCKET, MOST_BUCKETS, HEAVY = 250_000, 20_000, 2_000
-ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+#: Scans of sorted buckets count as sorted; a union of them is dealt anew before it is grouped (else equal hashes of one-bucket runs stay apart).
+SETTINGS = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.unionOutputPartitioning": "false"}
 
 
 def line_key(line: Column) -> Column:
@@ -34,14 +35,16 @@ def line_key(line: Column) -> Column:
 
 
 @contextmanager
-def ordered_scans(spark: SparkSession):
-    """Scans of sorted buckets count as sorted, so that merge joins take them as they are."""
-    before = spark.conf.get(ORDERED, "false")
-    spark.conf.set(ORDERED, "true")
+def run_settings(spark: SparkSession):
+    """SETTINGS while runs are read and written."""
+    before = {k: spark.conf.get(k) for k in SETTINGS}
     try:
+        for k, v in SETTINGS.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        spark.conf.set(ORDERED, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 class LineRuns:
@@ -55,7 +58,7 @@ class LineRuns:
         return [run for level in self.levels for run in level]
 
     def _save(self, df: DataFrame, tag: str) -> DataFrame:
-        with ordered_scans(df.sparkSession):
+        with run_settings(df.sparkSession):
             return save_bucketed(df, tag, "h", self.buckets)
 
     def _push(self, run: DataFrame) -> None:
@@ -68,7 +71,7 @@ class LineRuns:
             for r in old[1:]:
                 entries = entries.unionAll(r)
             entries = entries.groupBy("h").agg(F.sum("n").alias("n"), F.max("top").alias("top"), F.max("fresh").alias("fresh"))
-            merged = self._save(entries, "run")
+            merged = self._save(entries.repartition(self.buckets, "h").sortWithinPartitions("h"), "run")
             forget(*old)
             k += 1
             if k == len(self.levels):
@@ -93,12 +96,13 @@ class LineRuns:
         forget(batch)
 
     def hot(self, min_docs: int) -> DataFrame:
-        """(h, n, top) of the keys found in at least min_docs documents."""
+        """A saved table (h, n, top) of the keys found in at least min_docs documents."""
         runs = self._runs()
         entries = runs[0]
         for r in runs[1:]:
             entries = entries.unionAll(r)
-        return entries.groupBy("h").agg(F.sum("n").alias("n"), F.max("top").alias("top")).where(F.col("n") >= min_docs)
+        with run_settings(entries.sparkSession):
+            return save(entries.groupBy("h").agg(F.sum("n").alias("n"), F.max("top").alias("top")).where(F.col("n") >= min_docs), "hot")
 
     def forget(self) -> None:
         forget(*self._runs())
@@ -130,7 +134,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     runs = LineRuns(max(1, min(MOST_BUCKETS, total // rows_a_bucket)), fanout)
     for b in range(batches):
         runs.add(counted.where(F.col("batch") == b).select("h", "doc_id"))
-    hot = save(runs.hot(min_docs), "hot")
+    hot = runs.hot(min_docs)
     runs.forget()
     if twice is not None:
         forget(twice)

@@ -141,12 +141,13 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     often = max(10 * min_docs, -(-total // HEAVY))
     heavy = hot.where(F.col("n") >= often).select("h", F.col("top").alias("t"), F.lit(True).alias("is_heavy"))  # at most HEAVY rows, as total lines are split among them
     told = lines.join(F.broadcast(heavy), "h", "left")
-    rest = told.where("is_heavy IS NULL").drop("t").join(hot.where(F.col("n") < often).select("h", F.col("top").alias("t")), "h")
+    rest = told.where("is_heavy IS NULL").drop("t").join(hot.where(F.col("n") < often).select("h", F.col("top").alias("t")).hint("merge"), "h")
     drops = told.where("is_heavy").select("doc_id", "th", "pos", "t").unionAll(rest.select("doc_id", "th", "pos", "t"))
     drops = drops.where(~F.col("doc_id").eqNullSafe(F.col("t"))).groupBy("doc_id", "th").agg(F.collect_set("pos").alias("drops"))
     drops = save(drops.select(F.col("doc_id").alias("d"), "th", "drops"), "drops")
     forget(lines, hot)
     own = own.withColumn("h", F.xxhash64("text"))
+    drops = drops.hint("merge")  # the same plan at every size
     both = own.join(drops, own["doc_id"].eqNullSafe(drops["d"]) & (own["h"] == drops["th"]), "left")
     text = F.coalesce(F.col("text"), F.lit(""))
     kept = let(F.split(text, "\n"), lambda a: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(a) - 1), F.col("drops")), lambda i: F.get(a, i)), "\n"))

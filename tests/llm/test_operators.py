@@ -243,6 +243,47 @@ def test_near_dedup_of_edited_copies(spark, tables, block, percent):
     want, _ = brute_components(rows, percent)
     got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_components(spark.read.parquet(f"{at}/documents.parquet"), block, percent).collect()}
     assert got == want and len(set(want.values())) > 20
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_components(spark.read.parquet(f"{at}/documents.parquet"), block, percent, list_block=4).collect()}
+    assert got == want
+
+
+def near_sets(rng, n, size, kept):
+    base = rng.integers(0, 1 << 62, size).astype(np.uint64)
+    return [np.unique(np.r_[rng.choice(base, kept, replace=False), rng.integers(0, 1 << 62, size - kept).astype(np.uint64)]) for _ in range(n)]
+
+
+def test_union_sketches_against_plain_sets():
+    rng = np.random.default_rng(1)
+    k = near_dedup.SKETCH
+    sets = near_sets(rng, 12, 300, 280) + near_sets(rng, 6, 30, 28) + near_sets(rng, 6, 52, 50)
+    full = np.full((len(sets), k), near_dedup.NONE)
+    for i, x in enumerate(sets):
+        full[i, : min(k, len(x))] = x[:k]
+    for percent in (80, 85):
+        want = np.zeros((len(sets), len(sets)), bool)
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets):
+                least = sorted(set(x.tolist()) | set(y.tolist()))[:k]
+                both = len(set(least) & set(x.tolist()) & set(y.tolist()))
+                want[i, j] = both >= near_dedup.least_sketch(percent) if len(least) == k else 100 * both >= percent * len(least)
+                if 100 * len(set(x.tolist()) & set(y.tolist())) >= percent * len(set(x.tolist()) | set(y.tolist())):
+                    assert want[i, j]
+        a, b = map(np.ravel, np.indices(want.shape))
+        assert (near_dedup.estimate_pairs(full[a], full[b], percent) == want[a, b]).all()
+        assert all((near_dedup.estimate_one(full[i], full, percent) == want[i]).all() for i in range(len(sets)))
+        assert want.any() and not want.all()
+
+
+def test_a_common_shingle_makes_no_family(spark):
+    """One passage in all documents, which are else unlike: no candidate link."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    passage = " ".join(word() for _ in range(12))
+    docs = spark.createDataFrame([(i, " ".join([passage, *(word() for _ in range(40))])) for i in range(300)], "doc_id long, text string")
+    sk = docs.mapInArrow(near_dedup._sketches, "doc_id bigint, n bigint, fa bigint, fb bigint, sketch array<bigint>")
+    reps = sk.select(F.col("doc_id").alias("rep"), "n", "sketch")
+    assert near_dedup.candidates(reps, 85).count() == 0
+    assert near_dedup.near_components(docs).where("NOT kept").count() == 0
 
 
 # --- 6

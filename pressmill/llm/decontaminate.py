@@ -5,12 +5,15 @@ For each pattern length there is a shift table over blocks of two words: a block
 the pattern's length less one word; a block inside patterns lets it skip as far as the nearest end; a block that ends some
 pattern selects, by that suffix and the pattern's first word, the patterns to compare directly.
 
-Documents are scanned where they are, without a shuffle. The benchmark goes to the executors in blocks of items of
-`BLOCK_BYTES` bytes of text on average; one block, the usual case, is one pass, more blocks are as many passes whose spans
-are merged by document.
+The items' words are numbers in one array, patterns are places in it, and the tables are sorted arrays, so the structure takes a few
+times the bytes of its text (measured in the tests) and grows with it alone. Documents are scanned where they are, without a
+shuffle. The benchmark goes to the executors in blocks of items of `block_bytes` bytes of text on average; one block, the
+usual case, is one pass, more blocks are as many passes whose spans are merged by document. An item larger than that is dealt in
+parts that overlap by a window less one word.
 
 Defined results: null has no words; null items and items without words match nothing; a null item_id is the string ''.
-Equal item_ids are one item. Repeated documents are each judged on their own.
+Equal item_ids are one item, also with different texts. Repeated documents are each judged on their own. Without documents there are no
+rows, without a benchmark no hits. Texts may be of any length; equal windows of several items name all of them.
 """
 
 from __future__ import annotations
@@ -18,14 +21,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import columns, save, table
+from .common import ascii_lower, columns, forget, let, save, table
 
-WINDOW, BLOCK_BYTES = 10, 16_000_000
+WINDOW, BLOCK_BYTES = 10, 4_000_000
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A-Z are lowered, digits, a-z and every byte from 0x80 are word bytes, all else parts words.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -35,57 +40,77 @@ def words(text: bytes) -> list[bytes]:
 
 
 class WuManber:
-    """Finds patterns (tuples of words, all of one length) in a list of words."""
-
-    def __init__(self, patterns: list[tuple[bytes, ...]]):
-        self.m = len(patterns[0])
-        self.block = min(2, self.m)
-        self.far = self.m - self.block + 1
-        self.shift: dict[tuple[bytes, ...], int] = {}
-        self.ends: dict[tuple[bytes, ...], dict[bytes, list[tuple[bytes, ...]]]] = {}
-        for p in patterns:
-            for end in range(self.block, self.m + 1):
-                b = p[end - self.block : end]
-                self.shift[b] = min(self.shift.get(b, self.far), self.m - end)
-            self.ends.setdefault(p[self.m - self.block :], {}).setdefault(p[0], []).append(p)
-
-    def find(self, text: list[bytes]) -> Iterator[tuple[int, tuple[bytes, ...]]]:
-        """(start, pattern) of every occurrence, by start."""
-        m, far, shift, n, at = self.m, self.far, self.shift.get, len(text), self.m - 1
-        one = self.block == 1
-        while at < n:
-            b = (text[at],) if one else (text[at - 1], text[at])
-            s = shift(b, far)
+    """Finds windows of one length, given by their places in the items' words (numbers below `many`), in a document's words."""
+
+    def __init__(self, held: np.ndarray, places: np.ndarray, m: int, many: int):
+        self.held, self.m, self.many = held, m, many
+        self.block = min(2, m)
+        self.far = m - self.block + 1
+        blocks = self._blocks(held)
+        self.keys, number = np.unique(blocks, return_inverse=True)
+        self.shift = np.full(len(self.keys), self.far, np.int64)
+        for end in range(self.block, m + 1):  # the nearer the end the later, so that the least shift stays
+            self.shift[number[places + end - self.block]] = m - end
+        first = number[places + m - self.block] * many + held[places]
+        order = np.argsort(first, kind="stable")
+        self.first, self.places = first[order], places[order]
+
+    def _blocks(self, words: np.ndarray) -> np.ndarray:
+        """Numbers of the blocks of words, -1 where a word is not in any item."""
+        if self.block == 1:
+            return words
+        return np.where((words[:-1] < 0) | (words[1:] < 0), -1, words[:-1] * self.many + words[1:])
+
+    def find(self, text: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(start, place) of every occurrence of every window, by start."""
+        m, n = self.m, len(text)
+        if n < m:
+            return
+        blocks = self._blocks(text)
+        number = np.minimum(np.searchsorted(self.keys, blocks), len(self.keys) - 1)
+        shifts = np.where(self.keys[number] == blocks, self.shift[number], self.far).tolist()
+        at, back = m - self.block, m - self.block
+        while at < len(shifts):
+            s = shifts[at]
             if s:
                 at += s
                 continue
-            start = at - m + 1
-            for p in self.ends[b].get(text[start], ()):
-                if all(text[start + i] == p[i] for i in range(m)):
-                    yield start, p
+            start = at - back
+            if text[start] >= 0:
+                key = int(number[at]) * self.many + int(text[start])
+                low, high = np.searchsorted(self.first, [key, key + 1])
+                for place in self.places[low:high].tolist():
+                    if (self.held[place : place + m] == text[start : start + m]).all():
+                        yield start, place
             at += 1
 
 
 class Patterns:
-    """All windows of some items: a searcher for each length, and the items of each window."""
+    """All windows of some items: a searcher for each length, and the item of each place."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int):
-        self.items: dict[tuple[bytes, ...], set[str]] = {}
+        self.numbers: dict[bytes, int] = {}
+        self.names, starts, held, by_length, at = [], [], [], {}, 0
         for name, text in items:
             w = words(text)
-            for i in range(max(1, len(w) - window + 1) if w else 0):
-                self.items.setdefault(tuple(w[i : i + window]), set()).add(name)
-        lengths: dict[int, list[tuple[bytes, ...]]] = {}
-        for p in self.items:
-            lengths.setdefault(len(p), []).append(p)
-        self.searchers = [WuManber(x) for x in lengths.values()]
+            if w:
+                held.append(np.array([self.numbers.setdefault(x, len(self.numbers)) for x in w], np.int64))
+                self.names.append(name)
+                starts.append(at)
+                by_length.setdefault(min(window, len(w)), []).append(np.arange(at, at + max(1, len(w) - window + 1)))
+                at += len(w)
+        self.starts = np.array(starts, np.int64)
+        every = np.concatenate(held) if held else np.empty(0, np.int64)
+        self.searchers = [WuManber(every, np.concatenate(x), m, len(self.numbers)) for m, x in by_length.items()]
 
     def search(self, text: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         spans, found = [], set()
+        known = self.numbers.get
+        numbers = np.array([known(w, -1) for w in text], np.int64)
         for s in self.searchers:
-            for start, p in s.find(text):
+            for start, place in s.find(numbers):
                 spans.append((start, start + s.m))
-                found |= self.items[p]
+                found.add(self.names[int(np.searchsorted(self.starts, place, "right")) - 1])
         return spans, found
 
 
@@ -128,12 +153,15 @@ def find_items(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_by
     items (sorted names of the items with an occurring window)."""
     spark = docs.sparkSession
     bench = bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text")).where("text IS NOT NULL").distinct()
+    w, part = F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(WORD), F.lit(0)), max(1, block_bytes // 8)
+    parts_of = let(w, lambda a: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(a) - window), F.lit(part)), lambda i: F.array_join(F.slice(a, i + 1, part + window - 1), " ")))
+    bench = bench.select("item_id", F.explode(F.when(F.octet_length("text") > block_bytes, parts_of).otherwise(F.array("text"))).alias("text"))
     held = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-held // block_bytes))
     packed = docs.select(F.struct(*columns(docs)).alias("row"), F.col("text"))
     parts = []
     for b in range(blocks):
-        part = bench.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
+        part = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         items = spark.sparkContext.broadcast(tuple(sorted((r[0], r[1].encode()) for r in part.collect())))  # block_bytes
         if blocks == 1:
             out = _scan(packed, items, window)

@@ -554,11 +554,45 @@ def test_benchmark_in_blocks(spark, sf):
 
 def test_wu_manber_against_scanning():
     rng = random.Random(9)
-    words = [bytes([c]) for c in b"abc"]
     for m in (1, 2, 3, 5):
-        patterns = list({tuple(rng.choices(words, k=m)) for _ in range(6)})
-        text = rng.choices(words, k=200)
-        assert sorted(decontaminate.WuManber(patterns).find(text)) == sorted((i, p) for i in range(200 - m + 1) for p in patterns if tuple(text[i : i + m]) == p)
+        items = [("x", " ".join(rng.choices("abc", k=m)).encode()) for _ in range(6)] + [("y", b"a b a b a b")]
+        text = [w.encode() for w in rng.choices("abcd", k=300)]
+        found = decontaminate.Patterns(items, m)
+        patterns = {}
+        for name, t in items:
+            w = t.split()
+            for i in range(len(w) - m + 1):
+                patterns.setdefault(tuple(w[i : i + m]), set()).add(name)
+        hits = [(i, tuple(text[i : i + m])) for i in range(300 - m + 1) if tuple(text[i : i + m]) in patterns]
+        spans, names = found.search(text)
+        assert set(spans) == {(i, i + m) for i, _ in hits} and names == set().union(*(patterns[p] for _, p in hits))
+
+
+def test_a_large_item_is_dealt_in_parts(spark):
+    rng = random.Random(10)
+    words = [f"w{rng.randrange(50)}x{rng.randrange(50)}" for _ in range(3000)]
+    bench = spark.createDataFrame([("long", " ".join(words)), ("short", "one two three"), (None, None)], "item_id string, text string")
+    docs = [(0, " ".join(words)), (1, " ".join(["no", *words[300:312], "no"])), (2, " ".join(words[5:14])), (3, "zero One, two: three four"), (4, None)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["row"]["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in decontaminate.find_items(docs, bench, block_bytes=6000).collect()}
+    assert got == {0: (3000, 3000, ["long"]), 1: (14, 12, ["long"]), 2: (9, 0, []), 3: (5, 3, ["short"]), 4: (0, 0, [])}
+
+
+def test_a_block_of_the_benchmark_takes_little_memory():
+    import subprocess
+    import sys
+
+    code = """
+import random, resource
+from pressmill.llm import decontaminate as D
+rng = random.Random(1)
+words = ["".join(rng.choices("abcdefghij", k=6)).encode() for _ in range(200_000)]
+items = [(str(i), b" ".join(rng.choices(words, k=200))) for i in range(D.BLOCK_BYTES // 1400)]
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+D.Patterns(items, D.WINDOW)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split()[-1]) < 200
 
 
 # --- 10

@@ -80,6 +80,11 @@ def rounded(x: Column) -> Column:
     return F.floor(x + F.lit(0.5).cast("double"))
 
 
+def today_at(as_of: Column, hour: int, minute: int) -> Column:
+    """That time of the day of as_of."""
+    return F.date_trunc("day", as_of).cast("timestamp_ntz") + F.make_dt_interval(hours=F.lit(hour), mins=F.lit(minute))
+
+
 def greeting(at: Column) -> Column:
     return F.when(F.hour(at) < 12, "morning").otherwise("evening")
 

@@ -38,6 +38,15 @@ def japanese_date(c: Column) -> Column:
     return F.regexp_replace(c, "([0-9]{4})([0-9]{2})([0-9]{2})", "$1年$2月$3日")
 
 
+def shop_links(isbn: Column, shop_url: Column, catalog_url: Column) -> Column:
+    """Where to buy a book: the shop's own link or a search by ISBN, the bookseller by ISBN, the catalogue's link; null without any."""
+    bare, given = strip_isbn(F.coalesce(isbn, F.lit(""))), lambda c: F.coalesce(c, F.lit("")) != ""
+    shop = F.when(given(shop_url), shop_url).when(bare != "", F.concat(F.lit("https://books.rakuten.co.jp/search?sitem="), bare))
+    links = [("楽天ブックス", shop), ("Amazon", F.when(bare != "", F.concat(F.lit("https://www.amazon.co.jp/dp/"), bare))), ("Google Books", F.when(given(catalog_url), catalog_url))]
+    shown = F.array_compact(F.array(*(F.concat(F.lit(f"[{name}]("), url, F.lit(")")) for name, url in links)))
+    return F.when(F.size(shown) > 0, F.array_join(shown, " | "))
+
+
 def strip_isbn(c: Column) -> Column:
     return F.replace(c, F.lit("-"), F.lit(""))
 
@@ -110,14 +119,16 @@ def _matches(selector: str, tag: str, attrs: dict[str, str]) -> bool:
 
 
 class _Texts(HTMLParser):
-    """Text inside elements that match a selector, for each selector at once; dropped elements give none."""
+    """Text of the elements that match a selector, for each selector at once, an element inside another counting for both; dropped
+    elements give none."""
 
     def __init__(self, selectors: tuple[str, ...], drop: tuple[str, ...] = ()):
         super().__init__(convert_charrefs=True)
         self.selectors, self.drop = selectors, drop
-        self.open: list[tuple[str, tuple[int, ...], bool]] = []
-        self.inside, self.hidden = [0] * len(selectors), 0
-        self.texts: list[list[str]] = [[] for _ in selectors]
+        self.open: list[tuple[str, int, bool]] = []
+        self.hidden = 0
+        self.matches: list[list[list[str]]] = [[] for _ in selectors]  # the texts of each selector's elements, in document order
+        self.reading: list[list[str]] = []
 
     def handle_starttag(self, tag, attrs):
         if tag in VOID:
@@ -132,16 +143,16 @@ class _Texts(HTMLParser):
         a = {k: v or "" for k, v in attrs}
         hits = tuple(i for i, s in enumerate(self.selectors) if _matches(s, tag, a))
         off = any(_matches(s, tag, a) for s in self.drop)
-        self.open.append((tag, hits, off))
+        self.open.append((tag, len(hits), off))
         for i in hits:
-            self.inside[i] += 1
+            self.matches[i].append([])
+            self.reading.append(self.matches[i][-1])
         self.hidden += off
 
     def _close(self, at: int):
         for _, hits, off in self.open[at:]:
-            for i in hits:
-                self.inside[i] -= 1
             self.hidden -= off
+            del self.reading[len(self.reading) - hits :]
         del self.open[at:]
 
     def handle_endtag(self, tag):
@@ -151,33 +162,39 @@ class _Texts(HTMLParser):
 
     def handle_data(self, data):
         if not self.hidden:
-            for i, n in enumerate(self.inside):
-                if n:
-                    self.texts[i].append(data)
+            for text in self.reading:
+                text.append(data)
 
 
-def element_texts(html: str, selectors: tuple[str, ...], drop: tuple[str, ...] = ()) -> list[str]:
+def element_texts(html: str, selectors: tuple[str, ...], drop: tuple[str, ...] = ()) -> list[str | None]:
+    """The joined text of each selector's elements, None where it has none."""
     p = _Texts(selectors, drop)
     p.feed(html)
     p.close()
-    return ["".join(t) for t in p.texts]
+    return ["".join(map("".join, m)) if m else None for m in p.matches]
+
+
+def body_text(html: str) -> str:
+    """The elements of the first selector that matches any; all paragraphs where those hold no text, or none matches."""
+    *found, paragraphs = element_texts(html, (*BODY, "p"))
+    return next((t for t in found if t is not None), "") or paragraphs or ""
 
 
 @F.pandas_udf(StringType())
 def _raw_body(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in pages:
-        yield s.map(lambda h: next((t for t in element_texts(h, (*BODY, "p")) if t.strip()), "") if h else "")
+        yield s.map(lambda h: body_text(h) if h else "")
 
 
 @F.pandas_udf(StringType())
 def _raw_guide(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in pages:
-        yield s.map(lambda h: next((t for t in element_texts(h, GUIDE_BODY, GUIDE_DROP) if len(t.strip()) > 200), "") if h else "")
+        yield s.map(lambda h: next((t for t in element_texts(h, GUIDE_BODY, GUIDE_DROP) if t and len(t.strip()) > 200), "") if h else "")
 
 
 def page_body(html: Column, most: int = 8000) -> Column:
-    """The text of the first selector that has any, else of all paragraphs; runs of white space are one space. The cut after
-    `most` characters belongs to the feature."""
+    """The text of the first selector that matches, see body_text; runs of white space are one space. The cut after `most`
+    characters belongs to the feature."""
     t = trim_all(F.regexp_replace(_raw_body(html), "(?U)\\s\\s+", " "))
     return F.when(t != "", F.substring(t, 1, most))
 

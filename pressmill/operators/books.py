@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from ..functions.dates import in_window
 from ..functions.keywords import boundary_any, contains_any, count_matches, points
 from ..sources import rulepacks as R
+from ..work import save
 
 
 def filled(c: Column) -> Column:
@@ -116,6 +117,7 @@ def popular_score(books: DataFrame, themes=R.REVIEW_THEMES, hooks: Sequence[str]
 def first_branch(branches: Sequence[DataFrame]) -> DataFrame:
     """The rows of the first branch that has any, tagged with its number."""
     tagged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [d.withColumn("branch", F.lit(i)) for i, d in enumerate(branches)])
+    tagged = save(tagged, "branches")  # so that the books are scored once
     least = tagged.agg(F.min("branch").alias("_least"))
     return tagged.join(F.broadcast(least), tagged["branch"] == least["_least"]).drop("_least")  # one row
 

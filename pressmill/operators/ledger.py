@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import without_utm
+from ..work import save
 from .news import not_in
 
 
@@ -37,6 +38,17 @@ def book_row(books: DataFrame, now: Column) -> DataFrame:
     return books.select(F.coalesce("timestamp", now).alias("timestamp"), *(F.coalesce(c, F.lit("")).alias(c) for c in text), F.coalesce("score", F.lit(0)).alias("score"))
 
 
+def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+    """df with a gapless number from 0 by order, without a window over all rows: rows are ranged, numbered in their range, and the
+    counts of the ranges before (one row a range) are added."""
+    ranged = df.repartitionByRange(order).sortWithinPartitions(order).withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    ranged = save(ranged, "ranged")
+    sums = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("_range", before.alias("_before"))
+    return ranged.join(F.broadcast(sums), "_range").withColumn(name, F.col("_before") + F.col("_at")).drop("_range", "_at", "_before")
+
+
 def insert_absent(catalog: DataFrame, fresh: DataFrame, start: int = 72) -> DataFrame:
     """New catalog rows (content_id, url, title): clean URLs that the catalog lacks, first of equals, numbered on from the
     last id, `c` and at least three digits."""
@@ -44,16 +56,15 @@ def insert_absent(catalog: DataFrame, fresh: DataFrame, start: int = 72) -> Data
     clean = clean.withColumn("_n", F.row_number().over(Window.partitionBy("url").orderBy("ord"))).where("_n = 1").drop("_n")
     new = not_in(clean, catalog, "url")
     last = catalog.agg(F.coalesce(F.max(F.regexp_extract("content_id", "^c([0-9]+)$", 1).try_cast("int")), F.lit(start - 1)).alias("last"))
-    number = F.row_number().over(Window.orderBy("ord")) + F.col("last")
-    numbered = new.crossJoin(F.broadcast(last)).withColumn("number", number)  # one row
-    text = F.col("number").cast("string")
-    return numbered.select(F.concat(F.lit("c"), F.when(F.char_length(text) < 3, F.lpad(text, 3, "0")).otherwise(text)).alias("content_id"), "url", "title")
+    both = numbered(new, "ord", "number").crossJoin(F.broadcast(last))  # one row
+    text = (F.col("number") + 1 + F.col("last")).cast("string")
+    return both.select(F.concat(F.lit("c"), F.when(F.char_length(text) < 3, F.lpad(text, 3, "0")).otherwise(text)).alias("content_id"), "url", "title")
 
 
 def batches(emails: DataFrame, size: int = 50) -> DataFrame:
     """Recipients in batches by order: batch, n. Blank addresses go."""
     kept = emails.where(F.trim(F.coalesce("email", F.lit(""))) != "")
-    return kept.withColumn("batch", F.floor((F.row_number().over(Window.orderBy("ord")) - 1) / size))
+    return numbered(kept, "ord", "_number").withColumn("batch", F.floor(F.col("_number") / size)).drop("_number")
 
 
 #: Registration types that have a detail sheet or a mail of their own.
@@ -69,6 +80,23 @@ def route(registrations: DataFrame) -> DataFrame:
     return registrations.withColumns({"detail": pick(DETAIL), "mail": F.when(email != "", F.coalesce(pick(MAIL), F.lit("auto_reply")))})
 
 
+#: The kinds of rows that a post to the log may be, with their columns.
+LOGS = {"news": ["timestamp", "url", "title", "pub_date", "priority", "score"], "discussion": ["timestamp", "user_id", "username", "content", "news_title", "news_url", "news_post_date"]}
+
+
+def log_rows(posts: DataFrame, now: Column, kind: str = "type") -> DataFrame:
+    """Posts of all kinds as rows for append_typed: `sink`, and the columns of its kind; a missing time is now, kinds without a log go."""
+    sink = F.when(F.lower(kind).isin(list(LOGS)), F.lower(kind))
+    names = list(dict.fromkeys(c for cs in LOGS.values() for c in cs))
+    value = lambda c: F.when(sink.isin([k for k, cs in LOGS.items() if c in cs]), F.coalesce("timestamp", now) if c == "timestamp" else F.col(c))
+    return posts.select(sink.alias("sink"), *(value(c).alias(c) for c in names)).where("sink IS NOT NULL")
+
+
+def archive_row(mails: DataFrame, now: Column) -> DataFrame:
+    """Sent mails as rows of the archive."""
+    return mails.select(now.alias("sent_at"), "subject", "url", F.coalesce("recipients", F.lit(0)).cast("long").alias("recipients"), F.coalesce("body", F.lit("")).alias("body"), F.coalesce("post", F.lit("")).alias("post"))
+
+
 def detail_row(registrations: DataFrame, columns: list[str]) -> DataFrame:
     """Detail columns, a dash for what is missing, and the state of a new entry."""
     return registrations.select(*(F.when(F.coalesce(c, F.lit("")) == "", "-").otherwise(F.col(c)).alias(c) for c in columns), F.lit("未対応").alias("status"))

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..functions.dates import rounded
 from ..functions.keywords import contains_any, points
 from ..sources import rulepacks as R
-from ..work import save
+from ..work import forget, save
 
 
 def recent(at: Column, as_of: Column, hours: int) -> Column:
@@ -58,7 +58,7 @@ def top(df: DataFrame, k: int, *order: Column) -> DataFrame:
 def tiered(df: DataFrame, primary: Column, tech: Column, use: Column) -> DataFrame:
     """The first of P and T and U, P and T, P and U, P that has rows."""
     tier = F.when(primary & tech & use, 1).when(primary & tech, 2).when(primary & use, 3).when(primary, 4)
-    flagged = df.withColumn("tier", tier).where("tier IS NOT NULL")
+    flagged = save(df.withColumn("tier", tier).where("tier IS NOT NULL"), "tiers")  # so that the texts are matched once
     least = flagged.agg(F.min("tier").alias("_least"))
     return flagged.join(F.broadcast(least), flagged["tier"] == least["_least"]).drop("_least")  # one row
 
@@ -70,7 +70,13 @@ def not_in(df: DataFrame, ledger: DataFrame, key: str, ledger_key: str | None =
 
 
 def pick_seeded(df: DataFrame, key: str, seed: int) -> DataFrame:
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(1)
+    """One row, picked by a hash of the seed and the key."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), key).limit(1)
+
+
+def interesting(words: Sequence[str], *texts: Column) -> Column:
+    """Any of the words in any of the texts, joined by spaces, whatever the case."""
+    return contains_any(F.lower(F.concat_ws(" ", *(F.coalesce(t, F.lit("")) for t in texts))), words)
 
 
 # --- engagement and trends
@@ -106,6 +112,13 @@ def trend_counts(news: DataFrame, words: Sequence[str]) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("hits"), "first"))).drop("first")  # a row a keyword
 
 
+def merged_terms(answers: DataFrame, k: int = 5) -> DataFrame:
+    """answers (ord, terms: map): the terms of all, in the order first seen, each as last explained, the first k."""
+    terms = answers.select("ord", F.posexplode("terms").alias("at", "term", "meaning"))
+    once = terms.groupBy("term").agg(F.min(F.struct("ord", "at")).alias("first"), F.max_by("meaning", F.struct("ord", "at")).alias("meaning"))
+    return top(once, k, F.col("first")).select("rank", "term", "meaning")
+
+
 def recent_topics(news: DataFrame, words: Sequence[str], as_of: Column, days: int = 3, k: int = 5) -> DataFrame:
     """The first k keywords, in the order seen, of the news of the last days."""
     fresh = news.where(F.col("at") >= as_of - F.make_dt_interval(F.lit(days)))
@@ -149,5 +162,7 @@ def leaders(items: DataFrame, least: int = 70) -> DataFrame:
         earlier = pairs.join(state, pairs["a"] == state["key"]).groupBy("b").agg(F.bool_or(F.coalesce("lead", F.lit(False))).alias("led"), F.bool_or(F.col("lead").isNull()).alias("open"))
         after = state.join(earlier, state["key"] == earlier["b"], "left")
         lead = F.when(F.col("lead").isNotNull(), F.col("lead")).when(F.col("led"), False).when(~F.coalesce("open", F.lit(False)), True)
-        state = save(after.select("key", lead.alias("lead")), "state")
+        before, state = state, save(after.select("key", lead.alias("lead")), "state")
+        forget(before)
+    forget(titles, pairs)
     return state.where("lead").select(F.col("key").alias("ord"))

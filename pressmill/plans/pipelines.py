@@ -45,9 +45,9 @@ def roblox(articles: DataFrame, as_of: Column, k: int = 5) -> DataFrame:
     return N.top(out, k, F.desc("score"), F.col("ord")).withColumn("title", escape_brackets(F.col("title")))
 
 
-def global_research(articles: DataFrame, posted: DataFrame, as_of: Column, k: int = 3) -> DataFrame:
+def global_research(articles: DataFrame, posted: DataFrame, as_of: Column, k: int = 3, **words) -> DataFrame:
     fresh = N.not_in(articles.where(N.recent(F.col("iso_ts"), as_of, 48)), posted, "link")
-    return N.top(N.score_global(fresh), k, F.desc("score"), F.col("ord")).withColumn("site", host(F.col("link")))
+    return N.top(N.score_global(fresh, **words), k, F.desc("score"), F.col("ord")).withColumn("site", host(F.col("link")))
 
 
 def scored_books(books: DataFrame, as_of: Column, popular: bool, **rules) -> DataFrame:
@@ -72,7 +72,7 @@ def book_of_the_day(agri: DataFrame, popular: DataFrame, posted: DataFrame, as_o
 
 def repost(books: DataFrame, as_of: Column, least: int = REPOST_LEAST, **rules) -> DataFrame:
     """Where nothing new qualifies: the newest book of enough points, whether posted or not."""
-    scored = scored_books(books, as_of, True, **rules).where((F.col("keyword_score") > 0) & (F.col("total") >= least))
+    scored = scored_books(books, as_of, True, **rules).where((F.col("keyword_score") >= 0) & (F.col("total") >= least))
     return scored.orderBy(*B.by_date(scored)).limit(1)
 
 

@@ -257,11 +257,94 @@ def llm_pick_fallback(s, sf):
 
 
 def headline_pipeline(s, sf):
-    posted = S.posted(s, sf).join(S.articles(s, sf), F.col("doc_id") == F.col("ord")).select("link")
-    return P.headlines(S.articles(s, sf), posted, N.engagement(S.posts(s, sf)), ts(AS_OF), R.FIXTURE, R.FIXTURE_EXCLUSION)
+    return P.headlines(S.articles(s, sf), _posted_links(s, sf), N.engagement(S.posts(s, sf)), ts(AS_OF), R.FIXTURE, R.FIXTURE_EXCLUSION)
 
 
-NAMES = """news_category_score news_exclusion_filter headline_top3 headline_posted_antijoin news_tier_fallback roblox_score_top5
+RECENT, RECENT_48, BOOK_DAY = "2024-01-02 01:00:00", "2024-01-03 01:00:00", "1995-06-15 09:30:00"
+
+
+def _posted_links(s, sf):
+    return S.posted(s, sf).join(S.articles(s, sf), F.col("doc_id") == F.col("ord")).select("link")
+
+
+def daily_news_pick(s, sf):
+    return P.daily_news(S.articles(s, sf), ts(RECENT), ["that"], ["llm"], ["release"], R.FIXTURE_EXCLUSION, seed=7).select("ord", "link", "tier")
+
+
+def roblox_daily(s, sf):
+    return P.roblox(S.articles(s, sf), ts(RECENT)).select("rank", "ord", "title", "score", "label")
+
+
+def global_research_top3(s, sf):
+    out = P.global_research(S.articles(s, sf), _posted_links(s, sf), ts(RECENT_48), agri=["that"], tech=["llm", "iot"], research=["this"])
+    return out.select("rank", "ord", "site", "score", "label")
+
+
+def _day_books(s, sf, least):
+    b = S.books(s, sf)
+    out = P.book_of_the_day(b, b, b.where("ord % 50 = 0").select("isbn"), ts(BOOK_DAY), AGRI_RULES, POPULAR_RULES, least)
+    return out.select("ord", "isbn", "branch", "window_no", "keyword_score", "freshness", "quality", "total")
+
+
+def book_of_the_day(s, sf):
+    return _day_books(s, sf, (P.AGRI_LEAST, P.POPULAR_LEAST))
+
+
+def book_of_the_day_general(s, sf):
+    """As no book has so many points, the specialist branch is empty."""
+    return _day_books(s, sf, ((1000, 1000), P.POPULAR_LEAST))
+
+
+def book_repost(s, sf):
+    return P.repost(S.books(s, sf), ts(BOOK_DAY), **POPULAR_RULES).select("ord", "keyword_score", "total")
+
+
+def headline_message(s, sf):
+    fresh = S.articles(s, sf).where(N.recent(F.col("iso_ts"), ts(AS_OF), 24))
+    out = N.score_news(fresh, R.FIXTURE, R.FIXTURE_EXCLUSION)
+    return P.render_headline(N.top(out, 3, F.desc("score"), F.desc("iso_ts"), F.col("ord"))).select("rank", "message")
+
+
+def trend_prompt(s, sf):
+    news = S.recent_news(s, sf)
+    trend = F.when(F.contains(F.lower("title"), F.lit("the")), F.concat(F.lit("the: "), F.col("ord").cast("string"))).otherwise("none")
+    return news.select("ord", P.trend_context(F.lit("Explain."), trend, "none").alias("prompt"))
+
+
+def shop_links(s, sf):
+    b = S.books(s, sf)
+    shop = F.when(F.col("ord") % 3 == 0, F.concat(F.lit("https://shop.example/"), F.col("ord").cast("string")))
+    catalog = F.when(F.col("ord") % 5 == 0, F.concat(F.lit("https://catalog.example/"), F.col("ord").cast("string"))).otherwise("")
+    return b.select("ord", X.shop_links(F.col("isbn"), shop, catalog).alias("links"))
+
+
+def merged_terms(s, sf):
+    """Terms are the first letters of part names, explained by the names."""
+    p = table(s, sf, "part")
+    return N.merged_terms(p.select(F.col("p_partkey").alias("ord"), F.create_map(F.substring("p_name", 1, 1), F.col("p_name"), F.col("p_brand"), F.col("p_name")).alias("terms")))
+
+
+def interest_filter(s, sf):
+    return S.books(s, sf).where(N.interesting(["Ring", "STEEL"], F.col("title"), F.col("author"), F.col("publisher"))).select("ord", "title")
+
+
+def log_router(s, sf):
+    posts = table(s, sf, "conversations").select(F.when(F.col("role") == "user", "Discussion").when(F.col("role") == "assistant", "news").otherwise("other").alias("type"), F.lit(None).cast("string").alias("timestamp"), *(F.col("text").alias(c) for c in ("title", "content")), *(F.col("conv_id").cast("string").alias(c) for c in ("url", "user_id", "username", "news_title", "news_url")), *(F.lit("").alias(c) for c in ("pub_date", "priority", "news_post_date")), F.col("turn").alias("score"))
+    return L.log_rows(posts, F.lit(AS_OF)).select("sink", "timestamp", "url", "user_id", F.md5(F.coalesce("content", "title").cast("binary")).alias("text_md5"), "score")
+
+
+def archive_rows(s, sf):
+    mails = table(s, sf, "pages").select(F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("subject"), "url", F.when(F.col("page_id") % 2 == 0, F.col("page_id")).alias("recipients"), F.lit(None).cast("string").alias("body"), F.lit("post").alias("post"))
+    return L.archive_row(mails, F.lit(AS_OF))
+
+
+def mail_hours(s, sf):
+    at = F.expr("CAST(ts AS TIMESTAMP_NTZ)")
+    return table(s, sf, "events").select("event_id", D.greeting(at).alias("greeting"), D.is_draft_hour(at).alias("draft"), F.date_format(D.today_at(at, 9, 5), "yyyy-MM-dd HH:mm:ss").alias("due"))
+
+
+NAMES = """daily_news_pick roblox_daily global_research_top3 book_of_the_day book_of_the_day_general book_repost headline_message
+trend_prompt shop_links merged_terms interest_filter log_router archive_rows mail_hours news_category_score news_exclusion_filter headline_top3 headline_posted_antijoin news_tier_fallback roblox_score_top5
 global_score_synergy kw_boundary_match kw_match_count trend_keyword_counts trend_recent_topics engagement_metrics
 engagement_dynamic_score title_similarity_pairs fuzzy_dedup_leaders book_merge_cover book_dedupe_identity book_partial_date
 book_date_window book_adaptive_window book_freshness_bonus book_quality_bonus book_agri_score book_popular_score
@@ -304,10 +387,59 @@ pop3 AS (SELECT *, CASE WHEN {_like(_r["exclusion"], "full_txt")} THEN 'generic'
   concat_ws(' & ', {", ".join(f"CASE WHEN h{i} > 0 THEN '{n}' END" for i, (n, _, _) in enumerate(THEMES))}, {", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c, _ in _b)}) AS cats FROM pop2)"""
 FRESH = "CASE WHEN {d} IS NULL THEN 0 WHEN {d} > 90 THEN -10 WHEN {d} > 30 THEN 1 WHEN {d} > 0 THEN 5 WHEN {d} >= -7 THEN 5 WHEN {d} >= -14 THEN 4 WHEN {d} >= -30 THEN 3 WHEN {d} >= -60 THEN 2 WHEN {d} >= -90 THEN 1 ELSE 0 END"
 QUAL = "least(CASE WHEN {n} >= 100 THEN 8 WHEN {n} >= 30 THEN 6 WHEN {n} >= 10 THEN 4 WHEN {n} >= 3 THEN 2 ELSE 0 END + CASE WHEN {n} >= 5 AND coalesce(review_average, 0) >= 4 THEN 4 ELSE 0 END + CASE WHEN coalesce(description, '') = '' THEN -3 ELSE 0 END, 12)::INT"
+_ALIKE = "CASE WHEN greatest(length({a}), length({b})) = 0 THEN 100 ELSE floor((greatest(length({a}), length({b})) - levenshtein({a}, {b}))::DOUBLE / greatest(length({a}), length({b})) * 100 + 0.5) END"
+
+
+def _greedy(stop: int | None) -> str:
+    """From o (i, ord, t), one title after the other: ids, the ord of those that no earlier kept title is like."""
+    alike = _ALIKE.format(a="k", b="o.t")
+    ok = f"len(list_filter(r.kept, lambda k: {alike} >= 70)) = 0"
+    until = f" WHERE len(r.ids) < {stop}" if stop else ""
+    return f"r AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS kept, []::BIGINT[] AS ids UNION ALL SELECT o.i, CASE WHEN {ok} THEN list_append(r.kept, o.t) ELSE r.kept END, CASE WHEN {ok} THEN list_append(r.ids, o.ord) ELSE r.ids END FROM r JOIN o ON o.i = r.i + 1{until}), leaders AS (SELECT unnest(ids) AS ord FROM (SELECT ids FROM r ORDER BY i DESC LIMIT 1))"
+
+
+_DAY = f"TIMESTAMP '{BOOK_DAY}'"
+_int = lambda a, b: f"try_cast(regexp_extract(pubdate[{a}:{b}], '^\\s*[+-]?([0-9]+)', 1) AS INT)"
+
+
+def _near(name: str, windows: list[tuple[int, int]]) -> str:
+    inside = lambda back, ahead: f"coalesce(win_date::TIMESTAMP <= {_DAY} + INTERVAL 6 MONTH AND win_date::TIMESTAMP >= {_DAY} - INTERVAL {back} DAY AND win_date::TIMESTAMP <= {_DAY} + INTERVAL {ahead} DAY, false)"
+    flags = ", ".join(f"{inside(*w)} AS w{i}" for i, w in enumerate(windows))
+    choice = "CASE WHEN count_if(w0) >= 3 THEN 0 WHEN count_if(w1) >= 3 THEN 1 WHEN count_if(w2) >= 3 THEN 2 WHEN count_if(w3) >= 1 THEN 3 ELSE -1 END"
+    return f"f_{name} AS (SELECT *, {flags} FROM merged), {name} AS (SELECT f_{name}.*, window_no FROM f_{name}, (SELECT {choice} AS window_no FROM f_{name}) WHERE window_no = -1 OR [w0, w1, w2, w3][window_no + 1])"
+
+
+_BONUS = f"({FRESH.format(d='(pub_date - DATE ' + chr(39) + BOOK_DAY[:10] + chr(39) + ')')})::INT AS freshness, {QUAL.format(n='review_count')} AS quality"
+
+
+def _day_sql(least: tuple[tuple[int, int], tuple[int, int]]) -> str:
+    branch = lambda i, rows: f"b{i} AS (SELECT ord, isbn, {i} AS branch, window_no, points AS keyword_score, freshness, quality, (points + freshness + quality)::INT AS total FROM (SELECT *, {_BONUS} FROM {rows} WHERE reason IS NULL AND isbn NOT IN (SELECT isbn FROM books WHERE ord % 50 = 0)) WHERE keyword_score >= {least[i][0]} AND total >= {least[i][1]})"
+    return f"""WITH {BOOKS}, far AS (SELECT * FROM dated WHERE pubdate IS NULL OR length(pubdate) < 8 OR coalesce(make_date({_int(1, 4)}, 1, 1) + INTERVAL 1 MONTH * ({_int(5, 6)} - 1) + INTERVAL 1 DAY * ({_int(7, 8)} - 1) <= {_DAY} + INTERVAL 6 MONTH, false)),
+      one AS (SELECT *, min(ord) OVER (PARTITION BY isbn) AS first_ord FROM far WHERE isbn <> '' QUALIFY row_number() OVER (PARTITION BY isbn ORDER BY (cover <> '') DESC, ord) = 1), merged AS (SELECT * EXCLUDE (ord, first_ord), first_ord AS ord FROM one),
+      {_near("near_a", B.AGRI_WINDOWS)}, {_near("near_p", B.POPULAR_WINDOWS)}, {AGRI_SQL.replace("FROM books", "FROM near_a")}, {POPULAR_SQL.replace("FROM dated", "FROM near_p")}, {branch(0, "agri1")}, {branch(1, "pop3")}
+      SELECT * FROM b0 UNION ALL SELECT * FROM b1 WHERE (SELECT count(*) FROM b0) = 0"""
+
+
 _search = K.distinct_words(R.POPULAR_REVIEW_SEARCH)
 _mail = {**L.MAIL}
 
 ORACLES = {
+    "daily_news_pick": f"WITH {ARTICLES}, t AS (SELECT ord, link, CASE WHEN contains(text, 'that') THEN CASE WHEN contains(text, 'llm') AND contains(text, 'release') THEN 1 WHEN contains(text, 'llm') THEN 2 WHEN contains(text, 'release') THEN 3 ELSE 4 END END AS tier FROM articles WHERE iso_ts >= TIMESTAMP '{RECENT}' - INTERVAL 24 HOUR AND NOT {_like(R.FIXTURE_EXCLUSION)}) SELECT ord, link, tier FROM t WHERE tier = (SELECT min(tier) FROM t) ORDER BY md5('7:' || link), link LIMIT 1",
+    "roblox_daily": f"WITH {ARTICLES}, {ROB} SELECT row_number() OVER (ORDER BY score DESC, ord)::INT AS rank, ord, translate(title, '[]', '［］') AS title, score, label FROM rob JOIN articles USING (ord) WHERE score >= 5 AND iso_ts >= TIMESTAMP '{RECENT}' - INTERVAL 24 HOUR QUALIFY rank <= 5",
+    "global_research_top3": f"WITH {ARTICLES}, g AS (SELECT ord, link, {_like(['llm', 'iot'])} AS t, contains(text, 'this') AS r FROM articles WHERE contains(text, 'that') AND iso_ts >= TIMESTAMP '{RECENT_48}' - INTERVAL 48 HOUR AND ord NOT IN (SELECT doc_id FROM labels WHERE quality = 0)), s AS (SELECT ord, regexp_extract(link, '^https?://([^/?#]+)', 1) AS site, (5 + CASE WHEN t THEN 15 ELSE 0 END + CASE WHEN r THEN 3 ELSE 0 END)::INT AS score, concat_ws(' + ', 'Agri', CASE WHEN t THEN 'Tech' END, CASE WHEN r THEN 'Research' END, CASE WHEN t THEN 'Agri-Tech Synergy' END) AS label FROM g) SELECT row_number() OVER (ORDER BY score DESC, ord)::INT AS rank, * FROM s QUALIFY rank <= 3",
+    "book_of_the_day": _day_sql((P.AGRI_LEAST, P.POPULAR_LEAST)),
+    "book_of_the_day_general": _day_sql(((1000, 1000), P.POPULAR_LEAST)),
+    "book_repost": f"WITH {BOOKS}, {POPULAR_SQL} SELECT ord, points AS keyword_score, (points + freshness + quality)::INT AS total FROM (SELECT *, {_BONUS} FROM pop3 WHERE reason IS NULL) WHERE total >= {P.REPOST_LEAST} ORDER BY pub_date DESC NULLS LAST, ord LIMIT 1",
+    "headline_message": f"WITH {NEWS_SQL}, b AS (SELECT row_number() OVER (ORDER BY score DESC, iso_ts DESC, ord)::INT AS rank, * FROM scored WHERE iso_ts >= {HEAD} - INTERVAL 24 HOUR QUALIFY rank <= 3) SELECT rank, rank || '. [' || translate(CASE WHEN length(title) > 80 THEN title[1:80] || '...' ELSE title END, '[]', '［］') || '](' || link || ') ' || label || ' ' || score AS message FROM b",
+    "trend_prompt": "SELECT item_id AS ord, CASE WHEN contains(lower(text), 'the') THEN 'the: ' || item_id || chr(10) ELSE '' END || 'Explain.' AS prompt FROM benchmark",
+    "shop_links": f"WITH {BOOKS}, l AS (SELECT ord, list_filter([CASE WHEN ord % 3 = 0 THEN '[楽天ブックス](https://shop.example/' || ord || ')' WHEN isbn <> '' THEN '[楽天ブックス](https://books.rakuten.co.jp/search?sitem=' || isbn || ')' END, CASE WHEN isbn <> '' THEN '[Amazon](https://www.amazon.co.jp/dp/' || isbn || ')' END, CASE WHEN ord % 5 = 0 THEN '[Google Books](https://catalog.example/' || ord || ')' END], lambda x: x IS NOT NULL) AS a FROM books) SELECT ord, CASE WHEN len(a) > 0 THEN array_to_string(a, ' | ') END AS links FROM l",
+    "merged_terms": "WITH t AS (SELECT p_partkey * 2 AS pos, p_name[1:1] AS term, p_name AS meaning FROM part UNION ALL SELECT p_partkey * 2 + 1, p_brand, p_name FROM part), m AS (SELECT term, min(pos) AS f, arg_max(meaning, pos) AS meaning FROM t GROUP BY term) SELECT row_number() OVER (ORDER BY f)::INT AS rank, term, meaning FROM m QUALIFY rank <= 5",
+    "interest_filter": "SELECT p_partkey AS ord, p_name AS title FROM part WHERE contains(lower(p_name || ' ' || p_type || ' ' || p_brand), 'ring') OR contains(lower(p_name || ' ' || p_type || ' ' || p_brand), 'steel')",
+    "log_router": f"SELECT CASE role WHEN 'user' THEN 'discussion' ELSE 'news' END AS sink, '{AS_OF}' AS timestamp, CASE WHEN role = 'assistant' THEN conv_id::VARCHAR END AS url, CASE WHEN role = 'user' THEN conv_id::VARCHAR END AS user_id, md5(text) AS text_md5, CASE WHEN role = 'assistant' THEN turn END AS score FROM conversations WHERE role IN ('user', 'assistant')",
+    "archive_rows": f"SELECT '{AS_OF}' AS sent_at, 'page ' || page_id AS subject, url, CASE WHEN page_id % 2 = 0 THEN page_id ELSE 0 END::BIGINT AS recipients, '' AS body, 'post' AS post FROM pages",
+    "mail_hours": "SELECT event_id, CASE WHEN hour(ts) < 12 THEN 'morning' ELSE 'evening' END AS greeting, isodow(ts) <= 5 AND hour(ts) = 10 AS draft, strftime(date_trunc('day', ts) + INTERVAL 9 HOUR + INTERVAL 5 MINUTE, '%Y-%m-%d %H:%M:%S') AS due FROM events",
+    "fuzzy_dedup_leaders": f"WITH RECURSIVE o AS (SELECT row_number() OVER (ORDER BY min(p_partkey)) AS i, min(p_partkey) AS ord, p_name AS t FROM part GROUP BY p_name), {_greedy(None)} SELECT ord FROM leaders",
+    "headline_pipeline": f"WITH RECURSIVE {NEWS_SQL}, {METRICS_SQL}, m AS (SELECT avg(posts) AS p, avg(mean_length) AS l FROM metrics WHERE posts >= 3), f AS (SELECT scored.*, (score + floor(score * (CASE WHEN p >= 10 THEN 0.2::DOUBLE WHEN p >= 5 THEN 0.15::DOUBLE WHEN p >= 3 THEN 0.1::DOUBLE ELSE 0 END) + 0.5) + CASE WHEN l >= 200 THEN floor(score * 0.1::DOUBLE + 0.5) ELSE 0 END)::INT AS final_score FROM scored, m WHERE iso_ts >= {HEAD} - INTERVAL 24 HOUR AND ord NOT IN (SELECT doc_id FROM labels WHERE quality = 0)), o AS (SELECT *, lower(title) AS t, row_number() OVER (ORDER BY final_score DESC, iso_ts DESC, ord) AS i FROM f), {_greedy(3)} SELECT row_number() OVER (ORDER BY i)::INT AS rank, ord, title, link, score, final_score, label FROM o JOIN leaders USING (ord)",
     "news_category_score": f"WITH {NEWS_SQL} SELECT ord, score, label FROM scored",
     "news_exclusion_filter": f"WITH {ARTICLES} SELECT ord, link FROM articles WHERE NOT {_like(R.FIXTURE_EXCLUSION)}",
     "headline_top3": f"WITH {NEWS_SQL} SELECT row_number() OVER (ORDER BY score DESC, iso_ts DESC, ord)::INT AS rank, ord, link, score, label FROM scored WHERE iso_ts >= {HEAD} - INTERVAL 24 HOUR QUALIFY rank <= 3",

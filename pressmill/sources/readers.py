@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions.dates import sales_date
 from ..functions.text import strip_isbn, trim_all
+from ..operators.news import interesting
 
 RSS_ITEM = "title string, link string, description string, `content:encoded` string, isoDate string, pubDate string"
 
@@ -70,22 +71,48 @@ def search_items(raw: DataFrame, column: str = "xml") -> DataFrame:
     return out.where((F.col("title") != "") & (F.char_length("isbn") >= 10))
 
 
-def release_hints(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Links to books on a new-release page: isbn, and the hint of a title from the link's text."""
-    found = F.regexp_extract_all(html, F.lit(r'(?s)(<a[^>]*href="[^"]*/bd/isbn/[0-9]{13}[^"]*"[^>]*>.*?</a>)'), F.lit(1))
-    link = pages.select(F.posexplode(found).alias("ord", "a"))
-    text = trim_all(F.regexp_replace("a", "<[^>]*>", ""))
-    alt = F.regexp_extract("a", 'alt="([^"]*)"', 1)
-    hint = link.select("ord", F.regexp_extract("a", "/bd/isbn/([0-9]{13})", 1).alias("isbn"), F.substring(F.when(text != "", text).otherwise(alt), 1, 120).alias("title"))
-    return hint.withColumn("_n", F.row_number().over(Window.partitionBy("isbn").orderBy("ord"))).where("_n = 1").drop("_n")
+def release_hints(pages: DataFrame, words: Sequence[str] | None = None, html: str = "html") -> DataFrame:
+    """Links to books on a new-release page: isbn, and hints from the link and its row, cell or block: title, publisher, author, date. With
+    words, only books with one of them in their hints or the text around."""
+    block = r"(?s)(<(?:tr|li|div)\b[^>]*>(?:(?!<(?:tr|li|div)\b).)*?<a[^>]*href=\"[^\"]*/bd/isbn/[0-9]{13}[^\"]*\"[^>]*>.*?</a>.*?(?=</?(?:tr|li|div)\b|$))"
+    bare = r'(?s)(<a[^>]*href="[^"]*/bd/isbn/[0-9]{13}[^"]*"[^>]*>.*?</a>)'
+    blocks, links = F.regexp_extract_all(html, F.lit(block), F.lit(1)), F.regexp_extract_all(html, F.lit(bare), F.lit(1))
+    link = pages.select(F.posexplode(F.when(F.size(blocks) > 0, blocks).otherwise(links)).alias("ord", "b"))
+    link = link.withColumn("a", F.regexp_extract("b", bare, 1))
+    plain = lambda c: trim_all(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", ""), "\\s+", " "))
+    around, text, alt = plain("b"), plain("a"), F.regexp_extract("a", 'alt="([^"]*)"', 1)
+    hint = lambda p: F.regexp_extract(around, p, 1)
+    day = F.regexp_extract(around, "([0-9]{4}[/年-]\\s?[0-9]{1,2}[/月-]\\s?[0-9]{1,2})", 1)
+    out = link.select(
+        "ord",
+        F.regexp_extract("a", "/bd/isbn/([0-9]{13})", 1).alias("isbn"),
+        F.when(text != "", text).when(alt != "", alt).otherwise(F.substring(around, 1, 120)).alias("title"),
+        hint("出版社[:：]?\\s*([^\\s|｜/／]+)").alias("publisher"),
+        hint("著者?[:：]?\\s*([^\\s|｜/／]+)").alias("author"),
+        F.regexp_replace(F.regexp_replace(day, "\\s", ""), "[/年月]", "-").alias("pubdate"),
+        around.alias("around"),
+    )
+    if words is not None:
+        out = out.where(interesting(words, *map(F.col, ("title", "author", "publisher", "around"))))
+    return out.drop("around").withColumn("_n", F.row_number().over(Window.partitionBy("isbn").orderBy("ord"))).where("_n = 1").drop("_n")
+
+
+def with_details(hints: DataFrame, details: DataFrame, words: Sequence[str] | None = None) -> DataFrame:
+    """Left join on ISBN: the detail row where there is one, else the hint, which needs a title; with words, only books that name one
+    in title, author or publisher."""
+    names = ("title", "author", "publisher", "pubdate", "description")
+    d = details.select(F.col("isbn").alias("_isbn"), *(F.col(c).alias(f"_{c}") for c in names))
+    both = hints.join(d, hints["isbn"] == d["_isbn"], "left")
+    value = lambda c: F.coalesce(f"_{c}", F.when(F.col(c) != "", F.col(c))) if c in hints.columns else F.col(f"_{c}")
+    out = both.select("ord", "isbn", *(value(c).alias(c) for c in names)).where("title IS NOT NULL")
+    return out if words is None else out.where(interesting(words, F.col("title"), F.col("author"), F.col("publisher")))
 
 
-def with_details(hints: DataFrame, details: DataFrame) -> DataFrame:
-    """Left join on ISBN: the detail row where there is one, else the hint, which needs a title."""
-    d = details.select(F.col("isbn").alias("_isbn"), *(F.col(c).alias(f"_{c}") for c in ("title", "author", "publisher", "pubdate", "description")))
-    both = hints.join(d, hints["isbn"] == d["_isbn"], "left")
-    title = F.coalesce("_title", F.when(F.col("title") != "", F.col("title")))
-    return both.select("ord", "isbn", title.alias("title"), *(F.col(f"_{c}").alias(c) for c in ("author", "publisher", "pubdate", "description"))).where("title IS NOT NULL")
+def ledger(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A ledger (posted links, posted ISBNs, discussion, recent news, subscribers) by its schema; one that is not there yet is empty."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
 
 
 def registration(raw: DataFrame, column: str = "body") -> DataFrame:

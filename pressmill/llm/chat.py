@@ -8,8 +8,9 @@ Conversations may have any number of lines, so they are cut into blocks of LINES
 matrix (best score from any state before it to any state at its end), a scan over a conversation's matrices gives each block
 its entry and exit states, and each block is decoded between those. The result is the best path of the whole conversation.
 
-Defined results: null texts are empty lines; lines before the first marker get the role that fits best; a null conv_id is a
-conversation of its own; rows of equal conv_id and turn follow each other by text.
+Defined results: null texts are empty lines; lines before the first marker get the role that fits best; all rows with a null
+conv_id are one conversation; rows of equal conv_id and turn follow each other by text, repeated ones too; an empty table gives no
+turns. Texts may have any number of lines. Training reads the first LINES turns of SAMPLE conversations, with 50 lines of a turn at most.
 """
 
 from __future__ import annotations

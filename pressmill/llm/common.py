@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..work import forget, save, save_bucketed, table, work_dir
+from ..work import forget, mark, release, save, save_bucketed, table, work_dir
 
-__all__ = ["ascii_lower", "columns", "components", "forget", "let", "save", "save_bucketed", "table", "work_dir"]
+__all__ = ["ascii_lower", "columns", "components", "forget", "let", "mark", "release", "save", "save_bucketed", "table", "work_dir"]
 
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

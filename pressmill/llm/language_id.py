@@ -6,9 +6,11 @@ all windows of its whole text. The filters are sums of one table row per byte, s
 table over byte pairs, in 16-bit integers, and a window costs a gather, two additions and three maxima a byte.
 
 Training takes at most DOCS_A_LANG labelled documents of each language, those with the smallest hash of doc_id, and
-WINDOWS_A_DOC windows of each: a bound on what reaches the driver, not on what is predicted.
+WINDOWS_A_DOC windows of each, spread evenly over its whole text: a bound on what reaches the driver, not on what is predicted.
 
-Defined results: null texts and texts without a letter are `und` with score 0; so is everything where nothing was learned.
+Defined results: null texts and texts without a letter are `und` with score 0; so is everything where nothing was learned. Repeated
+rows are judged each, and alike; of equally probable languages the first by name is taken; an empty table gives no rows. Texts may be of any
+length: their windows are read in parts of a fixed size.
 """
 
 from __future__ import annotations
@@ -125,17 +127,18 @@ def train(docs: DataFrame, docs_a_lang: int = DOCS_A_LANG) -> dict | None:
     w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = asked.select("doc_id", "lang").withColumn("i", F.row_number().over(w)).where(F.col("i") <= docs_a_lang).select("doc_id", "lang")
     sample = asked.select("doc_id", "lang", "text").join(F.broadcast(chosen.distinct()), ["doc_id", "lang"])  # docs_a_lang rows a language
-    n, size = WINDOWS_A_DOC, WINDOW
-    found = sample.select("doc_id", "lang", F.col("text").rlike(r"\p{L}").alias("ok"), F.encode(F.substring("text", 1, 2 * n * size), "utf-8").alias("head"), F.encode(F.substring("text", -2 * n * size, 2 * n * size), "utf-8").alias("tail")).where("ok").collect()
+    n, size, text = WINDOWS_A_DOC, WINDOW, F.col("text")
+    spread = F.greatest(F.lit(0), F.char_length(text) - size) / (n - 1)
+    starts = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(i * spread).cast("int") + 1))
+    parts = F.transform(starts, lambda p: F.encode(F.substring(text, p, F.lit(size)), "utf-8"))
+    found = sample.select("doc_id", "lang", F.col("text").rlike(r"\p{L}").alias("ok"), parts.alias("parts")).where("ok").collect()
     labels = sorted({r["lang"] for r in found})
     if not labels:
         return None
     xs, ys = [], []
-    for r in sorted(found, key=lambda r: (r["doc_id"], bytes(r["head"]))):
-        head, tail = windows([bytes(r["head"])])[0], windows([bytes(r["tail"])])[0]
-        part = np.concatenate([head[: n // 2], tail[-(n // 2) :]]) if len(head) > n else head
-        xs.append(part)
-        ys += [labels.index(r["lang"])] * len(part)
+    for r in sorted(found, key=lambda r: (r["doc_id"], bytes(r["parts"][0]))):
+        xs += [windows([bytes(p)])[0][:1] for p in r["parts"]]
+        ys += [labels.index(r["lang"])] * len(r["parts"])
     return ByteNet(labels).fit(np.concatenate(xs), np.array(ys)).folded()
 
 

@@ -11,7 +11,8 @@ as one: segments are scored as they come and not kept, so time and memory grow w
 The weights are trained here by maximum likelihood (forward sums over all segmentations) on written-out forms of each kind,
 on counterexamples, and on at most SAMPLE documents of the corpus whose base spans are the labels.
 
-Defined results: a null text is empty and has no spans; spans count code points, end exclusive; repeated rows are judged each.
+Defined results: a null text is empty and has no spans; spans count code points, end exclusive; repeated rows are judged each;
+of equally good segmentations the one with the earlier cut is taken; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ counts in the first table that it is in, so no pairs need to be told apart. Equa
 
 Defined results: a null text is empty; a text without words has the fingerprint 0. The next document is the one before in
 doc_id order (nulls last, ties by text hash); after the last comes the first, and a lone document is its own next.
-Repeated rows are kept, each with its own next.
+Repeated rows are kept, each with its own next. An empty table gives no rows. Texts may be of any length; ranges of documents for the next one
+are sorted with spilling, so they may be.
 """
 
 from __future__ import annotations

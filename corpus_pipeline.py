@@ -5,6 +5,12 @@ and none where no document is labelled, so that nothing could be learned;
 line_dedup rewrites the texts without the repeated lines (and n_chars with them); near_dedup keeps one document of each group
 of near duplicates, whose shingles are NEAR percent alike or more; decontaminate drops documents that hold a benchmark passage; packing returns the pieces of the sequences.
 The last stage has no SQL form, as it runs a tokenizer.
+
+Defined results: a document with a null or letterless text goes in the first stage (where a language could be learned); null ids are kept, and
+never near duplicates; a repeated row is a document of its own until near_dedup, which keeps repeated rows of a kept document, and
+packs each of them; of copies the least doc_id stays, so there are no ties; further columns of documents go along untouched,
+whatever their names; an empty table gives no pieces. Texts may be of any length. What a stage wrote for itself is deleted when its
+result is written, and that result when the next one is.
 """
 
 from __future__ import annotations
@@ -12,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressmill.llm.common import save, table
+from pressmill.llm.common import forget, mark, release, save, table
 from pressmill.llm.decontaminate import find_items
 from pressmill.llm.language_id import identify, train
 from pressmill.llm.line_dedup import dedup_lines
@@ -38,7 +44,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows with a doc_id that its component does not keep go; repeated rows of a kept document are one."""
+    """Rows with a doc_id that its component does not keep go."""
     gone = save(near_components(docs, percent=NEAR).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct(), "gone")
     return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
 
@@ -58,5 +64,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = save(stage(spark, docs, sf_dir), f"stage-{name}")
+        before = mark(spark)
+        out = save(stage(spark, docs, sf_dir), f"stage-{name}")
+        release(spark, but=before | {out._pressmill_path})
+        forget(docs)
+        docs = out
     return docs

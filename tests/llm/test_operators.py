@@ -416,8 +416,9 @@ def test_chat_roles(spark, sf):
     assert (out.rendered == "<|" + out.role_pred + "|>\n" + out.content + "\n<|end|>\n").all()
 
 
-def test_chat_contents_of_conversations_it_has_not_seen(spark, sf):
+def test_chat_contents_of_conversations_it_has_not_seen(spark):
     """Trained on a third of the conversations: where the turns of a marked conversation come out one by one, so do their texts."""
+    sf = "/root/testdata/sf0.01"
     lines = chat.transcripts(spark.read.parquet(f"{sf}/conversations.parquet"))
     model = chat.train(lines.where("conv_id % 3 = 0"))
     out = chat.parse(lines.where("conv_id % 3 > 0").drop("state"), model).toPandas()

@@ -31,11 +31,17 @@ def test_stages_against_plain_python(spark, sf):
         windows |= {tuple(w[i : i + 10]) for i in range(max(1, len(w) - 9))} if w else set()
     sizes = {len(w) for w in windows}
     text = {d: t for d, t in text.items() if not any(tuple(w[i : i + n]) in windows for w in [words(t)] for n in sizes for i in range(len(w)))}
+    from pressmill import work
+
+    before = work.mark(spark)
     out = corpus_pipeline.run(spark, sf).toPandas()
     assert set(out.doc_id) == set(text)
+    assert len(work.mark(spark) - before) == 1  # the result alone
+    work.release(spark, but=before)
+    assert work.mark(spark) == before
     from pressmill.llm import packing
 
-    encode = packing.encoder("v.tiktoken", open(packing.default_tokenizer(), "rb").read())
+    encode = packing.encoder(open(packing.default_tokenizer(), "rb").read())
     assert dict(out.groupby("doc_id").length.sum()) == {d: len(encode(t)) + 1 for d, t in text.items()}
 
 

@@ -79,6 +79,11 @@ def interesting(words: Sequence[str], *texts: Column) -> Column:
     return contains_any(F.lower(F.concat_ws(" ", *(F.coalesce(t, F.lit("")) for t in texts))), words)
 
 
+def group_counts(df: DataFrame, groups: dict[str, Column]) -> DataFrame:
+    """One row: how many rows each condition holds for."""
+    return df.agg(*(F.count_if(c).alias(name) for name, c in groups.items()))
+
+
 # --- engagement and trends
 
 

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import landed
 from .functions import dates as D
 from .functions import keywords as K
 from .functions import text as X
@@ -351,7 +352,7 @@ book_date_window book_adaptive_window book_freshness_bonus book_quality_bonus bo
 book_fallback_branch scrape_body_text html_tag_strip url_host url_clean_utm url_tracking_params json_extract_props
 keyword_rotation keyword_round_robin catalog_insert_if_absent subscriber_batches subscriber_delete registration_router
 role_indicator discussion_stream_log llm_pick_fallback headline_pipeline"""
-QUERIES = {n: globals()[n] for n in NAMES.split()}
+QUERIES = {n: globals()[n] for n in NAMES.split()} | landed.QUERIES
 
 
 def _rob(k: int) -> str:
@@ -480,4 +481,4 @@ ORACLES = {
     "role_indicator": "SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 1 WHEN 'MACHINERY' THEN 0 END::INT AS user_role FROM customer",
     "discussion_stream_log": "SELECT event_id AS message_id, user_id::VARCHAR AS user_id, 'https://news.example/' || ((props->>'$.k')::BIGINT % 10) AS news_url, CASE event_type WHEN 'signup' THEN 1 WHEN 'view' THEN 0 END::INT AS user_role FROM events WHERE event_type <> 'error' AND (props->>'$.k')::BIGINT % 10 < 5",
     "llm_pick_fallback": f"WITH {BOOKS}, {POPULAR_SQL}, s AS (SELECT ord, pub_date, (points + {FRESH.format(d='(pub_date - DATE ' + chr(39) + BOOK_AS_OF[:10] + chr(39) + ')')} + {QUAL.format(n='review_count')})::INT AS total FROM pop3 WHERE reason IS NULL) SELECT ord, 1 AS rank, total FROM s ORDER BY total DESC, pub_date DESC NULLS LAST, ord LIMIT 1",
-}
+} | landed.ORACLES

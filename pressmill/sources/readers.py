@@ -23,10 +23,11 @@ def mail_date(c: Column) -> Column:
 
 def rss(spark: SparkSession, paths: Sequence[str], feed: str | None = None) -> DataFrame:
     """Items of landed RSS files: feed, title, link, snippet, content, iso_ts. The feed's name, or the file it came from."""
-    raw = spark.read.format("xml").option("rowTag", "item").option("mode", "PERMISSIVE").option("ignoreCorruptFiles", "true").schema(RSS_ITEM).load(",".join(paths))
+    raw = spark.read.format("xml").option("rowTag", "item").option("mode", "PERMISSIVE").option("ignoreCorruptFiles", "true").schema(RSS_ITEM).load(list(paths))
     at = F.coalesce(F.try_to_timestamp("isoDate"), F.try_to_timestamp(mail_date(F.col("pubDate")), F.lit("d MMM yyyy HH:mm:ss Z")))
+    utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), at.cast("timestamp_ntz"))
     name = F.lit(feed) if feed else F.regexp_extract(F.col("_metadata.file_path"), "([^/]*)$", 1)
-    return raw.select(name.alias("feed"), "title", "link", F.col("description").alias("snippet"), F.coalesce("`content:encoded`", "description").alias("content"), at.cast("timestamp_ntz").alias("iso_ts")).where("link IS NOT NULL")
+    return raw.select(name.alias("feed"), "title", "link", F.col("description").alias("snippet"), F.coalesce("`content:encoded`", "description").alias("content"), utc.alias("iso_ts")).where("link IS NOT NULL")
 
 
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:
@@ -41,9 +42,10 @@ def first_item(items: DataFrame) -> DataFrame:
 SHOP_ITEM = "title string, author string, publisherName string, isbn string, salesDate string, largeImageUrl string, itemCaption string, itemUrl string, seriesName string, reviewCount int, reviewAverage string"
 
 
-def shop_books(spark: SparkSession, path: str, as_of: str, with_reviews: bool = True) -> DataFrame:
-    """Landed shop answers ({"Items": [{"Item": {...}}]}): one row a book. The answers sorted by sales carry no reviews."""
-    raw = spark.read.schema(f"Items array<struct<Item: struct<{SHOP_ITEM.replace(' string', ': string').replace(' int', ': int')}>>>").option("multiLine", True).json(path)
+def shop_books(spark: SparkSession, path: str, as_of: str, with_reviews: bool = True, multi_line: bool = True) -> DataFrame:
+    """Landed shop answers ({"Items": [{"Item": {...}}]}), one a file, or one a line: one row a book. The answers sorted by sales
+    carry no reviews."""
+    raw = spark.read.schema(f"Items array<struct<Item: struct<{SHOP_ITEM.replace(' string', ': string').replace(' int', ': int')}>>>").option("multiLine", multi_line).json(path)
     i = raw.select(F.explode("Items.Item").alias("i"))
     now = F.lit(as_of).cast("timestamp_ntz")
     reviews = (F.col("i.reviewCount"), F.col("i.reviewAverage").try_cast("double")) if with_reviews else (F.lit(None).cast("int"), F.lit(None).cast("double"))
@@ -53,9 +55,9 @@ def shop_books(spark: SparkSession, path: str, as_of: str, with_reviews: bool =
 VOLUME = "title: string, authors: array<string>, publisher: string, publishedDate: string, description: string, infoLink: string, industryIdentifiers: array<struct<type: string, identifier: string>>, imageLinks: struct<thumbnail: string>"
 
 
-def volume_books(spark: SparkSession, path: str) -> DataFrame:
-    """Landed volume searches ({"items": [{"volumeInfo": {...}}]}): ISBN-13 if there is one, else ISBN-10."""
-    raw = spark.read.schema(f"items array<struct<volumeInfo: struct<{VOLUME}>>>").option("multiLine", True).json(path)
+def volume_books(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Landed volume searches ({"items": [{"volumeInfo": {...}}]}), one a file, or one a line: ISBN-13 if there is one, else ISBN-10."""
+    raw = spark.read.schema(f"items array<struct<volumeInfo: struct<{VOLUME}>>>").option("multiLine", multi_line).json(path)
     v = raw.select(F.explode("items.volumeInfo").alias("v"))
     pick = lambda kind: F.get(F.filter("v.industryIdentifiers", lambda x: x["type"] == kind), F.lit(0))["identifier"]
     return v.select(F.lit("volumes").alias("source"), "v.title", F.array_join("v.authors", ", ").alias("author"), "v.publisher", F.coalesce(pick("ISBN_13"), pick("ISBN_10"), F.lit("")).alias("isbn"), F.replace("v.publishedDate", F.lit("-"), F.lit("")).alias("pubdate"), F.col("v.imageLinks.thumbnail").alias("cover"), "v.description", F.col("v.infoLink").alias("url"))
@@ -120,3 +122,16 @@ def registration(raw: DataFrame, column: str = "body") -> DataFrame:
     fields = "timestamp email name subscribe page_url registration_type utm_source utm_medium utm_campaign utm_term utm_content".split()
     j = lambda f: F.get_json_object(column, f"$.{f}")  # noqa: E731  from_json would take email and Email for one
     return raw.select(*((F.coalesce(j("email"), j("Email")) if f == "email" else j(f)).alias(f) for f in fields))
+
+
+def cells(sheet: DataFrame, named: dict[str, str]) -> DataFrame:
+    """One row with the named cells of a sheet, whose rows carry their number from 1 as `ord`; a cell is written as in B2, and one
+    that the sheet lacks is null."""
+    at = {name: (cell.rstrip("0123456789"), int(cell.lstrip("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))) for name, cell in named.items()}
+    rows = sheet.where(F.col("ord").isin(sorted({row for _, row in at.values()})))
+    return rows.agg(*(F.max(F.when(F.col("ord") == row, F.col(column))).alias(name) for name, (column, row) in at.items()))
+
+
+def sheet_column(sheet: DataFrame, column: str, first: int = 2) -> DataFrame:
+    """The non-empty cells of a column from a row on, in the order of `ord`."""
+    return sheet.where((F.col("ord") >= first) & (F.coalesce(F.col(column).cast("string"), F.lit("")) != "")).select("ord", F.col(column).alias("value"))

@@ -38,8 +38,7 @@ def _held(spark: SparkSession) -> dict[str, str | None]:
 def save(df: DataFrame, tag: str) -> DataFrame:
     """Write a work table and read it back: the lineage ends here, and a lost executor costs nothing."""
     spark = df.sparkSession
-    path = f"{work_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    _held(spark)[path] = None
+    path = place(spark, tag)
     df.write.options(**CODEC).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._pressmill_path = path
@@ -58,6 +57,13 @@ def save_bucketed(df: DataFrame, tag: str, key: str, buckets: int) -> DataFrame:
     return out
 
 
+def place(spark: SparkSession, tag: str) -> str:
+    """A new path for what is written otherwise; release() deletes it too."""
+    path = f"{work_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _held(spark)[path] = None
+    return path
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     name = _held(spark).pop(path, None)
     if name:

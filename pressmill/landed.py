@@ -15,7 +15,7 @@ from .sources import readers as I
 from .sources.fixtures import ARTICLES, BOOKS
 from .work import place, table
 
-AS_OF, NOW, BOOK_DAY = "TIMESTAMP_NTZ '2024-01-02 00:00:00'", "2024-01-02 00:00:00", "TIMESTAMP_NTZ '1997-02-10 09:30:00'"
+AS_OF, NOW, BOOK_DAY = "TIMESTAMP_NTZ '2024-01-02 00:00:00'", "2024-01-02 00:00:00", "TIMESTAMP_NTZ '1992-02-10 09:30:00'"
 WORDS = ["ring", "brass"]
 
 

@@ -10,7 +10,7 @@ its entry and exit states, and each block is decoded between those. The result i
 
 Defined results: null texts are empty lines; lines before the first marker get the role that fits best; all rows with a null
 conv_id are one conversation; rows of equal conv_id and turn follow each other by text, repeated ones too; an empty table gives no
-turns. Texts may have any number of lines. Training reads the first LINES turns of SAMPLE conversations, with 50 lines of a turn at most.
+turns. Texts may have any number of lines, in training too, which reads the whole of its conversations.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import save, table
+from .common import forget, save, table
 
 ROLES = ("system", "user", "assistant")
 STATES, LINES, SAMPLE = 2 * len(ROLES), 512, 400
@@ -56,21 +56,26 @@ class Model:
         self.start, self.move, self.emit = start, move, emit
 
     @classmethod
-    def count(cls, paths: list[tuple[list[int], list[int]]]) -> Model:
-        """From (states, observations); a turn goes on only with its own role."""
-        start, move, emit = np.full(STATES, 0.1), np.full((STATES, STATES), 0.5), np.full((STATES, SYMBOLS), 0.05)
-        for states, seen in paths:
-            start[states[0]] += 1
-            np.add.at(move, (states[:-1], states[1:]), 1)
-            np.add.at(emit, (states, seen), 1)
+    def of(cls, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> Model:
+        """From counts, smoothed; a turn goes on only with its own role."""
         log = lambda x: np.log(x / x.sum(-1, keepdims=True))
-        start, move = log(start), log(move)
+        start, move = log(start + 0.1), log(move + 0.5)
         for s in range(STATES):
             for t in range(1, STATES, 2):
                 if t // 2 != s // 2:
                     move[s, t] = -np.inf
         start[1::2] = -np.inf
-        return cls(start, move, log(emit))
+        return cls(start, move, log(emit + 0.05))
+
+    @classmethod
+    def count(cls, paths: list[tuple[list[int], list[int]]]) -> Model:
+        """From (states, observations)."""
+        start, move, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, SYMBOLS))
+        for states, seen in paths:
+            start[states[0]] += 1
+            np.add.at(move, (states[:-1], states[1:]), 1)
+            np.add.at(emit, (states, seen), 1)
+        return cls.of(start, move, emit)
 
     def steps(self, seen: np.ndarray, first: bool) -> np.ndarray:
         """(lines, states, states) scores of each step; before the first line all states are alike."""
@@ -153,8 +158,9 @@ def parse(lines: DataFrame, model: Model) -> DataFrame:
         begins = np.cumsum([s % 2 == 0 for s in states])
         return pa.table({"conv_id": t.column("conv_id"), "blk": t.column("blk"), "pos": t.column("pos"), "state": pa.array(states, pa.int32()), "begins": pa.array(begins, pa.int64()), "line": t.column("line")})
 
-    blocks = seen.select("conv_id", "blk", "pos", "seen").groupBy("conv_id", "blk").applyInArrow(reduce, "conv_id bigint, blk bigint, m array<double>")
-    ends = save(blocks.groupBy("conv_id").applyInArrow(bounds, "conv_id bigint, blk bigint, entry int, leave int"), "bounds").withColumnsRenamed({"conv_id": "c", "blk": "b"})
+    wide = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small rows, but seconds of work each: not to be coalesced
+    blocks = seen.select("conv_id", "blk", "pos", "seen").repartition(wide, "conv_id", "blk").groupBy("conv_id", "blk").applyInArrow(reduce, "conv_id bigint, blk bigint, m array<double>")
+    ends = save(blocks.repartition(wide, "conv_id").groupBy("conv_id").applyInArrow(bounds, "conv_id bigint, blk bigint, entry int, leave int"), "bounds").withColumnsRenamed({"conv_id": "c", "blk": "b"})
     given = seen.join(ends, seen["conv_id"].eqNullSafe(ends["c"]) & (seen["blk"] == ends["b"])).select("conv_id", "blk", "pos", "seen", "entry", "leave", "line")
     found = save(given.groupBy("conv_id", "blk").applyInArrow(decode, "conv_id bigint, blk bigint, pos bigint, state int, begins bigint, line string"), "decoded")
     totals = found.groupBy("conv_id", "blk").agg(F.max("begins").alias("n"))
@@ -185,13 +191,21 @@ def transcripts(conversations: DataFrame) -> DataFrame:
 
 
 def train(lines: DataFrame, sample: int = SAMPLE) -> Model:
-    """Count on the first LINES turns of at most `sample` conversations."""
+    """Count over all lines of at most `sample` conversations, however long those are; only the counts come to the driver."""
     ids = lines.select("conv_id").distinct().orderBy(F.xxhash64("conv_id"), "conv_id").limit(sample)
-    rows = lines.where(F.col("turn") < LINES).join(F.broadcast(ids), "conv_id").where(F.col("at") < 50).select("conv_id", "turn", "at", "state", observe(F.col("line"), F.col("blank")).alias("seen")).collect()
-    paths: dict[int, list] = {}
-    for r in sorted(rows, key=lambda r: (r["conv_id"], r["turn"], r["at"])):
-        paths.setdefault(r["conv_id"], []).append((r["state"], r["seen"]))
-    return Model.count([([s for s, _ in p], [o for _, o in p]) for p in paths.values()])
+    seen = lines.join(F.broadcast(ids), "conv_id").select("conv_id", "turn", "at", "line", "state", observe(F.col("line"), F.col("blank")).alias("seen"))  # ids: `sample` rows
+    rows = save(numbered(seen).select("conv_id", "pos", "state", "seen"), "train")
+    after = rows.select(F.col("conv_id").alias("c"), (F.col("pos") - 1).alias("p"), F.col("state").alias("to"))
+    counts = lambda df, *by: df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).collect()  # noqa: E731  a row for each pair of states or symbols
+    start, move, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, SYMBOLS))
+    for r in counts(rows.where("pos = 0"), "state"):
+        start[r["state"]] = r["n"]
+    for r in counts(rows.join(after, (rows["conv_id"] == after["c"]) & (rows["pos"] == after["p"])), "state", "to"):
+        move[r["state"], r["to"]] = r["n"]
+    for r in counts(rows, "state", "seen"):
+        emit[r["state"], r["seen"]] = r["n"]
+    forget(rows)
+    return Model.of(start, move, emit)
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

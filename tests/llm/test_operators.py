@@ -696,3 +696,20 @@ def test_field_reaches_spelled_out_addresses_and_spaced_marks():
         assert pii.spans_of(f"{lead}{span} today", model) == ([], [(kind, len(lead), len(lead) + len(span))])
     assert pii.spans_of("we looked (at) it. then we went on", model)[1] == []
     assert pii.spans_of("1 " + "- " * 100_000 + "x " + "(at) " * 50_000, model)[0] == []
+
+
+def test_chat_training_counts_every_line(spark):
+    """One long turn, one long conversation, and a short one: the counts are those of the paths."""
+    import numpy as np
+
+    from pressmill.llm import chat
+
+    rows = [(1, 0, "user", "\n".join(f"line {i}" for i in range(700))), (1, 1, "assistant", "ok")]
+    rows += [(2, t, ("user", "assistant")[t % 2], f"turn {t}") for t in range(1300)] + [(3, 0, "system", "a\nb"), (None, 0, "user", "x")]
+    lines = chat.transcripts(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    paths = {}
+    for r in lines.select("*", chat.observe(lines["line"], lines["blank"]).alias("seen")).where("conv_id IS NOT NULL").orderBy("conv_id", "turn", "at").collect():
+        paths.setdefault(r["conv_id"], []).append((r["state"], r["seen"]))
+    want, got = chat.Model.count([tuple(zip(*p, strict=True)) for p in paths.values()]), chat.train(lines)
+    for name in ("start", "move", "emit"):
+        assert np.allclose(getattr(want, name), getattr(got, name))

@@ -6,7 +6,7 @@ roles. Probabilities are counted, with smoothing, on at most SAMPLE labelled con
 
 Conversations may have any number of lines, so they are cut into blocks of LINES lines: each block is reduced to its max-plus
 matrix (best score from any state before it to any state at its end), a scan over a conversation's matrices gives each block
-its entry and exit states, and each block is decoded between those. The result is the best path of the whole conversation.
+its entry and exit states, and each block is decoded between those; a conversation of one block needs no scan. The result is the best path of the whole conversation.
 
 Defined results: null texts are empty lines; lines before the first marker get the role that fits best; all rows with a null
 conv_id are one conversation; rows of equal conv_id and turn follow each other by text, repeated ones too; an empty table gives no
@@ -91,14 +91,15 @@ class Model:
             out = (out[:, :, None] + m[None]).max(1)
         return out
 
-    def path(self, seen: np.ndarray, first: bool, entry: int, leave: int) -> list[int]:
+    def path(self, seen: np.ndarray, first: bool, entry: int = 0, leave: int | None = None) -> list[int]:
+        """The best path from the entry state to the exit state, by default to the best one."""
         steps = self.steps(seen, first)
         score, back = steps[0][entry], []
         for m in steps[1:]:
             all_ = score[:, None] + m
             back.append(all_.argmax(0))
             score = all_.max(0)
-        out = [leave]
+        out = [int(score.argmax()) if leave is None else leave]
         for b in reversed(back):
             out.append(int(b[out[-1]]))
         return out[::-1]
@@ -119,12 +120,12 @@ def scan(matrices: np.ndarray) -> tuple[list[int], list[int]]:
 
 
 def numbered(lines: DataFrame) -> DataFrame:
-    """lines (conv_id, turn, at, line, ...) with pos, their number in the conversation, and blk, without a window over a
-    whole conversation: turns are numbered in ranges, the ranges' totals are added up."""
+    """lines (conv_id, turn, at, line, ...) with pos, their number in the conversation, blk, and total, the conversation's lines,
+    without a window over a whole conversation: turns are numbered in ranges, the ranges' totals are added up."""
     ranged = lines.withColumn("rng", F.floor(F.col("turn") / LINES))
     inner = Window.partitionBy("conv_id", "rng").orderBy("turn", "at", "line")
     sums = ranged.groupBy("conv_id", "rng").count()
-    sums = sums.select(F.col("conv_id").alias("c"), F.col("rng").alias("r"), F.coalesce(F.sum("count").over(Window.partitionBy("conv_id").orderBy("rng").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    sums = sums.select(F.col("conv_id").alias("c"), F.col("rng").alias("r"), F.coalesce(F.sum("count").over(Window.partitionBy("conv_id").orderBy("rng").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("count").over(Window.partitionBy("conv_id")).alias("total"))
     out = ranged.withColumn("i", F.row_number().over(inner))
     out = out.join(sums, out["conv_id"].eqNullSafe(sums["c"]) & out["rng"].eqNullSafe(sums["r"]))
     pos = F.col("i") - 1 + F.col("before")
@@ -154,14 +155,15 @@ def parse(lines: DataFrame, model: Model) -> DataFrame:
 
     def decode(t: pa.Table) -> pa.Table:
         obs, t = _arrow(t)
-        states = args.value.path(obs, t.column("blk")[0].as_py() == 0, t.column("entry")[0].as_py(), t.column("leave")[0].as_py())
+        states = args.value.path(obs, t.column("blk")[0].as_py() == 0, t.column("entry")[0].as_py() or 0, t.column("leave")[0].as_py())
         begins = np.cumsum([s % 2 == 0 for s in states])
         return pa.table({"conv_id": t.column("conv_id"), "blk": t.column("blk"), "pos": t.column("pos"), "state": pa.array(states, pa.int32()), "begins": pa.array(begins, pa.int64()), "line": t.column("line")})
 
     wide = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small rows, but seconds of work each: not to be coalesced
-    blocks = seen.select("conv_id", "blk", "pos", "seen").repartition(wide, "conv_id", "blk").groupBy("conv_id", "blk").applyInArrow(reduce, "conv_id bigint, blk bigint, m array<double>")
+    several = seen.where(F.col("total") > LINES)  # a conversation of one block is decoded at once
+    blocks = several.select("conv_id", "blk", "pos", "seen").repartition(wide, "conv_id", "blk").groupBy("conv_id", "blk").applyInArrow(reduce, "conv_id bigint, blk bigint, m array<double>")
     ends = save(blocks.repartition(wide, "conv_id").groupBy("conv_id").applyInArrow(bounds, "conv_id bigint, blk bigint, entry int, leave int"), "bounds").withColumnsRenamed({"conv_id": "c", "blk": "b"})
-    given = seen.join(ends, seen["conv_id"].eqNullSafe(ends["c"]) & (seen["blk"] == ends["b"])).select("conv_id", "blk", "pos", "seen", "entry", "leave", "line")
+    given = seen.join(ends, seen["conv_id"].eqNullSafe(ends["c"]) & (seen["blk"] == ends["b"]), "left").select("conv_id", "blk", "pos", "seen", "entry", "leave", "line")
     found = save(given.groupBy("conv_id", "blk").applyInArrow(decode, "conv_id bigint, blk bigint, pos bigint, state int, begins bigint, line string"), "decoded")
     totals = found.groupBy("conv_id", "blk").agg(F.max("begins").alias("n"))
     totals = totals.select(F.col("conv_id").alias("c"), F.col("blk").alias("b"), F.coalesce(F.sum("n").over(Window.partitionBy("conv_id").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))

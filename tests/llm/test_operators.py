@@ -713,3 +713,20 @@ def test_chat_training_counts_every_line(spark):
     want, got = chat.Model.count([tuple(zip(*p, strict=True)) for p in paths.values()]), chat.train(lines)
     for name in ("start", "move", "emit"):
         assert np.allclose(getattr(want, name), getattr(got, name))
+
+
+def test_chat_blocks_give_the_best_path_of_the_whole_conversation(spark):
+    """Conversations of one block, of exactly one, and of several: the recovered roles are those of Viterbi over all lines."""
+    import numpy as np
+
+    from pressmill.llm import chat
+
+    rows = [(c, t, ("user", "assistant")[t % 2], f"turn {t}\nmore" if t % 3 else f"turn {t}") for c, n in ((1, 5), (2, chat.LINES // 5 * 3), (3, 900)) for t in range(n)]
+    rows += [(4, t, "user", "one") for t in range(chat.LINES)]
+    lines = chat.transcripts(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    model = chat.train(lines)
+    out = chat.parse(lines.drop("state"), model).toPandas().sort_values("seg")
+    for c in (1, 2, 3, 4):
+        seen = [r["seen"] for r in lines.where(f"conv_id = {c}").select("turn", "at", chat.observe(lines["line"], lines["blank"]).alias("seen")).orderBy("turn", "at").collect()]
+        path = model.path(np.array(seen), True)
+        assert list(out[out.conv_id == c].role_pred) == [chat.ROLES[s // 2] for s in path if s % 2 == 0]

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..work import forget, mark, release, save, save_bucketed, table, work_dir
 
-__all__ = ["ascii_lower", "columns", "components", "forget", "let", "mark", "release", "save", "save_bucketed", "table", "work_dir"]
+__all__ = ["ascii_lower", "columns", "components", "forget", "join_summary", "let", "mark", "release", "save", "save_bucketed", "table", "work_dir"]
 
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+HEAVY, FEW = 1000, 20_000
 
 
 def columns(df: DataFrame) -> list[Column]:
@@ -27,25 +28,39 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def join_summary(rows: DataFrame, key: str, summary: DataFrame, count: str, total: int) -> DataFrame:
+    """rows with the columns of their key's row of summary (inner join). `count` in summary is how many rows a key has, `total` how
+    many there are: keys with more than one in HEAVY of them, so fewer than HEAVY keys, are broadcast, and no task takes all
+    rows of one of those; the others are merged. Up to FEW rows of a key are no burden, so a table of no more needs no such care."""
+    often = max(FEW, total // HEAVY)
+    if total <= often:
+        return rows.join(summary, key)
+    new = [c for c in summary.columns if c != key]
+    told = rows.join(F.broadcast(summary.where(F.col(count) > often).withColumn("_heavy", F.lit(True))), key, "left")
+    rest = told.where("_heavy IS NULL").select(*rows.columns).join(summary.where(F.col(count) <= often).hint("merge"), key)
+    return told.where("_heavy").select(*rows.columns, *new).unionAll(rest.select(*rows.columns, *new))
+
+
 def components(edges: DataFrame, tag: str = "components", most_rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b): one row (node, root) for each node that has an edge to another; root is the
     least node of the component. Alternating large-star and small-star rounds; every round is a saved table of edges, so
-    nothing is collected but its count and checksum."""
+    nothing is collected but its count and checksum. The hubs that rounds make are heavy keys, see join_summary."""
     e = save(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), tag)
-    mark = None
+    mark, total = None, e.count()
     for _ in range(most_rounds):
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionAll(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.join(least, "x").where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("s")).select("s.u", "s.v").where("u <> v").distinct()
+        least = both.groupBy("x").agg(F.min("y").alias("m"), F.count(F.lit(1)).alias("n"))
+        large = join_summary(both, "x", least, "n", 2 * total).where("y > x").select(F.col("y").alias("u"), F.least("x", "m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = join_summary(large, "u", low, "n", 2 * total)  # large has no more rows than both
+        small = small.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("s")).select("s.u", "s.v").where("u <> v").distinct()
         after = save(small, tag)
         now = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         forget(e)
         e = after
         if tuple(now) == mark:
             break
-        mark = tuple(now)
+        mark, total = tuple(now), now[0]
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

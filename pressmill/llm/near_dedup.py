@@ -3,13 +3,18 @@
 A document's set is its distinct 5-word shingles, hashed to 64 bits; its sketch is the SKETCH smallest values. Documents with
 equal sets are one representative. Inverted lists of retained values bring representatives together: each goes into the lists
 of its rarest values only, as many as a pair at the threshold must touch (prefix filter: two sketches that share c of k values
-share one of either's k - c + 1 rarest). Within a list (lists of more than LIST_BLOCK members in pairs of blocks) the sketches of two
-members are merged: of the k least values of their union, those in both estimate the similarity. Pairs whose estimate is possible
-at the threshold are candidates, and a spanning forest of them is emitted, never all pairs.
+share one of either's k - c + 1 rarest). Within a list the sketches of two members are merged: of the k least values of their
+union, those in both estimate the similarity. Pairs whose estimate is possible at the threshold are candidates, and a spanning
+forest of them is emitted, never all pairs.
 
-Candidates form families; a shingle that many unlike documents share makes none. The members' full sets verify: a family is cut
-into blocks of BLOCK shingles, a document counting as LIGHT at least, which bounds the documents of a block too; each pair of
-blocks is one task, which finds the links by exact Jaccard similarity and emits a spanning forest of them.
+Candidates form families; a shingle that many unlike documents share makes none. The members' full sets verify: links by exact
+Jaccard similarity, and again a spanning forest of them is emitted.
+
+Lists of more than LIST_BLOCK members, and families of more than BLOCK shingles (a document counting as LIGHT at least, which
+bounds the documents of a block too), are cut into blocks. At first members meet within a block only: those of a list in other
+blocks for each of its values, those of a family in blocks of two ways to cut it. That makes one component of most true copies, so
+what is left is pairs of members in different components: all but the largest component are dealt to pairs with every block, the
+largest one to the blocks of the others only. Nothing is left out, and a group that is one component costs nothing more.
 
 least_sketch is what a pair at the threshold has in both of its union's k least values with all but about 1e-10 of probability. Where
 the smaller set is its own sketch, the overlap is at least LEAST_SMALL with certainty, for thresholds of 75 percent or more.
@@ -30,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, forget, save, table
+from .common import components, forget, join_summary, save, table
 
 WORDS, PERCENT, SKETCH, LEAST_SMALL, BLOCK, LIGHT = 5, 85, 48, 32, 200_000, 100
 LIST_BLOCK, PAIRED, CHUNK = 1000, 12, 20_000
@@ -105,9 +110,9 @@ def estimate_one(x: np.ndarray, ys: np.ndarray, percent: int) -> np.ndarray:
     return possible((twice & (rank < SKETCH)).sum(1), np.minimum(sizes, SKETCH), percent)
 
 
-def spanning(side: np.ndarray, across: bool, linked) -> list[tuple[int, int]]:
-    """A spanning forest of nodes as edges; linked(x, others) says which others x is linked with; `across`: links within a side
-    do not count. A node is compared with those that no tree has reached yet."""
+def spanning(side: np.ndarray, across: bool, comp: np.ndarray, linked) -> list[tuple[int, int]]:
+    """A spanning forest of nodes as edges; linked(x, others) says which others x is linked with; links within a component do not
+    count, nor, with `across`, those within a side. A node is compared with those that no tree has reached yet."""
     left, out = np.ones(len(side), bool), []
     for seed in range(len(side)):
         if not left[seed]:
@@ -115,7 +120,7 @@ def spanning(side: np.ndarray, across: bool, linked) -> list[tuple[int, int]]:
         left[seed], queue = False, [seed]
         while queue:
             x = queue.pop()
-            others = np.flatnonzero(left & (side != side[x])) if across else np.flatnonzero(left)
+            others = np.flatnonzero(left & (comp != comp[x]) & (side != side[x]) if across else left & (comp != comp[x]))
             if len(others):
                 new = others[linked(x, others)]
                 left[new] = False
@@ -125,10 +130,10 @@ def spanning(side: np.ndarray, across: bool, linked) -> list[tuple[int, int]]:
 
 
 def _candidates(percent: int):
-    """Rows (v, i, j, side, rep, sketch), sorted by v, i, j, to candidate links (a, b)."""
+    """Rows (v, i, j, side, comp, rep, sketch), sorted by v, i, j, to candidate links (a, b)."""
 
     def found(t: pa.Table) -> pa.RecordBatch | None:
-        rep, side = t.column("rep").to_numpy(), t.column("side").to_numpy()
+        rep, side, comp = (t.column(c).to_numpy() for c in ("rep", "side", "comp"))
         sketch = t.column("sketch").combine_chunks()
         sizes = np.diff(sketch.offsets.to_numpy())
         full = np.full((len(rep), SKETCH), NONE)
@@ -154,7 +159,7 @@ def _candidates(percent: int):
         for s in starts[many[starts] > PAIRED].tolist():
             e = s + int(many[s])
             own = full[s:e]
-            tree = spanning(side[s:e], bool(across[s]), lambda x, others, own=own: estimate_one(own[x], own[others], percent))
+            tree = spanning(side[s:e], bool(across[s]), comp[s:e], lambda x, others, own=own: estimate_one(own[x], own[others], percent))
             if tree:
                 edges.append(rep[s:e][np.array(tree)])
         edges = np.concatenate(edges)
@@ -182,8 +187,8 @@ def _candidates(percent: int):
 
 
 def _verify(t: pa.Table, percent: int) -> pa.Table:
-    """Links among the rows of one pair of blocks: node, side, text."""
-    nodes, side, text = t.column("node").to_numpy(), t.column("side").to_numpy(), t.column("text").cast(pa.binary())
+    """Links among the rows of one pair of blocks: node, side, comp, text."""
+    nodes, side, comp, text = t.column("node").to_numpy(), t.column("side").to_numpy(), t.column("comp").to_numpy(), t.column("text").cast(pa.binary())
     sets = [shingles(x.as_py()) for x in text]
     size = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(len(sets)), size)
@@ -197,7 +202,7 @@ def _verify(t: pa.Table, percent: int) -> pa.Table:
         return 100 * both >= percent * (size[x] + size[others] - both)
 
     across = t.column("i")[0].as_py() != t.column("j")[0].as_py()
-    tree = np.array(spanning(side, across, linked), np.int64).reshape(-1, 2)
+    tree = np.array(spanning(side, across, comp, linked), np.int64).reshape(-1, 2)
     return pa.table({"a": pa.array(nodes[tree[:, 0]], pa.int64()), "b": pa.array(nodes[tree[:, 1]], pa.int64())})
 
 
@@ -205,10 +210,23 @@ def _verifier(percent: int):
     return lambda t: _verify(t, percent)
 
 
-def blocked(rows: DataFrame, blocks: Column, mine: Column, *keep: str) -> DataFrame:
-    """Rows dealt to every pair (i, j) of blocks of their group that theirs is in, with their side."""
-    dealt = rows.withColumns({"_mine": mine, "_blocks": blocks}).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    return dealt.select(*keep, F.least("_mine", "_other").alias("i"), F.greatest("_mine", "_other").alias("j"), F.when(F.col("_mine") > F.col("_other"), 1).otherwise(0).alias("side"))
+def within(rows: DataFrame, block: Column, node: str) -> DataFrame:
+    """Rows to be compared with those of their block; each node is a component of its own."""
+    return rows.select("*", block.alias("i"), block.alias("j"), F.lit(0).alias("side"), F.col(node).alias("comp"))
+
+
+def across(named: DataFrame, key: str, node: str, size: Column, block: int) -> DataFrame:
+    """named (key, node, comp, ...): the rows dealt to pairs (i, j) of blocks of their group of equal keys in which all pairs of
+    different components of a group meet."""
+    total = named.count()
+    per = named.groupBy(key, "comp").agg(F.sum(size).alias("w"), F.count(F.lit(1)).alias("rows"))
+    main = per.groupBy(key).agg(F.max_by("comp", F.struct("w", "comp")).alias("main"), F.max("w").alias("w_main"), F.sum("w").alias("w_all"), F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    rows = join_summary(named, key, main, "rows", total)
+    rest, most = F.ceil((F.col("w_all") - F.col("w_main")) / block).cast("int"), F.ceil(F.col("w_main") / block).cast("int")
+    is_main = F.col("comp") == F.col("main")
+    mine = F.when(is_main, rest + F.pmod(F.xxhash64(node), most)).otherwise(F.pmod(F.xxhash64(node), rest)).cast("int")
+    dealt = rows.withColumns({"_mine": mine, "_other": F.explode(F.sequence(F.lit(0), F.when(is_main, rest).otherwise(rest + most) - 1))})
+    return dealt.select(*named.columns, F.least("_mine", "_other").alias("i"), F.greatest("_mine", "_other").alias("j"), F.when(F.col("_mine") > F.col("_other"), 1).otherwise(0).alias("side"))
 
 
 def candidates(reps: DataFrame, percent: int, list_block: int = LIST_BLOCK) -> DataFrame:
@@ -221,13 +239,27 @@ def candidates(reps: DataFrame, percent: int, list_block: int = LIST_BLOCK) -> D
     prefix = F.greatest(F.lit(0), F.col("k") - least + 1 - lone).cast("int")
     lists = save(mine.select("rep", F.explode(F.slice("mine", F.lit(1), prefix)).alias("x")).select("rep", "x.v"), "lists")
     forget(shared)
-    sized = lists.groupBy("v").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
-    met = lists.join(sized, "v").join(reps.select("rep", "sketch"), "rep")
+    sized = save(lists.groupBy("v").agg(F.count(F.lit(1)).alias("many")).where("many > 1"), "sized")
+    met = join_summary(lists, "v", sized, "many", lists.count())
+    sketches = reps.select("rep", "sketch")
+
+    def compare(dealt: DataFrame, tag: str) -> DataFrame:
+        dealt = dealt.join(sketches, "rep").select("v", "i", "j", "side", "comp", "rep", "sketch")
+        return save(dealt.repartition("v", "i", "j").sortWithinPartitions("v", "i", "j").mapInArrow(_candidates(percent), "a bigint, b bigint"), tag)
+
     blocks = F.ceil(F.col("many") / list_block).cast("int")
-    dealt = blocked(met, blocks, F.pmod(F.xxhash64("rep"), blocks).cast("int"), "v", "rep", "sketch")
-    dealt = dealt.select("v", "i", "j", "side", "rep", "sketch").repartition("v", "i", "j").sortWithinPartitions("v", "i", "j")
-    out = save(dealt.mapInArrow(_candidates(percent), "a bigint, b bigint"), "candidates")
-    forget(lists)
+    out = compare(within(met, F.pmod(F.xxhash64("rep", "v"), blocks).cast("int"), "rep"), "candidates")
+    if not sized.where(F.col("many") > list_block).isEmpty():
+        roots = components(out, "roots")
+        named = met.where(F.col("many") > list_block).join(roots, F.col("rep") == roots["node"], "left").select("v", "rep", F.coalesce("root", "rep").alias("comp"))
+        named = save(named, "named")
+        more = compare(across(named, "v", "rep", F.lit(1), list_block), "candidates")
+        forget(named, roots)
+        if not more.isEmpty():
+            first, out = out, save(out.unionAll(more), "candidates")
+            forget(first)
+        forget(more)
+    forget(lists, sized)
     return out
 
 
@@ -242,15 +274,28 @@ def near_components(docs: DataFrame, block: int = BLOCK, percent: int = PERCENT,
     maybe = candidates(one, percent, list_block)
     family = save(components(maybe, "families"), "families")
     forget(maybe)
-    sized = family.join(reps.select(F.col("rep").alias("node"), "n"), "node")
-    blocks = sized.groupBy("root").agg(F.ceil(F.sum(F.greatest("n", F.lit(LIGHT))) / block).cast("int").alias("blocks"))
-    placed = family.join(blocks, "root").hint("merge")  # the same plan at every size
-    texts = docs.join(placed, docs["doc_id"] == placed["node"]).select("node", "root", "blocks", "text").dropDuplicates(["node"])
-    dealt = blocked(texts, F.col("blocks"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), "root", "node", "text")
-    found = save(dealt.groupBy("root", "i", "j").applyInArrow(_verifier(percent), "a bigint, b bigint"), "found")
-    forget(family)
+    members = family.join(reps.select(F.col("rep").alias("node"), F.greatest("n", F.lit(LIGHT)).alias("size")).dropDuplicates(["node"]), "node")
+    sizes = members.groupBy("root").agg(F.ceil(F.sum("size") / block).cast("int").alias("blocks"), F.count(F.lit(1)).alias("many"))
+    placed = save(join_summary(members, "root", sizes, "many", family.count()).select("node", "root", "size", "blocks"), "placed")
+
+    def verify(dealt: DataFrame) -> DataFrame:
+        nodes = dealt.select("node").distinct().hint("merge")  # the same plan at every size
+        texts = docs.join(nodes, docs["doc_id"] == nodes["node"]).select("node", "text").dropDuplicates(["node"])
+        texts = texts.join(dealt.select("node", "root", "i", "j", "side", "comp").hint("merge"), "node")
+        return save(texts.groupBy("root", "i", "j").applyInArrow(_verifier(percent), "a bigint, b bigint"), "found")
+
+    way = F.explode(F.sequence(F.lit(0), F.least(F.col("blocks"), F.lit(2)) - 1))
+    cut = placed.select("node", "root", "blocks", way.alias("way"))
+    found = verify(within(cut, (F.col("way") * F.col("blocks") + F.pmod(F.xxhash64("node", "way"), "blocks")).cast("int"), "node"))
     linked = components(found)
-    forget(found)
+    if not placed.where("blocks > 1").isEmpty():
+        large = placed.where("blocks > 1").join(linked.select(F.col("node").alias("l"), F.col("root").alias("comp")), F.col("node") == F.col("l"), "left")
+        large = save(large.select("root", "node", "size", F.coalesce("comp", "node").alias("comp")), "large")
+        more = verify(across(large, "root", "node", F.col("size"), block))
+        if not more.isEmpty():
+            linked = components(found.unionAll(more))
+        forget(large, more)
+    forget(found, family, placed)
     named = reps.join(linked, reps["rep"] == linked["node"], "left").select(F.col("fa").alias("ga"), F.col("fb").alias("gb"), F.col("n").alias("gn"), F.coalesce("root", "rep").alias("component_id"))
     both = sk.join(named, (sk["fa"] == named["ga"]) & (sk["fb"] == named["gb"]) & (sk["n"] == named["gn"]) & (sk["n"] > 0) & sk["doc_id"].isNotNull(), "left")
     return both.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("doc_id").eqNullSafe(F.coalesce("component_id", "doc_id")).alias("kept"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import forget, save, table
+from .common import forget, join_summary, save, table
 
 SHARDS, ROUNDS, BUCKETS, ROWS_A_RANK = 24, 8, 128, 5_000
 
@@ -104,13 +104,12 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     rows = save(rows.withColumn("node", F.monotonically_increasing_id()), "rows")
     total = rows.count()
     quota = [total // shards + (s < total % shards) for s in range(shards)]
-    groups = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    linked = save(rows.select("node", "g").join(groups, "g").select("node", "g", "n"), "linked")
-    large = groups.where(F.col("n") > quota[-1]).orderBy(F.desc("n"), "g").collect()  # fewer than there are shards
+    groups = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).where("n > 1")
+    linked = save(join_summary(rows.select("node", "g"), "g", groups, "n", total), "linked")
+    large = groups.where(F.col("n") > quota[-1]).select("g", "n").orderBy(F.desc("n"), "g").collect()  # fewer than there are shards
     spread, quota_left = _cut_large(linked.where(F.col("n") > quota[-1]), [(bytes(r["g"]), r["n"]) for r in large], quota)
     small = linked.where(F.col("n") <= quota[-1])
-    hubs = small.groupBy("g").agg(F.min("node").alias("hub"))
-    links = small.join(hubs, "g").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    links = small.select(F.col("node").alias("a"), F.col("hub").alias("b"))
     placed = propagate(small.select("node"), links, quota_left, rounds)
     if spread is not None:
         placed = placed.unionByName(spread)

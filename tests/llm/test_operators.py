@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pressmill.llm import chat, decontaminate, language_id, line_dedup, lm_scoring, near_dedup, packing, pii, sharding, simhash
+from pressmill.llm import chat, common, decontaminate, language_id, line_dedup, lm_scoring, near_dedup, packing, pii, sharding, simhash
 from pressmill.llm.common import components
 from pressmill.llm.queries import ORACLES, QUERIES
 
@@ -43,6 +43,24 @@ def test_components(spark):
     assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
 
 
+def test_components_with_heavy_keys(spark, monkeypatch):
+    """Hubs and chains, with nearly every key heavy or none."""
+    monkeypatch.setattr(common, "HEAVY", 50)
+    edges = [(0, i) for i in range(1, 40)] + [(200, i) for i in range(100, 140)] + [(i, i + 1) for i in range(300, 310)] + [(39, 310)]
+    for few in (3, 1):
+        monkeypatch.setattr(common, "FEW", few)
+        got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got == {x: 0 if x < 100 or x >= 300 else 100 for e in edges for x in e}
+
+
+def test_joining_with_summaries_keeps_every_row(spark, monkeypatch):
+    monkeypatch.setattr(common, "FEW", 5)
+    rows = spark.createDataFrame([(k, i) for k, n in (("a", 50), ("b", 5), ("c", 1)) for i in range(n)] + [(None, 0), ("d", 0)], "k string, i int")
+    summary = rows.where("k <> 'd'").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("i").alias("top"))
+    got = sorted(map(tuple, common.join_summary(rows, "k", summary, "n", rows.count()).select("k", "i", "n", "top").collect()))
+    assert got == sorted((k, i, n, n - 1) for k, n in (("a", 50), ("b", 5), ("c", 1)) for i in range(n))
+
+
 # --- 1
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import op7_chat_format
 from .decontaminate import OP9_SQL, op9_decontaminate
+from .divergence import OP11_SQL, op11_divergence
 from .language_id import op4_language_id
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .lm_scoring import op8_lm_scoring
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_decontaminate": op9_decontaminate,
     "op10_pii": op10_pii,
+    "op11_divergence": op11_divergence,
 }
-ORACLES = {"op1_line_dedup": OP1_SQL, "op5_near_dedup": OP5_SQL, "op9_decontaminate": OP9_SQL}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op5_near_dedup": OP5_SQL, "op9_decontaminate": OP9_SQL, "op11_divergence": OP11_SQL}

@@ -10,6 +10,7 @@ from .line_dedup import OP1_SQL, op1_line_dedup
 from .lm_scoring import op8_lm_scoring
 from .near_dedup import OP5_SQL, op5_near_dedup
 from .packing import op6_packing
+from .pieces import op12_pieces
 from .pii import op10_pii
 from .sharding import op2_sharding
 from .simhash import op3_simhash
@@ -26,5 +27,6 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_pii": op10_pii,
     "op11_divergence": op11_divergence,
+    "op12_pieces": op12_pieces,
 }
 ORACLES = {"op1_line_dedup": OP1_SQL, "op5_near_dedup": OP5_SQL, "op9_decontaminate": OP9_SQL, "op11_divergence": OP11_SQL}

@@ -14,6 +14,7 @@ from .pieces import op12_pieces
 from .pii import op10_pii
 from .sharding import op2_sharding
 from .simhash import op3_simhash
+from .variants import op13_variants
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
@@ -28,5 +29,6 @@ QUERIES = {
     "op10_pii": op10_pii,
     "op11_divergence": op11_divergence,
     "op12_pieces": op12_pieces,
+    "op13_variants": op13_variants,
 }
 ORACLES = {"op1_line_dedup": OP1_SQL, "op5_near_dedup": OP5_SQL, "op9_decontaminate": OP9_SQL, "op11_divergence": OP11_SQL}

@@ -6,9 +6,8 @@ the normalised text, and the ends of each piece are projected through that align
 character map (the `identity` rule) a character is its own prefix, and text and alignment are built a text at a time instead of
 a prefix at a time.
 
-Merges never cross a character that occurs in no piece of several characters, nor, where no piece has a word mark behind another character,
-the start of a word. So a text is cut there into chunks, and the pieces of a chunk are worked out once a task (a bounded table of
-short chunks); long chunks take n log n steps.
+No merge brings together two characters that follow each other in no piece, so a text is cut there into chunks (words, runs of
+marks), and the pieces of a chunk are worked out once a worker (a bounded table of short chunks); long chunks take n log n steps.
 
 Defined results: a null text is empty, with no pieces; texts may be of any length, with any characters, written-out special pieces
 (`<s>`) being plain text; bytes that are no UTF-8 are read as U+FFFD; equal texts give equal rows; repeated rows and null ids are kept;
@@ -21,6 +20,7 @@ from __future__ import annotations
 import heapq
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,7 +35,9 @@ from .common import table
 MARK, NORMAL, UNKNOWN, CONTROL, OWN, BYTE, UNUSED, BPE = "▁", 1, 2, 3, 4, 6, 5, 2
 UNREADABLE = "�"
 #: Chunks up to this length are kept, this many of them; a task hands on its rows after so many bytes of text.
-KEPT_LENGTH, KEPT, HAND_ON = 64, 300_000, 4 << 20
+KEPT_LENGTH, KEPT, HAND_ON = 64, 400_000, 4 << 20
+#: Chunks up to this length are merged by looking at all their pairs, longer ones by a heap.
+SHORT, NEVER = 100, float("-inf")
 
 
 def default_model() -> str:
@@ -95,6 +97,29 @@ class CharMap:
         return self.texts[found[0] : self.texts.index(b"\0", found[0])], found[1]
 
 
+def chunk_pattern(several: list[str]) -> re.Pattern:
+    """A pattern of chunks that no merge goes across: characters that follow each other in some piece of several are of one family, and
+    a chunk is a run of one family with the marks before it, a run of marks, or a character of no family."""
+    parent = {c: c for t in several for c in t}
+
+    def find(c: str) -> str:
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    over_marks = any(MARK in t.lstrip(MARK) for t in several)  # pieces go over the start of a word
+    for t in several:
+        t = t if over_marks else t.lstrip(MARK)
+        for a, b in zip(t, t[1:], strict=False):
+            parent[find(a)] = find(b)
+    families: dict[str, list[str]] = {}
+    for c in parent:
+        if c != MARK or over_marks:
+            families.setdefault(find(c), []).append(c)
+    runs = [f"[{''.join(map(re.escape, sorted(f)))}]+" for f in sorted(families.values(), key=len, reverse=True)]
+    return re.compile("|".join(([] if over_marks else [f"{MARK}*(?:{'|'.join(runs)})"] if runs else []) + (runs if over_marks else []) + [f"{MARK}+", "[\\s\\S]"]))
+
+
 class PieceModel:
     """The pieces, rules and merges of a model file."""
 
@@ -123,12 +148,7 @@ class PieceModel:
         self.is_byte = [k == BYTE for _, _, k in pieces]
         self.is_control = [k == CONTROL for _, _, k in pieces]
         self.marked = [k == NORMAL and t.startswith(MARK) for t, _, k in pieces]
-        several = [t for t in self.ids if len(t) > 1]
-        joined = "".join(map(re.escape, sorted({c for t in several for c in t} | {MARK})))
-        if any(MARK in t.lstrip(MARK) for t in several):  # pieces go over the start of a word
-            self.chunks = re.compile(f"[{joined}]+|[^{joined}]")
-        else:
-            self.chunks = re.compile(f"{MARK}*(?:(?!{MARK})[{joined}])+|{MARK}+|[^{joined}]")
+        self.chunks = chunk_pattern([t for t in self.ids if len(t) > 1])
         self.kept: dict[str, tuple[bytes, bytes]] = {}
 
     def normalise(self, text: str) -> tuple[str, np.ndarray]:
@@ -180,18 +200,20 @@ class PieceModel:
     def _plain(self, text: str, data: bytes) -> tuple[str, np.ndarray]:
         """normalise() where every character stays but for spaces."""
         if not data:
-            return "", np.zeros(1, np.int64)
+            return "", np.zeros(1, np.int32)
         mark = MARK if self.escape else " "
-        wide = np.ones(len(data), np.int64)
+        raw = np.frombuffer(data, np.uint8)
+        body = np.arange(len(data), dtype=np.int32)
         if self.escape:
-            wide += 2 * (np.frombuffer(data, np.uint8) == 32)
-        body = np.repeat(np.arange(len(data)), wide)
+            body = np.repeat(body, np.where(raw == 32, np.uint8(3), np.uint8(1)))
         front, back = (len(mark.encode()) * (self.prefix and on) for on in (not self.suffix, self.suffix))
         out = (mark if front else "") + text.replace(" ", mark) + (mark if back else "")
-        return out, np.concatenate([np.zeros(front, np.int64), body, np.full(back + 1, len(data))])
+        return out, np.concatenate([np.zeros(front, np.int32), body, np.full(back + 1, len(data), np.int32)])
 
     def merged(self, chunk: str) -> list[str]:
         """The symbols of a chunk after all merges, the best score first and the leftmost of equal ones."""
+        if len(chunk) <= SHORT:
+            return self._merged_short(chunk)
         text: list[str] = list(chunk)
         n = len(text)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -218,6 +240,23 @@ class PieceModel:
                 offer(before[a], a)
         return [t for t in text if t]
 
+    def _merged_short(self, chunk: str) -> list[str]:
+        """merged() by looking at all pairs again after each merge."""
+        text, scores = list(chunk), self.scores
+        pairs = [scores.get(a + b, NEVER) for a, b in zip(text, text[1:], strict=False)]
+        while pairs:
+            best = max(pairs)
+            if best == NEVER:
+                break
+            i = pairs.index(best)
+            text[i] += text.pop(i + 1)
+            del pairs[i]
+            if i:
+                pairs[i - 1] = scores.get(text[i - 1] + text[i], NEVER)
+            if i < len(pairs):
+                pairs[i] = scores.get(text[i] + text[i + 1], NEVER)
+        return text
+
     def _chunk(self, chunk: str) -> tuple[bytes, bytes]:
         """Ids and lengths in bytes of a chunk's pieces, as 32-bit numbers. Of a character's byte pieces the last has its whole length."""
         got = self.kept.get(chunk)
@@ -225,13 +264,14 @@ class PieceModel:
             ids, sizes = [], []
             for t in self.merged(chunk):
                 raw = t.encode()
-                if t in self.ids:
-                    ids.append(self.ids[t])
+                known = self.ids.get(t)
+                if known is not None:
+                    ids.append(known)
                     sizes.append(len(raw))
                 else:
                     ids += [self.bytes[b] for b in raw]
                     sizes += [0] * (len(raw) - 1) + [len(raw)]
-            got = np.array(ids, "<i4").tobytes(), np.array(sizes, "<i4").tobytes()
+            got = array("i", ids).tobytes(), array("i", sizes).tobytes()
             if len(chunk) <= KEPT_LENGTH and len(self.kept) < KEPT:
                 self.kept[chunk] = got
         return got
@@ -241,8 +281,8 @@ class PieceModel:
         normal, origin = self.normalise(text)
         kept, work = self.kept, self._chunk
         found = [kept.get(c) or work(c) for c in self.chunks.findall(normal)]
-        ids = np.frombuffer(b"".join([f[0] for f in found]), "<i4")
-        sizes = np.frombuffer(b"".join([f[1] for f in found]), "<i4").astype(np.int64)
+        ids = np.frombuffer(b"".join([f[0] for f in found]), "i4")
+        sizes = np.frombuffer(b"".join([f[1] for f in found]), "i4").astype(np.int64)
         ends = np.cumsum(sizes)
         return ids, origin[ends - sizes], origin[ends]
 

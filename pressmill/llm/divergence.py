@@ -34,20 +34,20 @@ from .common import forget, save, table
 
 LEAST_DOCS, TOP_TERMS, SCALE, SMOOTH = 10, 10, 1_000_000_000, 2
 #: A task looks at its partial counts after so many bytes of text, and writes them out beyond so many entries or bytes.
-LOOK, MOST_ENTRIES, MOST_BYTES = 16 << 20, 400_000, 32 << 20
+LOOK, MOST_ENTRIES, MOST_BYTES = 8 << 20, 300_000, 32 << 20
 #: Terms are dealt to so many parts of a language where all its groups meet, which are few keys.
 PARTS = 16
 #: Bytes to themselves, A-Z to a-z, everything that parts terms to a space.
 TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def _rows(held: dict[tuple[str, str], tuple[Counter, Counter]]) -> pa.RecordBatch:
-    cols: list[list] = [[], [], [], [], []]
-    for (lang, source), (n, docs) in held.items():
+def _hand_on(held: dict[tuple[str, str], tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
+    """The partial counts, a batch a group, each given up as it goes."""
+    while held:
+        (lang, source), (n, docs) = held.popitem()
         terms = list(n)
-        for c, values in zip(cols, ([lang] * len(terms), [source] * len(terms), [t.decode("utf-8", "replace") for t in terms], [n[t] for t in terms], [docs[t] for t in terms]), strict=True):
-            c += values
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["lang", "source", "term", "n", "docs"])
+        cols = [pa.repeat(lang, len(terms)), pa.repeat(source, len(terms)), pa.array([t.decode("utf-8", "replace") for t in terms], pa.string()), pa.array([n[t] for t in terms], pa.int64()), pa.array([docs[t] for t in terms], pa.int64())]
+        yield pa.RecordBatch.from_arrays(cols, names=["lang", "source", "term", "n", "docs"])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,9 +64,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if seen > LOOK:
                 seen = 0
                 if sum(len(n) for n, _ in held.values()) > MOST_ENTRIES or sum(sum(map(len, n)) for n, _ in held.values()) > MOST_BYTES:
-                    yield _rows(held)
-                    held.clear()
-    yield _rows(held)
+                    yield from _hand_on(held)
+    yield from _hand_on(held)
 
 
 def term_counts(docs: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from ..functions.dates import rounded
 from ..functions.keywords import contains_any, points
 from ..sources import rulepacks as R
 from ..work import forget, save
+from .similar import similar_pairs
 
 
 def recent(at: Column, as_of: Column, hours: int) -> Column:
@@ -139,23 +140,6 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(most == 0, 100).otherwise(rounded((most - F.levenshtein(a, b)).cast("double") / most * 100)).cast("int")
 
 
-def similar_pairs(titles: DataFrame, least: int = 70, bands: float = 1.44) -> DataFrame:
-    """titles (key, title), titles distinct: pairs (a, b, similarity), a < b, of at least `least` percent.
-
-    Such titles differ in length by at most 0.305 of the longer, so they are in the same or in neighbouring bands of a
-    geometric scale; an equi-join on bands, a length test and a distance with an early stop leave the exact pairs."""
-    band = F.floor(F.log(F.greatest(F.char_length("title"), F.lit(1)).cast("double")) / F.log(F.lit(bands)))
-    t = titles.select("key", "title", F.char_length("title").alias("n"), band.cast("int").alias("band"))
-    left = t.select(F.col("key").alias("ka"), F.col("title").alias("ta"), F.col("n").alias("na"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
-    right = t.select(F.col("key").alias("kb"), F.col("title").alias("tb"), F.col("n").alias("nb"), "band")
-    longest = F.greatest("na", "nb")
-    most = F.floor(longest * (100.5 - least) / 100).cast("int")
-    pairs = left.join(right, "band").where((F.col("ka") < F.col("kb")) & (F.abs(F.col("na") - F.col("nb")) <= most))
-    d = F.when(F.col("ta") == F.col("tb"), 0).otherwise(F.expr("levenshtein(ta, tb, cast(floor(greatest(na, nb) * %s) as int))" % repr((100.5 - least) / 100)))
-    pairs = pairs.withColumn("d", d).where("d >= 0").withColumn("similarity", F.when(longest == 0, 100).otherwise(rounded((longest - F.col("d")).cast("double") / longest * 100)).cast("int"))
-    return pairs.where(F.col("similarity") >= least).select(F.col("ka").alias("a"), F.col("kb").alias("b"), "similarity")
-
-
 def leaders(items: DataFrame, least: int = 70) -> DataFrame:
     """items (ord, title) in order of ord: the greedy representatives, ord of those with no earlier representative of a
     similar title. Equal titles are taken together; then, round by round, a title without an undecided earlier neighbour is

@@ -7,13 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import landed
+from . import landed, streamed
 from .functions import dates as D
 from .functions import keywords as K
 from .functions import text as X
 from .operators import books as B
 from .operators import ledger as L
 from .operators import news as N
+from .operators import rules as U
 from .plans import pipelines as P
 from .sources import fixtures as S
 from .sources import rulepacks as R
@@ -117,6 +118,38 @@ def engagement_dynamic_score(s, sf):
     return N.dynamic_score(scored(s, sf), N.engagement(S.posts(s, sf))).select("ord", "score", "final_score")
 
 
+def _rules(s) -> DataFrame:
+    """The words of the tests as a rule table."""
+    news = [(k, p, R.FIXTURE[k]) for k, p in R.NEWS_POINTS]
+    books = [(k, p, AGRI_RULES["pack"][k]) for k, p in R.BOOK_POINTS]
+    return U.rule_table(s, U.rule_rows("news", news) + U.rule_rows("out", [("out", 0, R.FIXTURE_EXCLUSION)]) + U.rule_rows("count", [("count", 1, BOUNDARY)], "boundary") + U.rule_rows("trend", [("trend", 1, TREND)]) + U.rule_rows("books", books, "boundary"))
+
+
+def rules_news_score(s, sf):
+    t = _rules(s)
+    return U.score_news(S.articles(s, sf), U.RuleSet(t, "news"), U.RuleSet(t, "out"), "core").select("ord", "score", "label")
+
+
+def rules_match_count(s, sf):
+    return U.match(S.articles(s, sf).select("ord", "text"), U.RuleSet(_rules(s), "count")).select("ord", F.size("hits").alias("hits"))
+
+
+def rules_trend_counts(s, sf):
+    t = _rules(s)
+    return U.keyword_counts(S.recent_news(s, sf), U.RuleSet(t, "trend"), t, "trend").select("keyword", "hits", "rank")
+
+
+def rules_book_points(s, sf):
+    text = F.lower(F.concat_ws(" ", "title", "author", "series", "description"))
+    return U.match(S.books(s, sf).select("ord", text.alias("text")), U.RuleSet(_rules(s), "books")).select("ord", "score", F.array_join("categories", " & ").alias("categories"))
+
+
+def similar_urls(s, sf):
+    """Addresses that are at least 85 percent alike."""
+    urls = table(s, sf, "pages").groupBy(F.col("url").alias("title")).agg(F.min("page_id").alias("key"))
+    return N.similar_pairs(urls, 85)
+
+
 def _titles(s, sf):
     return table(s, sf, "part").groupBy(F.col("p_name").alias("title")).agg(F.min("p_partkey").alias("key"))
 
@@ -351,8 +384,9 @@ engagement_dynamic_score title_similarity_pairs fuzzy_dedup_leaders book_merge_c
 book_date_window book_adaptive_window book_freshness_bonus book_quality_bonus book_agri_score book_popular_score
 book_fallback_branch scrape_body_text html_tag_strip url_host url_clean_utm url_tracking_params json_extract_props
 keyword_rotation keyword_round_robin catalog_insert_if_absent subscriber_batches subscriber_delete registration_router
-role_indicator discussion_stream_log llm_pick_fallback headline_pipeline"""
-QUERIES = {n: globals()[n] for n in NAMES.split()} | landed.QUERIES
+role_indicator discussion_stream_log llm_pick_fallback headline_pipeline
+rules_news_score rules_match_count rules_trend_counts rules_book_points similar_urls"""
+QUERIES = {n: globals()[n] for n in NAMES.split()} | landed.QUERIES | streamed.QUERIES
 
 
 def _rob(k: int) -> str:
@@ -481,4 +515,7 @@ ORACLES = {
     "role_indicator": "SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 1 WHEN 'MACHINERY' THEN 0 END::INT AS user_role FROM customer",
     "discussion_stream_log": "SELECT event_id AS message_id, user_id::VARCHAR AS user_id, 'https://news.example/' || ((props->>'$.k')::BIGINT % 10) AS news_url, CASE event_type WHEN 'signup' THEN 1 WHEN 'view' THEN 0 END::INT AS user_role FROM events WHERE event_type <> 'error' AND (props->>'$.k')::BIGINT % 10 < 5",
     "llm_pick_fallback": f"WITH {BOOKS}, {POPULAR_SQL}, s AS (SELECT ord, pub_date, (points + {FRESH.format(d='(pub_date - DATE ' + chr(39) + BOOK_AS_OF[:10] + chr(39) + ')')} + {QUAL.format(n='review_count')})::INT AS total FROM pop3 WHERE reason IS NULL) SELECT ord, 1 AS rank, total FROM s ORDER BY total DESC, pub_date DESC NULLS LAST, ord LIMIT 1",
-} | landed.ORACLES
+    "rules_book_points": f"WITH {BOOKS}, {AGRI_SQL} SELECT ord, points AS score, cats AS categories FROM agri1",
+    "similar_urls": "WITH t AS (SELECT url AS title, min(page_id) AS key FROM pages GROUP BY url) SELECT x.key AS a, y.key AS b, " + SIM + " AS similarity FROM t x JOIN t y ON x.key < y.key WHERE " + SIM + " >= 85",
+} | landed.ORACLES | streamed.ORACLES
+ORACLES |= {new: ORACLES[old] for new, old in (("rules_news_score", "news_category_score"), ("rules_match_count", "kw_match_count"), ("rules_trend_counts", "trend_keyword_counts"))}

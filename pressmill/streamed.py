@@ -9,8 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from .operators.bucketed import BucketedLedger
+from .operators.outbox import Outbox
 from .sources import fixtures as S
 from .sources.fixtures import ARTICLES
+from .streaming import router as T
 from .streaming import running as W
 from .streaming.store import BatchStore
 from .work import place, table
@@ -79,9 +82,89 @@ def stream_distinct_links(s: SparkSession, sf: str) -> DataFrame:
     return rows.crossJoin(F.broadcast(counted)).select("link", "arrival", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "late_rows")  # one row
 
 
+# --- the log's five kinds
+
+RECEIVED = "2024-01-02T00:00:00"
+_post = lambda kind, **fields: F.to_json(F.struct(F.lit(kind).alias("type"), *(c.alias(n) for n, c in fields.items())))
+
+
+def log_posts(s: SparkSession, sf: str) -> DataFrame:
+    """orders as posts: five kinds, one that there is not, and broken text."""
+    n, key = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
+    text = lambda t: F.concat(F.lit(f"{t} "), key)
+    some = lambda c, every: F.when(n % every != 0, c)
+    article = lambda i: F.struct(F.concat(F.lit(f"https://a.example/{i}/"), key).alias("url"), text("title").alias("title"), F.col("o_orderstatus").alias("pubDate"), F.col("o_orderpriority").alias("priority"), (n % 50 + i).alias("score"))
+    bodies = [
+        _post("newBook", isbn=F.concat(F.lit("978"), key), title=some(text("book"), 4), author=F.col("o_orderpriority"), score=some((n % 30).cast("string"), 3), postedDate=some(F.lit("2024-01-01"), 2)),
+        _post("discussion", timestamp=some(F.lit("2024-01-01T10:00:00"), 5), userId=key, username=text("user"), content=some(text('a "quoted"\nline'), 4), newsUrl=text("url"), userRole=some(F.lit(1), 2)),
+        _post("news", title=text("news"), link=F.concat(F.lit("https://n.example/"), key), newsDate=F.col("o_orderstatus"), insight=some(text("why"), 3), discussionQuestions=F.array(text("q1"), text("q2"))),
+        _post("addArticles", articles=F.when(n % 4 == 1, F.array().cast("array<struct<url: string, title: string, pubDate: string, priority: string, score: bigint>>")).otherwise(F.array(article(0), article(1)))),
+        _post("globalResearch", titleOriginal=text("original"), titleJa=text("題"), link=F.concat(F.lit("https://g.example/"), key), summary=some(text("sum"), 3), keyPoints=text("points"), publishDate=F.col("o_orderstatus")),
+        _post("somethingElse", title=text("t")),
+        F.concat(F.lit("{broken "), key),
+    ]
+    body = F.coalesce(*(F.when(n % 7 == i, b) for i, b in enumerate(bodies)))
+    return table(s, sf, "orders").select(n, body.alias("body"), F.lit(RECEIVED).alias("received_at"))
+
+
+def post_router(s: SparkSession, sf: str) -> DataFrame:
+    """Every row of every log as one text, and the rejected posts with the reason."""
+    store, at = BatchStore(s, place(s, "logs")), place(s, "checkpoint")
+    arrive(log_posts(s, sf).select("body", "received_at", "o_orderkey"), F.col("o_orderkey") % 3, 3, lambda posts: T.run_router(posts.drop("o_orderkey"), store, at))
+    out = []
+    for kind in [*T.LOGS, "rejected"]:
+        rows = T.log(store, kind)
+        cells = [F.coalesce(F.col(c).cast("bigint").cast("string") if t == "double" else F.col(c).cast("string"), F.lit("-")) for c, t in rows.dtypes]
+        out.append(rows.select(F.lit(kind).alias("log"), F.concat_ws("|", *cells).alias("line")))
+    first, *others = out
+    for o in others:
+        first = first.unionAll(o)
+    return first
+
+
+# --- what a run sends
+
+
+def outbox_runs(s: SparkSession, sf: str) -> DataFrame:
+    """Three runs whose selections overlap: the first is started twice, the second dies between its append and its end, and is started again."""
+    box = Outbox(s, place(s, "outbox"), "link", "ord long, link string")
+    a = S.articles(s, sf).select(F.col("ord").cast("long").alias("ord"), "link")
+
+    def dies(rows: DataFrame) -> None:
+        raise ConnectionError("the first time")
+
+    for run, rows, sender in (("one", "ord % 3 = 0", None), ("one", "ord % 3 = 0", None), ("two", "ord % 5 < 2", dies), ("three", "ord % 2 = 0", None), ("two", "true", None)):
+        try:
+            box.emit(run, a.where(rows), sender)
+        except ConnectionError:
+            pass
+    return box.messages().select("run", "ord", "link")
+
+
+def headline_posted_bucketed(s: SparkSession, sf: str) -> DataFrame:
+    """The ledger comes in two parts, and is compacted between them."""
+    path = place(s, "ledger")
+    ledger = BucketedLedger(s, f"ledger_{path.rsplit('-', 1)[-1]}", path, "doc_id", 8)
+    posted = S.posted(s, sf)
+    ledger.append(posted.where("doc_id % 2 = 0"))
+    ledger.compact(place(s, "ledger"))
+    ledger.append(posted.where("doc_id % 2 = 1"))
+    return ledger.absent(S.articles(s, sf).select("ord", "link", F.col("ord").alias("doc_id"))).select("ord", "link")
+
+
 POSTS_SQL = "posts AS (SELECT 'https://news.example/' || ((props->>'$.k')::BIGINT % 100) AS url, props::VARCHAR AS content FROM events WHERE event_type <> 'error')"
 _listed = "(VALUES " + ", ".join(f"({i}, '{w}')" for i, w in enumerate(TREND)) + ") AS k(n, keyword)"
-QUERIES = {f.__name__: f for f in (running_engagement, running_trends, stream_distinct_links)}
+_some = lambda v, every, other="'-'": f"CASE WHEN n % {every} <> 0 THEN {v} ELSE {other} END"
+_row = lambda *cells: " || '|' || ".join(cells)
+_lines = {
+    "newBook": _row(f"'{RECEIVED}'", "'978' || n", _some("'book ' || n", 4, "''"), "o_orderpriority", "''", "''", _some("(n % 30)", 3, "0"), "''", "''", _some("'2024-01-01'", 2, f"'{RECEIVED}'")),
+    "discussion": _row(_some("'2024-01-01T10:00:00'", 5, f"'{RECEIVED}'"), "n", "'user ' || n", _some("'a \"quoted\"' || chr(10) || 'line ' || n", 4), "'-'", "'url ' || n", "'-'", _some("'1'", 2)),
+    "news": _row(f"'{RECEIVED}'", "'news ' || n", "'https://n.example/' || n", "o_orderstatus", _some("'why ' || n", 3), "'q1 ' || n || chr(10) || 'q2 ' || n"),
+    "addArticles": _row(f"'{RECEIVED}'", "'https://a.example/' || i || '/' || n", "'title ' || n", "o_orderstatus", "o_orderpriority", "(n % 50 + i)"),
+    "globalResearch": _row(f"'{RECEIVED}'", "'original ' || n", "'題 ' || n", "'https://g.example/' || n", _some("'sum ' || n", 3), "'points ' || n", "'-'", "o_orderstatus"),
+}
+_from = lambda i, kind: f"SELECT '{kind}' AS log, {_lines[kind]} AS line FROM o" + (", (VALUES (0), (1)) AS v(i)" if kind == "addArticles" else "") + f" WHERE n % 7 = {i}" + (" AND n % 4 <> 1" if kind == "addArticles" else "")
+QUERIES = {f.__name__: f for f in (running_engagement, running_trends, stream_distinct_links, post_router, outbox_runs, headline_posted_bucketed)}
 ORACLES = {
     "running_engagement": f"WITH {POSTS_SQL} SELECT url, count(*) AS posts, sum(length(content))::BIGINT AS total_length, floor(sum(length(content))::DOUBLE / count(*) + 0.5)::BIGINT AS mean_length FROM posts WHERE url IS NOT NULL GROUP BY url",
     "running_trends": f"WITH {ARTICLES}, hits AS (SELECT ord, n, keyword FROM articles JOIN {_listed} ON contains(lower(title), keyword)) SELECT keyword, count(*)::BIGINT AS hits, row_number() OVER (ORDER BY count(*) DESC, min(ord * 1000 + n))::INT AS rank FROM hits GROUP BY keyword",
@@ -91,4 +174,8 @@ ORACLES = {
       k AS (SELECT link, arrival, ts, i, true AS kept, ts + INTERVAL {BOUND} DAY AS until FROM m WHERE NOT late AND i = 1
         UNION ALL SELECT m.link, m.arrival, m.ts, m.i, k.until <= m.mark, CASE WHEN k.until <= m.mark THEN m.ts + INTERVAL {BOUND} DAY ELSE k.until END FROM k JOIN m ON m.link = k.link AND NOT m.late AND m.i = k.i + 1)
       SELECT link, arrival, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, (SELECT 2 * count(*) FROM m WHERE late)::BIGINT AS late_rows FROM k WHERE kept""",
+    "post_router": "WITH o AS (SELECT o_orderkey AS n, o_orderstatus, o_orderpriority FROM orders) " + " UNION ALL ".join(_from(i, kind) for i, kind in enumerate(T.LOGS))
+    + f""" UNION ALL SELECT 'rejected', '{{"type":"somethingElse","title":"t ' || n || '"}}|{RECEIVED}|unknown kind' FROM o WHERE n % 7 = 5 UNION ALL SELECT 'rejected', '{{broken ' || n || '|{RECEIVED}|no JSON object' FROM o WHERE n % 7 = 6""",
+    "outbox_runs": f"WITH {ARTICLES}, r AS (SELECT ord::BIGINT AS ord, link, CASE WHEN ord % 3 = 0 THEN 'one' WHEN ord % 5 < 2 THEN 'two' WHEN ord % 2 = 0 THEN 'three' END AS run FROM articles) SELECT run, ord, link FROM r WHERE run IS NOT NULL",
+    "headline_posted_bucketed": f"WITH {ARTICLES} SELECT ord, link FROM articles WHERE ord NOT IN (SELECT doc_id FROM labels WHERE quality = 0 AND doc_id IS NOT NULL)",
 }

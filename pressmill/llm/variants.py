@@ -153,10 +153,11 @@ def vocabulary_filter(words: DataFrame, count: int, most_log_bits: int = MOST_LO
                 h = hashed(raw)[1][:, -1]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([_bits(h, p, log_bits) for p in range(len(PROBES))]))], names=["bit"])
 
-    set_ = words.select("word").mapInArrow(bits, "bit long").groupBy(F.shiftright("bit", 3).alias("byte"))
-    rows = set_.agg(F.bit_or(F.expr("shiftleft(1, cast(bit & 7 as int))")).alias("bits")).toArrow()  # at most 2^most_log_bits / 8 rows
-    table_ = np.zeros(1 << (log_bits - 3), np.uint8)
-    table_[rows["byte"].to_numpy()] = rows["bits"].to_numpy()
+    set_ = words.select("word").mapInArrow(bits, "bit long").groupBy(F.shiftright("bit", 6).alias("slot"))
+    rows = set_.agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()  # at most 2^most_log_bits / 64 rows, 64 MB
+    table_ = np.zeros(1 << (log_bits - 6), "<i8")
+    table_[rows["slot"].to_numpy()] = rows["bits"].to_numpy()
+    table_ = table_.view(np.uint8)
     return Filter(table_, log_bits)
 
 

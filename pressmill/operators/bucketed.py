@@ -43,9 +43,12 @@ class BucketedLedger:
 
     def compact(self, path: str) -> None:
         """Write the ledger anew under another path, each bucket one sorted file, and take that path on."""
+        if path.rstrip("/") == self.path.rstrip("/"):
+            raise ValueError("a ledger is compacted to another path than its own")
         fresh = f"{self.name}_compacting"
         self.spark.sql(f"DROP TABLE IF EXISTS {fresh}")
-        self._save(self.rows(), fresh, path)
+        files = self.spark.read.schema(self.rows().schema).parquet(self.path)  # read as buckets, the rows would not be dealt anew
+        self._save(files, fresh, path)
         self.spark.sql(f"DROP TABLE {self.name}")
         self.spark.sql(f"ALTER TABLE {fresh} RENAME TO {self.name}")
         self.path = path

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -281,7 +279,7 @@ def role_indicator(s, sf):
 
 
 def discussion_stream_log(s, sf):
-    return log_events(s, f"{sf}/events.parquet", f"discussion-{uuid.uuid4().hex}").select("message_id", "user_id", "news_url", "user_role")
+    return log_events(s, f"{sf}/events.parquet", "discussion").select("message_id", "user_id", "news_url", "user_role")
 
 
 def llm_pick_fallback(s, sf):

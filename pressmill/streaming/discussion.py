@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..work import work_dir
+from ..work import place
 
 
 def role_indicator(roles: Column, member: str, guest: str) -> Column:
@@ -42,6 +42,6 @@ def log_events(spark: SparkSession, events_path: str, name: str) -> DataFrame:
         raw = stream.parquet(events_path)
     messages = raw.select(F.col("event_id").alias("message_id"), "ts", F.col("user_id").cast("string").alias("author_id"), F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("username"), (F.col("event_type") == "error").alias("is_bot"), F.lit(True).alias("in_guild"), (F.get_json_object("props", "$.k").cast("long") % 10).cast("string").alias("thread_id"), F.col("props").alias("content"), F.array(F.col("event_type")).alias("roles"))
     starters = spark.range(7).select(F.col("id").cast("string").alias("thread_id"), F.when(F.col("id") < 5, "service").otherwise("other").alias("author_id"), F.concat(F.lit("title "), F.col("id").cast("string")).alias("title"), F.concat(F.lit("https://news.example/"), F.col("id").cast("string")).alias("url"), F.lit("2024-01-01").cast("timestamp_ntz").alias("embed_ts"))
-    at = f"{work_dir(spark)}/{name}"
+    at = place(spark, name)
     append_batches(discussion_rows(messages, starters, "service", "signup", "view"), f"{at}/log", f"{at}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{at}/log").drop("batch")

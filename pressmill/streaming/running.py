@@ -7,7 +7,7 @@ into a KeyedTable; the discussion log is never read again.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,7 +39,11 @@ def rocks_state(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(PROVIDER)
 
 
-def _start(df: DataFrame, mode: str, sink, checkpoint: str) -> StreamingQuery:
+def _start(df: DataFrame, mode: str, write: Callable[[int, DataFrame], bool], checkpoint: str) -> StreamingQuery:
+    def sink(batch: DataFrame, number: int) -> None:
+        if not write(number, batch):  # it is written already, but the engine's state must go through the batch again
+            batch.write.format("noop").mode("overwrite").save()
+
     with rocks_state(df.sparkSession):
         return df.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -55,7 +59,7 @@ def run_engagement(posts: DataFrame, table: KeyedTable, checkpoint: str) -> Stre
     """posts (url, content), a stream: what has arrived is added to the posts and lengths of each URL. Rows without a URL go."""
     kept = posts.where(F.coalesce(F.col("url").cast("string"), F.lit("")) != "")
     totals = kept.groupBy(F.col("url").cast("string").alias("url")).agg(F.count(F.lit(1)).alias("posts"), F.sum(F.char_length(F.coalesce("content", F.lit(""))).cast("long")).alias("total_length"))
-    return _start(totals, "update", lambda df, n: table.upsert(n, df), checkpoint)
+    return _start(totals, "update", table.upsert, checkpoint)
 
 
 def engagement_now(table: KeyedTable) -> DataFrame:
@@ -75,7 +79,7 @@ def run_trends(news: DataFrame, words: Sequence[str], table: KeyedTable, checkpo
     """news (ord, title), a stream: hits of each list entry, and the first of them."""
     seen = keyword_hits(news.select(F.col("ord").cast("long").alias("ord"), "title"), words)
     totals = seen.groupBy("keyword").agg(F.count(F.lit(1)).alias("hits"), F.min(F.struct("ord", "n")).alias("first"))
-    return _start(totals, "update", lambda df, n: table.upsert(n, df), checkpoint)
+    return _start(totals, "update", table.upsert, checkpoint)
 
 
 def trends_now(table: KeyedTable) -> DataFrame:
@@ -90,7 +94,7 @@ def run_distinct(rows: DataFrame, key: Sequence[str], at: str, bound: str, store
     """rows, a stream: of rows with equal keys within `bound` of event time after the first the first goes to the table `distinct`, a later one is let
     through again. Rows older than the watermark (the newest event so far less `bound`) are late and go; record_late() counts them."""
     once = rows.withWatermark(at, bound).dropDuplicatesWithinWatermark(list(key))
-    return _start(once, "append", lambda df, n: store.write(n, {"distinct": df}), checkpoint)
+    return _start(once, "append", lambda n, df: store.write(n, {"distinct": df}), checkpoint)
 
 
 def record_late(query: StreamingQuery, store: BatchStore) -> None:

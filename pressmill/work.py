@@ -35,11 +35,13 @@ def _held(spark: SparkSession) -> dict[str, str | None]:
     return sc._pressmill_held
 
 
-def save(df: DataFrame, tag: str) -> DataFrame:
-    """Write a work table and read it back: the lineage ends here, and a lost executor costs nothing."""
+def save(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+    """Write a work table and read it back: the lineage ends here, and a lost executor costs nothing. With `by`, a folder for each value of
+    that column, of which there must be few."""
     spark = df.sparkSession
     path = place(spark, tag)
-    df.write.options(**CODEC).parquet(path)
+    writer = df.write.options(**CODEC)
+    (writer.partitionBy(by) if by else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._pressmill_path = path
     return out

@@ -2,9 +2,9 @@
 
 The index is a set of runs on shared storage, each in the same number of buckets of the hash and sorted by it within them. A
 batch of documents is reduced to one entry (hash, documents, largest doc_id) per line key and written the same way; a merge
-anti-join against the fresh entries of each run, which needs neither a shuffle nor a sort of the runs, tells its fresh keys
-(over all runs a key is fresh once) from its repeats, and the marked batch becomes a run of level 0. When a level holds
-`fanout` runs they are merged into one run of the next. A key's total is its fresh entry plus its repeats.
+anti-join against each run, which needs neither a shuffle nor a sort of the runs, finds the keys that no run owns: they become a run of level 0.
+Each other entry is a repeat of the run that owns its key. When a level holds `fanout` runs they are merged, with their repeats, into one run of the next. A
+key is owned once, so its total is that of its owner: its entry there plus its repeats, and no entries are grouped across runs.
 
 The lines of very frequent keys are found by a broadcast of those keys, at most HEAVY of them whatever the size of the
 table, so that no task reads all lines of one key; those of other hot keys by a join on the hash.
@@ -18,6 +18,7 @@ keep the line. An empty table gives an empty result. Texts may be of any length:
 from __future__ import annotations
 
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,65 +48,83 @@ def run_settings(spark: SparkSession):
             spark.conf.set(k, v)
 
 
+class Run:
+    """What one run owns, (h, n, top) for each of its keys, and the repeats of these keys that later batches brought."""
+
+    def __init__(self, number: int, own: DataFrame):
+        self.number, self.own, self.repeats = number, own, []
+
+    def totals(self) -> DataFrame:
+        """Its keys with all that has been seen of them, by merge joins of tables in the same buckets."""
+        out = self.own
+        for i, r in enumerate(self.repeats):
+            out = out.join(r.select("h", F.col("n").alias(f"n{i}"), F.col("top").alias(f"top{i}")).hint("merge"), "h", "left")
+        some = range(len(self.repeats))
+        n = reduce(lambda a, b: a + b, (F.coalesce(f"n{i}", F.lit(0).cast("long")) for i in some), F.col("n"))
+        return out.select("h", n.alias("n"), (F.greatest("top", *(f"top{i}" for i in some)) if self.repeats else F.col("top")).alias("top"))
+
+
 class LineRuns:
-    """Levelled sorted runs of (h, n, top, fresh): a hash is fresh in one of all runs, and a repeat in others."""
+    """Levelled sorted runs of keys. A key belongs to the one run whose batch brought it first (or that this run was merged into); what later batches bring of
+    it is a repeat of that run, so a key's total is found where the key is owned."""
 
     def __init__(self, buckets: int, fanout: int = FANOUT):
         self.buckets, self.fanout = buckets, fanout
-        self.levels: list[list[DataFrame]] = [[]]
+        self.levels: list[list[Run]] = [[]]
+        self.tables: list[DataFrame] = []
 
-    def _runs(self) -> list[DataFrame]:
+    def _runs(self) -> list[Run]:
         return [run for level in self.levels for run in level]
 
     def _save(self, df: DataFrame, tag: str) -> DataFrame:
         with run_settings(df.sparkSession):
             return save_bucketed(df, tag, "h", self.buckets)
 
-    def _push(self, run: DataFrame) -> None:
-        """Add a run to level 0; merge each level that is full into the next."""
+    def _kept(self, df: DataFrame, tag: str) -> DataFrame:
+        self.tables.append(self._save(df, tag))
+        return self.tables[-1]
+
+    def _push(self, run: Run) -> None:
+        """Add a run to level 0; merge each level that is full into one run of the next."""
         self.levels[0].append(run)
         k = 0
         while len(self.levels[k]) >= self.fanout:
             old, self.levels[k] = self.levels[k], []
-            entries = old[0]
-            for r in old[1:]:
-                entries = entries.unionAll(r)
-            entries = entries.groupBy("h").agg(F.sum("n").alias("n"), F.max("top").alias("top"), F.max("fresh").alias("fresh"))
-            merged = self._save(entries.repartition(self.buckets, "h").sortWithinPartitions("h"), "run")
-            forget(*old)
+            entries = reduce(DataFrame.unionAll, (r.totals() for r in old))  # no key is owned twice, so nothing is grouped
+            merged = self._kept(entries.repartition(self.buckets, "h").sortWithinPartitions("h"), "run")
             k += 1
             if k == len(self.levels):
                 self.levels.append([])
-            self.levels[k].append(merged)
+            self.levels[k].append(Run(max(r.number for r in old), merged))
 
     def add(self, lines: DataFrame) -> None:
-        """lines: (h, doc_id), one row for each document and key."""
+        """lines: (h, doc_id), one row for each document and key. The batch is joined with each run: keys that none owns become a run, the
+        others repeats of their owners."""
         entries = lines.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("top"))
         entries = entries.repartition(self.buckets, "h").sortWithinPartitions("h")
         runs = self._runs()
+        number = 1 + max((r.number for r in runs), default=-1)
         if not runs:
-            self._push(self._save(entries.withColumn("fresh", F.lit(True)), "run"))
+            self._push(Run(number, self._kept(entries, "run")))
             return
         batch = self._save(entries, "batch")
-        marked = batch
-        for i, run in enumerate(runs):
-            held = run.where("fresh").select("h", F.lit(True).alias(f"held{i}")).hint("merge")
-            marked = marked.join(held, "h", "left")
-        fresh = F.coalesce(*(F.col(f"held{i}") for i in range(len(runs))), F.lit(False))
-        self._push(self._save(marked.select("h", "n", "top", (~fresh).alias("fresh")), "run"))
+        told = batch
+        for r in runs:
+            told = told.join(r.own.select("h", F.lit(r.number).alias(f"owner{r.number}")).hint("merge"), "h", "left")
+        owner = F.coalesce(*(F.col(f"owner{r.number}") for r in runs), F.lit(number))
+        told = self._kept(told.select("h", "n", "top", owner.alias("owner")), "told")
         forget(batch)
+        for r in runs:
+            r.repeats.append(told.where(F.col("owner") == r.number).drop("owner"))
+        self._push(Run(number, told.where(F.col("owner") == number).drop("owner")))
 
     def hot(self, min_docs: int) -> DataFrame:
         """A saved table (h, n, top) of the keys found in at least min_docs documents."""
-        runs = self._runs()
-        entries = runs[0]
-        for r in runs[1:]:
-            entries = entries.unionAll(r)
-        with run_settings(entries.sparkSession):
-            return save(entries.groupBy("h").agg(F.sum("n").alias("n"), F.max("top").alias("top")).where(F.col("n") >= min_docs), "hot")
+        with run_settings(self.tables[0].sparkSession):
+            return save(reduce(DataFrame.unionAll, (r.totals().where(F.col("n") >= min_docs) for r in self._runs())), "hot")
 
     def forget(self) -> None:
-        forget(*self._runs())
+        forget(*self.tables)
 
 
 def _lines(docs: DataFrame, min_chars: int, batches: int) -> DataFrame:
@@ -125,7 +144,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     """docs (doc_id, text, ...) with three more columns: n_lines, n_dropped and kept, the text without its dropped lines.
     All columns of docs come back in a struct `row`, so that none can clash."""
     own = docs.select(F.struct(*columns(docs)).alias("row"), F.col("doc_id"), F.col("text"))
-    lines = save(_lines(own, min_chars, batches), "lines")
+    lines = save(_lines(own, min_chars, batches), "lines", by="batch")
     total = lines.count()
     counted = lines.where("first").select("batch", "h", "doc_id", "th")
     twice = None

@@ -60,6 +60,35 @@ def test_line_runs_give_the_same_whatever_the_batches(spark, tables):
     assert want[29] == (3, 0, rows[29][1]) and want[5] == (3, 2, "own 5")
 
 
+def test_runs_own_each_key_once(spark):
+    rng = random.Random(8)
+    batches = [[(bytes([rng.randrange(40)]), rng.randrange(1000)) for _ in range(60)] for _ in range(7)]
+    runs, brute = line_dedup.LineRuns(2, fanout=3), defaultdict(list)
+    for lines in batches:
+        runs.add(spark.createDataFrame(lines, "h binary, doc_id long"))
+        for h, d in lines:
+            brute[h].append(d)
+    owned = [bytes(r["h"]) for run in runs._runs() for r in run.own.collect()]
+    assert len(runs.levels) > 1 and any(run.repeats for run in runs._runs())
+    assert sorted(owned) == sorted(brute)
+    assert {bytes(r["h"]): (r["n"], r["top"]) for r in runs.hot(5).collect()} == {h: (len(d), max(d)) for h, d in brute.items() if len(d) >= 5}
+    runs.forget()
+
+
+def test_the_join_with_the_runs_decides(spark, sf, monkeypatch):
+    """Without it every batch would own its keys, and keys spread over batches would look rare."""
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    dropped = lambda: line_dedup.dedup_lines(d).agg(F.sum("n_dropped")).first()[0]
+    with_join = dropped()
+
+    def add(self, lines):
+        entries = lines.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("top"))
+        self._push(line_dedup.Run(1 + max((r.number for r in self._runs()), default=-1), self._kept(entries.repartition(self.buckets, "h"), "run")))
+
+    monkeypatch.setattr(line_dedup.LineRuns, "add", add)
+    assert dropped() < with_join
+
+
 def test_repeated_rows_count_once(spark, tables):
     line = "this line is long enough to be counted as repeated"
     out = line_dedup.dedup_lines(spark.read.parquet(f"{tables([(1, line, 'en', 's', 1)] * 4 + [(2, line, 'en', 's', 1)])}/documents.parquet"))

@@ -27,6 +27,7 @@ from pyspark.sql.window import Window
 from .common import columns, table
 
 WINDOW, FILTERS, DOCS_A_LANG, WINDOWS_A_DOC, EPOCHS, BATCH, SEED = 128, 16, 300, 6, 3, 128, 7
+PAIR_SHARE = 1e-4
 WIDTHS = (2, 3, 4)
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -117,6 +118,26 @@ def predict(model: dict, texts: list[bytes], chunk: int = 128) -> tuple[np.ndarr
     return best, p[np.arange(len(p)), best]
 
 
+def letter_pairs(text: bytes) -> np.ndarray:
+    """The pairs of following bytes that both belong to letters (or to what UTF-8 writes with several bytes), A-Z lowered."""
+    b = np.frombuffer(text.translate(LOWER), np.uint8).astype(np.int32)
+    letter = ((b >= 97) & (b <= 122)) | (b >= 128)
+    return ((b[:-1] << 8) | b[1:])[letter[:-1] & letter[1:]]
+
+
+def familiar_pairs(x: np.ndarray) -> np.ndarray:
+    """Which letter pairs make up at least PAIR_SHARE of those in the training windows."""
+    counts = np.bincount(letter_pairs(b" ".join(w.tobytes() for w in x)), minlength=65536)
+    return counts >= max(1, PAIR_SHARE * counts.sum())
+
+
+def familiar(model: dict, text: bytes) -> float:
+    """The share of a text's letter pairs that the training windows made familiar; 1 where it has none. Scores cannot tell an unlearned language, as
+    they are shares of the learned ones."""
+    pairs = letter_pairs(text)
+    return float(model["pairs"][pairs].mean()) if len(pairs) else 1.0
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
@@ -139,16 +160,17 @@ def train(docs: DataFrame, docs_a_lang: int = DOCS_A_LANG) -> dict | None:
     for r in sorted(found, key=lambda r: (r["doc_id"], bytes(r["parts"][0]))):
         xs += [windows([bytes(p)])[0][:1] for p in r["parts"]]
         ys += [labels.index(r["lang"])] * len(r["parts"])
-    return ByteNet(labels).fit(np.concatenate(xs), np.array(ys)).folded()
+    x = np.concatenate(xs)
+    return ByteNet(labels).fit(x, np.array(ys)).folded() | {"pairs": familiar_pairs(x)}
 
 
-def identify(docs: DataFrame, model: dict | None) -> DataFrame:
-    """For each of docs (text, ...): row (all its columns), lang_pred, score."""
+def identify(docs: DataFrame, model: dict | None, with_familiar: bool = False) -> DataFrame:
+    """For each of docs (text, ...): row (all its columns), lang_pred, score, and on demand familiar (0 where nothing is predicted)."""
     packed = docs.select(F.struct(*columns(docs)).alias("row"), F.col("text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("ok"))
     if model is None:
-        return packed.select("row", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return packed.select("row", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), *([F.lit(0.0).alias("familiar")] if with_familiar else []))
     held = docs.sparkSession.sparkContext.broadcast(model)  # a fixed size: 65536 rows of 80 numbers
-    schema = T.StructType([packed.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([packed.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())] + ([T.StructField("familiar", T.DoubleType())] if with_familiar else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,7 +181,12 @@ def identify(docs: DataFrame, model: dict | None) -> DataFrame:
             for s in range(0, len(at), 64):
                 for i, c, p in zip(at[s : s + 64], *predict(held.value, texts[s : s + 64]), strict=True):
                     names[i], scores[i] = held.value["labels"][c], float(p)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["row", "lang_pred", "score"])
+            out = {"row": batch.column(0), "lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())}
+            if with_familiar:
+                shares = np.zeros(len(ok))
+                shares[at] = [familiar(held.value, t) for t in texts]
+                out["familiar"] = pa.array(shares)
+            yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
     return packed.mapInArrow(run, schema)
 

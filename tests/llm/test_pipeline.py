@@ -1,5 +1,6 @@
 """The pipeline against a plain version of its stages."""
 
+import random
 import re
 from collections import defaultdict
 
@@ -9,9 +10,9 @@ from pressmill.llm.language_id import identify, train
 
 def test_stages_against_plain_python(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    langs = {r["row"]["doc_id"]: (r["lang_pred"], r["score"]) for r in identify(docs, train(docs)).collect()}
+    langs = {r["row"]["doc_id"]: (r["lang_pred"], r["score"], r["familiar"]) for r in identify(docs, train(docs), with_familiar=True).collect()}
     text = {r["doc_id"]: r["text"] for r in docs.collect()}
-    text = {d: t for d, t in text.items() if langs[d][0] != "und" and langs[d][1] >= corpus_pipeline.MIN_SCORE}
+    text = {d: t for d, t in text.items() if langs[d][0] != "und" and langs[d][1] >= corpus_pipeline.MIN_SCORE and langs[d][2] >= corpus_pipeline.MIN_FAMILIAR}
     assert len(text) > 0.95 * len(langs)
     holders = defaultdict(set)
     key = lambda line: line.strip(" \t\n\x0b\x0c\r").encode().lower().decode()
@@ -49,3 +50,15 @@ def test_nothing_learned_drops_nothing(spark, tables):
     at = tables([(i, text, None, "s", 1) for i, text in enumerate(["some words of a text", "other words", None])])
     docs = spark.read.parquet(f"{at}/documents.parquet")
     assert sorted(corpus_pipeline.language_id(spark, docs, at).collect()) == sorted(docs.collect())
+
+
+def test_unlearned_languages_go_and_labelled_documents_stay(spark, sf):
+    rng = random.Random(1)
+    text = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    junk = [text("bcdfghjklmnpqrstvwxz ", rng.randrange(60, 400)) for _ in range(60)] + [text("абвгдежзиклмнопрстуфхцчшщыэюя ", 100) for _ in range(20)] + [text([chr(c) for c in range(0x3041, 0x3097)], 80) for _ in range(20)]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    more = spark.createDataFrame([(10**6 + i, t, None, "junk", len(t)) for i, t in enumerate(junk)], docs.schema)
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs.unionAll(more), sf).collect()}
+    assert len([d for d in kept if d >= 10**6]) <= 5
+    labelled = {r["doc_id"] for r in docs.where("lang IS NOT NULL AND text RLIKE '[A-Za-z]'").collect()}
+    assert len(labelled - kept) <= 0.01 * len(labelled)

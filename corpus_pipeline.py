@@ -1,7 +1,8 @@
 """A training-data pipeline over `documents`: STAGES in order, each written as Parquet and reread as the next one's input.
 
-language_id drops documents without a recognised language (no letter, or a mean window probability below MIN_SCORE),
-and none where no document is labelled, so that nothing could be learned;
+language_id drops documents without a recognised language: those without a letter, those whose letter pairs are mostly unfamiliar (below MIN_FAMILIAR; other scripts,
+random letters: a probability over the learned languages cannot tell these), and those of a mean window probability below MIN_SCORE; none where no document is
+labelled, so that nothing could be learned;
 line_dedup rewrites the texts without the repeated lines (and n_chars with them); near_dedup keeps one document of each group
 of near duplicates, whose shingles are NEAR percent alike or more; decontaminate drops documents that hold a benchmark passage; packing returns the pieces of the sequences.
 The last stage has no SQL form, as it runs a tokenizer.
@@ -25,7 +26,7 @@ from pressmill.llm.line_dedup import dedup_lines
 from pressmill.llm.near_dedup import near_components
 from pressmill.llm.packing import pack_documents
 
-MIN_SCORE, NEAR = 0.3, 80
+MIN_SCORE, MIN_FAMILIAR, NEAR = 0.3, 0.5, 80
 ORACLE_SQL = None
 
 
@@ -33,8 +34,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = train(docs)
     if model is None:
         return docs
-    found = identify(docs, model)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select("row.*")
+    found = identify(docs, model, with_familiar=True)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE) & (F.col("familiar") >= MIN_FAMILIAR)).select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

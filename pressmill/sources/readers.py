@@ -21,13 +21,18 @@ def mail_date(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.trim(c), "^[A-Za-z]+,\\s*", ""), "(?:GMT|UTC|UT|Z)$", "+0000")
 
 
+def item_columns(feed: Column) -> list[Column]:
+    """The columns of an item from those of RSS_ITEM; dates in UTC whatever the session's zone."""
+    at = F.coalesce(F.try_to_timestamp("isoDate"), F.try_to_timestamp(mail_date(F.col("pubDate")), F.lit("d MMM yyyy HH:mm:ss Z")))
+    utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), at.cast("timestamp_ntz"))
+    return [feed.alias("feed"), F.col("title"), F.col("link"), F.col("description").alias("snippet"), F.coalesce("`content:encoded`", "description").alias("content"), utc.alias("iso_ts")]
+
+
 def rss(spark: SparkSession, paths: Sequence[str], feed: str | None = None) -> DataFrame:
     """Items of landed RSS files: feed, title, link, snippet, content, iso_ts. The feed's name, or the file it came from."""
     raw = spark.read.format("xml").option("rowTag", "item").option("mode", "PERMISSIVE").option("ignoreCorruptFiles", "true").schema(RSS_ITEM).load(list(paths))
-    at = F.coalesce(F.try_to_timestamp("isoDate"), F.try_to_timestamp(mail_date(F.col("pubDate")), F.lit("d MMM yyyy HH:mm:ss Z")))
-    utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), at.cast("timestamp_ntz"))
     name = F.lit(feed) if feed else F.regexp_extract(F.col("_metadata.file_path"), "([^/]*)$", 1)
-    return raw.select(name.alias("feed"), "title", "link", F.col("description").alias("snippet"), F.coalesce("`content:encoded`", "description").alias("content"), utc.alias("iso_ts")).where("link IS NOT NULL")
+    return raw.select(*item_columns(name)).where("link IS NOT NULL")
 
 
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:
@@ -110,6 +115,15 @@ def with_details(hints: DataFrame, details: DataFrame, words: Sequence[str] | No
     return out if words is None else out.where(interesting(words, F.col("title"), F.col("author"), F.col("publisher")))
 
 
+def details_as_of(details: DataFrame, as_of: Column, at: str = "known_at") -> DataFrame:
+    """details (isbn, known_at, ...), a row each time that something became known: the newest row of each ISBN not later than as_of, so that a run that is repeated with
+    its as_of joins what it joined the first time. A partial aggregation, so an ISBN may have any number of rows; of equally new rows the greatest by all
+    columns; rows without a time or an ISBN are never taken."""
+    rest = [c for c in details.columns if c not in ("isbn", at)]
+    known = details.where(F.col("isbn").isNotNull() & (F.col(at) <= as_of))
+    return known.groupBy("isbn").agg(F.max(F.struct(at, *rest)).alias("_newest")).select("isbn", "_newest.*")
+
+
 def ledger(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A ledger (posted links, posted ISBNs, discussion, recent news, subscribers) by its schema; one that is not there yet is empty."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

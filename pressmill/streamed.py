@@ -9,10 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from .operators import models as M
 from .operators.bucketed import BucketedLedger
 from .operators.outbox import Outbox
+from .sources import arriving as A
 from .sources import fixtures as S
 from .sources.fixtures import ARTICLES
+from .sources.readers import details_as_of, with_details
 from .streaming import router as T
 from .streaming import running as W
 from .streaming.store import BatchStore
@@ -152,6 +155,67 @@ def headline_posted_bucketed(s: SparkSession, sf: str) -> DataFrame:
     return ledger.absent(S.articles(s, sf).select("ord", "link", F.col("ord").alias("doc_id"))).select("ord", "link")
 
 
+# --- feeds that arrive
+
+
+def feed_arrivals(s: SparkSession, sf: str) -> DataFrame:
+    """Three arrivals of two feeds, with items that are broken or have no link."""
+    n, name = F.col("page_id"), F.col("page_id").cast("string")
+    link = F.when(n % 7 != 0, F.concat(F.lit("<link>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</link>"))).otherwise("")
+    day = F.date_format(F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, CAST(page_id AS INT))"), "EEE, dd MMM yyyy HH:mm:ss")
+    item = F.concat(F.lit("<item><title>page "), name, F.when(n % 11 == 3, "</titl>").otherwise("</title>"), link, F.lit("<description>d"), name, F.lit("</description><pubDate>"), day, F.lit(" GMT</pubDate></item>"))
+    items = table(s, sf, "pages").select((n % 2).alias("feed"), (n % 3).alias("part"), n.alias("n"), item.alias("item"))
+    files = items.groupBy("feed", "part", (F.col("n") % 30).alias("file")).agg(F.array_join(F.array_sort(F.collect_list("item")), "\n").alias("xml"))  # as a feed's server writes them
+    at, checkpoint, store = place(s, "feeds"), place(s, "checkpoint"), BatchStore(s, place(s, "items"))
+    archive = place(s, "archive")
+    for part in range(3):
+        files.where(F.col("part") == part).repartition(1).select("feed", F.concat(F.lit("<rss><channel>"), "xml", F.lit("</channel></rss>"))).write.mode("append").partitionBy("feed").text(at)
+        A.run_feeds(A.landed_files(s, at, archive), store, checkpoint).awaitTermination()
+    good, bad = store.read("items", A.ITEMS), store.read("rejected", A.REJECTED)
+    rows = good.select(F.lit("item").alias("kind"), "feed", F.regexp_extract("snippet", "^d([0-9]+)$", 1).cast("long").alias("page_id"), "link", F.date_format("iso_ts", "yyyy-MM-dd HH:mm:ss").alias("at"))
+    return rows.unionAll(bad.select(F.col("reason"), "feed", F.regexp_extract("text", "<description>d([0-9]+)<", 1).cast("long"), F.lit(None).cast("string"), F.lit(None).cast("string")))
+
+
+def details_over_time(s: SparkSession, sf: str) -> DataFrame:
+    """What a run of each of two days joins: parts with the newest order line that was known on the day as their detail."""
+    day = F.col("l_shipdate").cast("date")
+    known = table(s, sf, "lineitem").select(F.col("l_partkey").cast("string").alias("isbn"), day.alias("known_at"), F.concat(F.lit("detail "), F.col("l_orderkey").cast("string"), F.lit("/"), F.col("l_linenumber").cast("string")).alias("title"), *(F.lit(None).cast("string").alias(c) for c in ("author", "publisher", "pubdate", "description")))
+    hints = table(s, sf, "part").select(F.col("p_partkey").alias("ord"), F.col("p_partkey").cast("string").alias("isbn"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise("").alias("title"))
+    days = ["1993-06-15", "1997-06-15"]
+    one, two = (with_details(hints, details_as_of(known, F.lit(d).cast("date"))).select(F.lit(d).alias("day"), "isbn", "title") for d in days)
+    return one.unionAll(two)
+
+
+# --- models
+
+
+def stub_client() -> Callable[[list[str]], list[str | None]]:
+    """A model for tests: answers by the length of the prompt, fails for lengths that 5 divides, and gives no JSON for those that 3 divides."""
+
+    def client(prompts: list[str]) -> list[str | None]:
+        if any(len(p) % 5 == 0 for p in prompts):
+            raise TimeoutError("no answer in time")
+        return ["I cannot." if len(p) % 3 == 0 else 'Sure: {"titleJa": "題 %d", "insight": "why %d", "questions": ["q"], "summary": "s %d"} end' % ((len(p),) * 3) for p in prompts]
+
+    return client
+
+
+def model_translation(s: SparkSession, sf: str) -> DataFrame:
+    a = S.articles(s, sf).select("ord", "title", F.when(F.col("ord") % 2 == 0, F.col("text")).alias("body"), "snippet")
+    return M.translated(a, stub_client, pause=0.0).select("ord", F.col("translation.titleJa").alias("title_ja"))
+
+
+def model_insight(s: SparkSession, sf: str) -> DataFrame:
+    a = S.articles(s, sf).select("ord", "title", "snippet")
+    trend = F.when(F.col("ord") % 2 == 0, F.concat(F.lit("soil "), F.col("ord").cast("string"))).otherwise(M.NO_TREND)
+    return M.with_insight(a, trend, stub_client, pause=0.0).select("ord", "insight.insight", F.size("insight.questions").alias("questions"), F.col("error").isNotNull().alias("failed"))
+
+
+def model_guide_summary(s: SparkSession, sf: str) -> DataFrame:
+    a = S.articles(s, sf).select("ord", "title", F.when(F.col("ord") % 4 != 0, F.col("text")).alias("body"))
+    return M.with_guide_summary(a, stub_client, pause=0.0).select("ord", "summary", F.col("guide").isNotNull().alias("answered"))
+
+
 POSTS_SQL = "posts AS (SELECT 'https://news.example/' || ((props->>'$.k')::BIGINT % 100) AS url, props::VARCHAR AS content FROM events WHERE event_type <> 'error')"
 _listed = "(VALUES " + ", ".join(f"({i}, '{w}')" for i, w in enumerate(TREND)) + ") AS k(n, keyword)"
 _some = lambda v, every, other="'-'": f"CASE WHEN n % {every} <> 0 THEN {v} ELSE {other} END"
@@ -164,7 +228,7 @@ _lines = {
     "globalResearch": _row(f"'{RECEIVED}'", "'original ' || n", "'題 ' || n", "'https://g.example/' || n", _some("'sum ' || n", 3), "'points ' || n", "'-'", "o_orderstatus"),
 }
 _from = lambda i, kind: f"SELECT '{kind}' AS log, {_lines[kind]} AS line FROM o" + (", (VALUES (0), (1)) AS v(i)" if kind == "addArticles" else "") + f" WHERE n % 7 = {i}" + (" AND n % 4 <> 1" if kind == "addArticles" else "")
-QUERIES = {f.__name__: f for f in (running_engagement, running_trends, stream_distinct_links, post_router, outbox_runs, headline_posted_bucketed)}
+QUERIES = {f.__name__: f for f in (running_engagement, running_trends, stream_distinct_links, post_router, outbox_runs, headline_posted_bucketed, feed_arrivals, details_over_time, model_translation, model_insight, model_guide_summary)}
 ORACLES = {
     "running_engagement": f"WITH {POSTS_SQL} SELECT url, count(*) AS posts, sum(length(content))::BIGINT AS total_length, floor(sum(length(content))::DOUBLE / count(*) + 0.5)::BIGINT AS mean_length FROM posts WHERE url IS NOT NULL GROUP BY url",
     "running_trends": f"WITH {ARTICLES}, hits AS (SELECT ord, n, keyword FROM articles JOIN {_listed} ON contains(lower(title), keyword)) SELECT keyword, count(*)::BIGINT AS hits, row_number() OVER (ORDER BY count(*) DESC, min(ord * 1000 + n))::INT AS rank FROM hits GROUP BY keyword",
@@ -178,4 +242,15 @@ ORACLES = {
     + f""" UNION ALL SELECT 'rejected', '{{"type":"somethingElse","title":"t ' || n || '"}}|{RECEIVED}|unknown kind' FROM o WHERE n % 7 = 5 UNION ALL SELECT 'rejected', '{{broken ' || n || '|{RECEIVED}|no JSON object' FROM o WHERE n % 7 = 6""",
     "outbox_runs": f"WITH {ARTICLES}, r AS (SELECT ord::BIGINT AS ord, link, CASE WHEN ord % 3 = 0 THEN 'one' WHEN ord % 5 < 2 THEN 'two' WHEN ord % 2 = 0 THEN 'three' END AS run FROM articles) SELECT run, ord, link FROM r WHERE run IS NOT NULL",
     "headline_posted_bucketed": f"WITH {ARTICLES} SELECT ord, link FROM articles WHERE ord NOT IN (SELECT doc_id FROM labels WHERE quality = 0 AND doc_id IS NOT NULL)",
+    "feed_arrivals": """SELECT CASE WHEN page_id % 11 = 3 THEN 'broken item' WHEN page_id % 7 = 0 THEN 'no link' ELSE 'item' END AS kind, (page_id % 2)::VARCHAR AS feed, page_id,
+      CASE WHEN page_id % 11 <> 3 AND page_id % 7 <> 0 THEN url END AS link, CASE WHEN page_id % 11 <> 3 AND page_id % 7 <> 0 THEN strftime(TIMESTAMP '2024-01-01 00:00:00' + to_hours(page_id), '%Y-%m-%d %H:%M:%S') END AS at FROM pages""",
+    "details_over_time": """WITH days AS (SELECT unnest(['1993-06-15', '1997-06-15']) AS day), l AS (SELECT l_partkey, l_shipdate::DATE AS d, 'detail ' || l_orderkey || '/' || l_linenumber AS title FROM lineitem),
+      k AS (SELECT day, l_partkey, title FROM days JOIN l ON d <= day::DATE QUALIFY row_number() OVER (PARTITION BY day, l_partkey ORDER BY d DESC, title DESC) = 1)
+      SELECT days.day, p_partkey::VARCHAR AS isbn, coalesce(k.title, p_name) AS title FROM days CROSS JOIN part LEFT JOIN k ON k.day = days.day AND k.l_partkey = p_partkey WHERE k.title IS NOT NULL OR p_partkey % 2 = 0""",
+    "model_translation": f"""WITH {ARTICLES}, c AS (SELECT ord, title, coalesce(nullif(CASE WHEN ord % 2 = 0 THEN text END, ''), snippet, '') AS content FROM articles), n AS (SELECT ord, length('Translate and summarise as JSON.' || chr(10) || title || chr(10) || content) AS n FROM c WHERE length(content) >= 200)
+      SELECT ord, '題 ' || n AS title_ja FROM n WHERE n % 5 <> 0 AND n % 3 <> 0""",
+    "model_insight": f"""WITH {ARTICLES}, n AS (SELECT ord, length(CASE WHEN ord % 2 = 0 THEN 'Trend of the last days: soil ' || ord || chr(10) ELSE '' END || 'Give an insight and questions as JSON.' || chr(10) || title || chr(10) || snippet) AS n FROM articles WHERE title IS NOT NULL),
+      a AS (SELECT ord, n, n % 5 <> 0 AND n % 3 <> 0 AS ok FROM n) SELECT ord, CASE WHEN ok THEN 'why ' || n ELSE '{M.FALLBACK_INSIGHT}' END AS insight, CASE WHEN ok THEN 1 ELSE 3 END::INT AS questions, n % 5 = 0 AS failed FROM a""",
+    "model_guide_summary": f"""WITH {ARTICLES}, n AS (SELECT ord, CASE WHEN ord % 4 <> 0 THEN length('Summarise as JSON what the text says.' || chr(10) || title || chr(10) || substr(text, 1, 3000)) END AS n FROM articles),
+      a AS (SELECT ord, n, coalesce(n % 5 <> 0 AND n % 3 <> 0, false) AS answered FROM n) SELECT ord, CASE WHEN answered THEN 's ' || n ELSE '{M.FALLBACK_SUMMARY}' END AS summary, answered FROM a""",
 }

@@ -50,6 +50,19 @@ def feed_items(s: SparkSession, sf: str) -> DataFrame:
     return I.union_all(feeds).select("feed", "title", "link", "snippet", F.date_format("iso_ts", "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
+def titled_feed_items(s: SparkSession, sf: str) -> DataFrame:
+    """Two feeds, told apart by their titles."""
+    at = F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, CAST(page_id AS INT))")
+    n, name = F.col("page_id"), F.col("page_id").cast("string")
+    link = F.when(n % 7 != 0, F.concat(F.lit("<link>"), escaped(F.col("url")), F.lit("</link>"))).otherwise("")
+    item = F.concat(F.lit("<item><title>t"), name, F.lit("</title>"), link, F.lit("<isoDate>"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("</isoDate></item>"))
+    feeds = table(s, sf, "pages").groupBy((n % 2).alias("feed"), (n % 30).alias("file")).agg(F.array_join(F.collect_list(item), "").alias("items"))  # files as a server writes them
+    xml = F.concat(F.lit("<rss><channel><title>Feed &amp; "), F.col("feed").cast("string"), F.lit("</title>"), "items", F.lit("</channel></rss>"))
+    path = place(s, "feeds")
+    feeds.select(xml).write.option("maxRecordsPerFile", 1).text(path)
+    return I.titled_rss(s, [path]).select("source", "title", "link", F.date_format("published", "yyyy-MM-dd HH:mm:ss").alias("published"))
+
+
 def guide_first_item(s, sf):
     return I.first_item(S.articles(s, sf)).where(N.guide_is_fresh(F.col("iso_ts"), F.expr(AS_OF))).select("feed", "ord", "link")
 
@@ -218,7 +231,7 @@ def far_future_books(s, sf):
     return b.where(D.not_far_future(F.col("pubdate"), F.expr(BOOK_DAY))).select("ord", "pubdate")
 
 
-NAMES = """feed_items guide_first_item shop_answers volume_answers library_answers release_page body_selectors guide_bodies enrich_gate
+NAMES = """feed_items titled_feed_items guide_first_item shop_answers volume_answers library_answers release_page body_selectors guide_bodies enrich_gate
 ledger_book_rows posted_isbn_antijoin recent_news_ledger discussion_ledger guide_draft sheet_cells sheet_list registration_details
 mail_counts text_rules far_future_books"""
 QUERIES = {n: globals()[n] for n in NAMES.split()}
@@ -235,6 +248,7 @@ _day = "(DATE '2024-01-01' + p_size::INT)"
 
 ORACLES = {
     "feed_items": "SELECT CASE WHEN page_id % 3 = 2 THEN 'two' ELSE 'one' END AS feed, 'A & B ' || page_id AS title, url AS link, 'd' || page_id AS snippet, strftime(TIMESTAMP '2024-01-01 00:00:00' + to_hours(page_id), '%Y-%m-%d %H:%M:%S') AS at FROM pages WHERE page_id % 7 <> 0",
+    "titled_feed_items": "SELECT 'Feed & ' || (page_id % 2) AS source, 't' || page_id AS title, url AS link, strftime(TIMESTAMP '2024-01-01 00:00:00' + to_hours(page_id), '%Y-%m-%d %H:%M:%S') AS published FROM pages WHERE page_id % 7 <> 0",
     "guide_first_item": f"WITH {ARTICLES}, f AS (SELECT *, row_number() OVER (PARTITION BY feed ORDER BY ord) AS n FROM articles) SELECT feed, ord, link FROM f WHERE n = 1 AND iso_ts >= TIMESTAMP '{NOW}' - INTERVAL 48 HOUR",
     "shop_answers": f"""SELECT by_date, '978' || p_partkey AS isbn, p_name AS title, p_type AS author, p_brand AS publisher, CASE p_partkey % 4 WHEN 1 THEN strftime({_day}, '%Y%m') WHEN 2 THEN '' ELSE strftime({_day}, '%Y%m%d') END AS pubdate,
       CASE WHEN by_date THEN p_size::INT END AS review_count, CASE WHEN by_date AND p_partkey % 4 <> 3 THEN 4.5::DOUBLE END AS review_average FROM part, (VALUES (true), (false)) AS v(by_date)""",

@@ -1,4 +1,5 @@
-"""Sinks: typed appends, insert-if-absent, registration routing, batches; all idempotent on a key."""
+"""Sinks: typed appends, insert-if-absent, registration routing, batches. append_typed appends as often as it is called; the others give the same however often
+they run."""
 
 from __future__ import annotations
 
@@ -81,14 +82,22 @@ def route(registrations: DataFrame) -> DataFrame:
 
 
 #: The kinds of rows that a post to the log may be, with their columns.
-LOGS = {"news": ["timestamp", "url", "title", "pub_date", "priority", "score"], "discussion": ["timestamp", "user_id", "username", "content", "news_title", "news_url", "news_post_date"]}
+LOGS = {
+    "newbook": ["timestamp", "isbn", "title", "author", "publisher", "pubdate", "score", "categories", "book_type", "posted_date"],
+    "discussion": ["timestamp", "user_id", "username", "content", "news_title", "news_url", "news_post_date", "user_role"],
+    "news": ["timestamp", "title", "link", "news_date", "insight", "questions"],
+    "addarticles": ["timestamp", "url", "title", "pub_date", "priority", "score"],
+    "globalresearch": ["timestamp", "title_original", "title_ja", "link", "summary", "key_points", "implications", "publish_date"],
+}
 
 
 def log_rows(posts: DataFrame, now: Column, kind: str = "type") -> DataFrame:
-    """Posts of all kinds as rows for append_typed: `sink`, and the columns of its kind; a missing time is now, kinds without a log go."""
+    """Posts of all kinds, parsed, as rows for append_typed: `sink`, and the columns of its kind; a missing time is now, kinds without a log go, columns that posts lack
+    are null. (streaming.router takes posts as they come, and gives each kind a table.)"""
     sink = F.when(F.lower(kind).isin(list(LOGS)), F.lower(kind))
     names = list(dict.fromkeys(c for cs in LOGS.values() for c in cs))
-    value = lambda c: F.when(sink.isin([k for k, cs in LOGS.items() if c in cs]), F.coalesce("timestamp", now) if c == "timestamp" else F.col(c))
+    held = lambda c: F.col(c) if c in posts.columns else F.lit(None).cast("string")
+    value = lambda c: F.when(sink.isin([k for k, cs in LOGS.items() if c in cs]), F.coalesce(held("timestamp"), now) if c == "timestamp" else held(c))
     return posts.select(sink.alias("sink"), *(value(c).alias(c) for c in names)).where("sink IS NOT NULL")
 
 

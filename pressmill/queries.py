@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import landed, streamed
+from . import landed, rendered, streamed
 from .functions import dates as D
 from .functions import keywords as K
 from .functions import text as X
@@ -229,11 +229,10 @@ def json_extract_props(s, sf):
 
 
 def keyword_rotation(s, sf):
+    """The words of each day that has orders."""
     days = table(s, sf, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
-    listed = F.array(*map(F.lit, K.distinct_words(R.POPULAR_REVIEW_SEARCH)))
-    n, count = len(K.distinct_words(R.POPULAR_REVIEW_SEARCH)), 8
-    at = F.dayofyear("day") * count % n
-    return days.select(F.date_format("day", "yyyy-MM-dd").alias("day"), F.array_join(F.slice(F.concat(F.slice(listed, at + 1, n), F.slice(listed, 1, n)), 1, count), "|").alias("words"))
+    turns = s.createDataFrame([(d, "|".join(K.rotate_by_day(R.POPULAR_REVIEW_SEARCH, 8, d))) for d in range(1, 367)], "number int, words string")
+    return days.join(F.broadcast(turns), F.dayofyear("day") == F.col("number")).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "words")  # a row a day of the year
 
 
 def keyword_round_robin(s, sf):
@@ -361,8 +360,9 @@ def interest_filter(s, sf):
 
 
 def log_router(s, sf):
-    posts = table(s, sf, "conversations").select(F.when(F.col("role") == "user", "Discussion").when(F.col("role") == "assistant", "news").otherwise("other").alias("type"), F.lit(None).cast("string").alias("timestamp"), *(F.col("text").alias(c) for c in ("title", "content")), *(F.col("conv_id").cast("string").alias(c) for c in ("url", "user_id", "username", "news_title", "news_url")), *(F.lit("").alias(c) for c in ("pub_date", "priority", "news_post_date")), F.col("turn").alias("score"))
-    return L.log_rows(posts, F.lit(AS_OF)).select("sink", "timestamp", "url", "user_id", F.md5(F.coalesce("content", "title").cast("binary")).alias("text_md5"), "score")
+    kind = F.when(F.col("role") == "user", "Discussion").when(F.col("role") == "assistant", "addArticles").when(F.col("role") == "system", "news").otherwise("other")
+    posts = table(s, sf, "conversations").select(kind.alias("type"), F.lit(None).cast("string").alias("timestamp"), *(F.col("text").alias(c) for c in ("title", "content", "insight")), *(F.col("conv_id").cast("string").alias(c) for c in ("url", "user_id", "news_url")), F.col("turn").alias("score"), F.lit(1).alias("user_role"))
+    return L.log_rows(posts, F.lit(AS_OF)).select("sink", "timestamp", "url", "user_id", "user_role", F.md5(F.coalesce("content", "title").cast("binary")).alias("text_md5"), F.md5(F.col("insight").cast("binary")).alias("insight_md5"), "score")
 
 
 def archive_rows(s, sf):
@@ -384,7 +384,7 @@ book_fallback_branch scrape_body_text html_tag_strip url_host url_clean_utm url_
 keyword_rotation keyword_round_robin catalog_insert_if_absent subscriber_batches subscriber_delete registration_router
 role_indicator discussion_stream_log llm_pick_fallback headline_pipeline
 rules_news_score rules_match_count rules_trend_counts rules_book_points similar_urls"""
-QUERIES = {n: globals()[n] for n in NAMES.split()} | landed.QUERIES | streamed.QUERIES
+QUERIES = {n: globals()[n] for n in NAMES.split()} | landed.QUERIES | streamed.QUERIES | rendered.QUERIES
 
 
 def _rob(k: int) -> str:
@@ -468,7 +468,7 @@ ORACLES = {
     "shop_links": f"WITH {BOOKS}, l AS (SELECT ord, list_filter([CASE WHEN ord % 3 = 0 THEN '[楽天ブックス](https://shop.example/' || ord || ')' WHEN isbn <> '' THEN '[楽天ブックス](https://books.rakuten.co.jp/search?sitem=' || isbn || ')' END, CASE WHEN isbn <> '' THEN '[Amazon](https://www.amazon.co.jp/dp/' || isbn || ')' END, CASE WHEN ord % 5 = 0 THEN '[Google Books](https://catalog.example/' || ord || ')' END], lambda x: x IS NOT NULL) AS a FROM books) SELECT ord, CASE WHEN len(a) > 0 THEN array_to_string(a, ' | ') END AS links FROM l",
     "merged_terms": "WITH t AS (SELECT p_partkey * 2 AS pos, p_name[1:1] AS term, p_name AS meaning FROM part UNION ALL SELECT p_partkey * 2 + 1, p_brand, p_name FROM part), m AS (SELECT term, min(pos) AS f, arg_max(meaning, pos) AS meaning FROM t GROUP BY term) SELECT row_number() OVER (ORDER BY f)::INT AS rank, term, meaning FROM m QUALIFY rank <= 5",
     "interest_filter": "SELECT p_partkey AS ord, p_name AS title FROM part WHERE contains(lower(p_name || ' ' || p_type || ' ' || p_brand), 'ring') OR contains(lower(p_name || ' ' || p_type || ' ' || p_brand), 'steel')",
-    "log_router": f"SELECT CASE role WHEN 'user' THEN 'discussion' ELSE 'news' END AS sink, '{AS_OF}' AS timestamp, CASE WHEN role = 'assistant' THEN conv_id::VARCHAR END AS url, CASE WHEN role = 'user' THEN conv_id::VARCHAR END AS user_id, md5(text) AS text_md5, CASE WHEN role = 'assistant' THEN turn END AS score FROM conversations WHERE role IN ('user', 'assistant')",
+    "log_router": f"SELECT CASE role WHEN 'user' THEN 'discussion' WHEN 'assistant' THEN 'addarticles' ELSE 'news' END AS sink, '{AS_OF}' AS timestamp, CASE WHEN role = 'assistant' THEN conv_id::VARCHAR END AS url, CASE WHEN role = 'user' THEN conv_id::VARCHAR END AS user_id, CASE WHEN role = 'user' THEN 1 END::INT AS user_role, md5(text) AS text_md5, CASE WHEN role = 'system' THEN md5(text) END AS insight_md5, CASE WHEN role = 'assistant' THEN turn END AS score FROM conversations WHERE role IN ('user', 'assistant', 'system')",
     "archive_rows": f"SELECT '{AS_OF}' AS sent_at, 'page ' || page_id AS subject, url, CASE WHEN page_id % 2 = 0 THEN page_id ELSE 0 END::BIGINT AS recipients, '' AS body, 'post' AS post FROM pages",
     "mail_hours": "SELECT event_id, CASE WHEN hour(ts) < 12 THEN 'morning' ELSE 'evening' END AS greeting, isodow(ts) <= 5 AND hour(ts) = 10 AS draft, strftime(date_trunc('day', ts) + INTERVAL 9 HOUR + INTERVAL 5 MINUTE, '%Y-%m-%d %H:%M:%S') AS due FROM events",
     "fuzzy_dedup_leaders": f"WITH RECURSIVE o AS (SELECT row_number() OVER (ORDER BY min(p_partkey)) AS i, min(p_partkey) AS ord, p_name AS t FROM part GROUP BY p_name), {_greedy(None)} SELECT ord FROM leaders",
@@ -515,5 +515,5 @@ ORACLES = {
     "llm_pick_fallback": f"WITH {BOOKS}, {POPULAR_SQL}, s AS (SELECT ord, pub_date, (points + {FRESH.format(d='(pub_date - DATE ' + chr(39) + BOOK_AS_OF[:10] + chr(39) + ')')} + {QUAL.format(n='review_count')})::INT AS total FROM pop3 WHERE reason IS NULL) SELECT ord, 1 AS rank, total FROM s ORDER BY total DESC, pub_date DESC NULLS LAST, ord LIMIT 1",
     "rules_book_points": f"WITH {BOOKS}, {AGRI_SQL} SELECT ord, points AS score, cats AS categories FROM agri1",
     "similar_urls": "WITH t AS (SELECT url AS title, min(page_id) AS key FROM pages GROUP BY url) SELECT x.key AS a, y.key AS b, " + SIM + " AS similarity FROM t x JOIN t y ON x.key < y.key WHERE " + SIM + " >= 85",
-} | landed.ORACLES | streamed.ORACLES
+} | landed.ORACLES | streamed.ORACLES | rendered.ORACLES
 ORACLES |= {new: ORACLES[old] for new, old in (("rules_news_score", "news_category_score"), ("rules_match_count", "kw_match_count"), ("rules_trend_counts", "trend_keyword_counts"))}

@@ -35,6 +35,14 @@ def rss(spark: SparkSession, paths: Sequence[str], feed: str | None = None) -> D
     return raw.select(*item_columns(name)).where("link IS NOT NULL")
 
 
+def titled_rss(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Items of landed feeds under the title of their feed: source, title, link, published, snippet, content. A feed without a title has a null source."""
+    items = "array<struct<" + ", ".join(f.replace(" string", ": string") for f in RSS_ITEM.split(", ")) + ">>"
+    feeds = spark.read.format("xml").option("rowTag", "channel").option("mode", "PERMISSIVE").option("ignoreCorruptFiles", "true").schema(f"title string, item {items}").load(list(paths))
+    each = feeds.select(F.col("title").alias("_source"), F.inline("item"))
+    return each.select(*item_columns(F.col("_source"))).where("link IS NOT NULL").withColumnsRenamed({"feed": "source", "iso_ts": "published"})
+
+
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 

@@ -3,19 +3,23 @@
 Nodes are documents, links join those that should share a shard (in the query: each document with the hub of its group of
 equal texts). A group larger than a shard cannot share one; it is cut by capacity first, into as few shards as hold it, and
 what it takes comes off their quotas. All other linked documents start in hashed shards, in proportion to the quotas, and
-move in rounds: joins bring each node its neighbours' shards, it asks for the one that most of them are in among those with
-room, and requests are granted bucket by bucket while the target's quota lasts. Local minima of the links and all other
-nodes take turns, so two neighbours never swap places. Unlinked documents are ballast: after the last round they fill what is
+move in rounds: joins bring each node its neighbours' shards, and it asks for the one that most of them are in. Requests are granted bucket by
+bucket while the target's quota lasts; then in cycles of shards, as many from each to the next, so that full shards exchange nodes. A coin for each
+neighbourhood and round tells whether its local minimum asks or the others do, so an end of a link stays while the other moves, and as many ask in one direction as in
+the other. Unlinked documents are ballast: after the last round they fill what is
 left, so that shard sizes obey the law `rows` exactly: counts differ by one at most.
 
 What reaches the driver in a round is a count for each (from, to, bucket), at most shards^2 * BUCKETS numbers.
 
-Defined results: a null text is empty and of size 8, and equals the empty text; repeated rows are documents of their own;
-an empty table gives no rows.
+Defined results: a null text is empty and of size 8, and equals the empty text; repeated rows and null ids are documents of their own;
+texts of any length count by their hash; of shards with as many neighbours the node's own is taken, then the least; columns other than doc_id and text are not
+read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,6 +29,49 @@ from .common import forget, save, table
 SHARDS, ROUNDS, BUCKETS, ROWS_A_RANK = 24, 8, 128, 5_000
 
 
+def _cycle(flow: dict[int, dict[int, int]], start: int) -> list[int] | None:
+    """The shortest way from start back to it."""
+    came, queue = {}, deque([start])
+    while queue:
+        x = queue.popleft()
+        for y in flow.get(x, {}):
+            if y == start:
+                way = [x]
+                while way[-1] != start:
+                    way.append(came[way[-1]])
+                return way[::-1]
+            if y not in came:
+                came[y] = x
+                queue.append(y)
+    return None
+
+
+def exchanges(asked: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int]]:
+    """asked (from, to, bucket, count): those that together leave every shard's load as it is, found as cycles of requests between the shards, the shortest
+    first."""
+    groups: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for a, b, bucket, count in sorted(asked, key=lambda x: (x[3], x[2])):
+        groups.setdefault((a, b), []).append((count, bucket))
+    out = []
+    for size in sorted({c for g in groups.values() for c, _ in g}):  # requests of one size can take each other's places
+        rest = {e: [bucket for c, bucket in g if c == size] for e, g in groups.items()}
+        flow: dict[int, dict[int, int]] = {}
+        for (a, b), buckets in rest.items():
+            if buckets:
+                flow.setdefault(a, {})[b] = len(buckets)
+        for longest in (2, 3, len(flow)):
+            for start in list(flow):
+                while (way := _cycle(flow, start)) and len(way) <= longest:
+                    edges = list(zip(way, way[1:] + way[:1], strict=True))
+                    most = min(flow[a][b] for a, b in edges)
+                    for a, b in edges:
+                        out += [(a, b, rest[a, b].pop(0)) for _ in range(most)]
+                        flow[a][b] -= most
+                        if not flow[a][b]:
+                            del flow[a][b]
+    return out
+
+
 def propagate(nodes: DataFrame, links: DataFrame, quota: list[int], rounds: int = ROUNDS, buckets: int = BUCKETS) -> DataFrame:
     """nodes (node), links (a, b): (node, shard) with at most quota[s] nodes in shard s as far as the start allows it, and
     few links between shards."""
@@ -40,11 +87,10 @@ def propagate(nodes: DataFrame, links: DataFrame, quota: list[int], rounds: int
     for r in range(rounds):
         load = dict(state.groupBy("shard").count().collect())
         load = [load.get(s, 0) for s in range(n)]
-        room = [s for s in range(n) if load[s] < quota[s]] or [-1]
-        turn = F.col("minimum") if r % 2 else ~F.col("minimum")
+        turn = F.col("minimum") == (F.pmod(F.xxhash64("anchor", F.lit(r)), F.lit(2)) == 1)
         there = state.select(F.col("node").alias("b"), F.col("shard").alias("to"))
         votes = both.join(there, "b").groupBy("a", "to").count()
-        asks = votes.join(state.where(turn), votes["a"] == state["node"]).where(F.col("to").isin(room) | (F.col("to") == F.col("shard")))
+        asks = votes.join(state.where(turn), votes["a"] == state["node"])
         best = asks.groupBy("node").agg(F.max(F.struct("count", (F.col("to") == F.col("shard")).alias("stay"), (-F.col("to")).alias("minus"), "shard", "bucket", "to")).alias("m"))
         best = save(best.select("node", "m.shard", "m.bucket", "m.to").where("to <> shard"), "asks")
         asked = best.groupBy("shard", "to", "bucket").count().collect()
@@ -57,10 +103,12 @@ def propagate(nodes: DataFrame, links: DataFrame, quota: list[int], rounds: int
                 load[x["to"]] += x["count"]
                 load[x["shard"]] -= x["count"]
                 granted.append((x["shard"], x["to"], x["bucket"]))
+        done = set(granted)
+        granted += exchanges([(x["shard"], x["to"], x["bucket"], x["count"]) for x in asked if (x["shard"], x["to"], x["bucket"]) not in done])
         if not granted:
             forget(best)
             idle += 1
-            if idle == 2:
+            if idle == 3:
                 break
             continue
         idle = 0

@@ -11,11 +11,12 @@ with PRIOR uses' worth of the start, so no piece has probability 0 and, as all s
 
 Documents are dealt into ranges of about RANGE_BYTES of text. One pass over the texts counts the words of each range; summed
 over ranges these are the corpus counts; joined back they give each range the table it needs. Nothing is broadcast but the
-piece probabilities, of which there are as many as the vocabulary has. Ranges stay of one size whatever the input: quantiles
-of doc_id part it into at most COARSE, and equal steps of doc_id within those into as many as it takes.
+piece probabilities, of which there are as many as the vocabulary has. Quantiles of doc_id part the input into at most COARSE ranges, and equal
+steps of doc_id within those into as many as it takes; a range that still has more than twice RANGE_BYTES, as where long texts have near ids or many rows one id, is
+dealt to several by hash, so that no range is larger but one of a single document, or of equal rows.
 
 Defined results: a null text is empty and has the end token alone; without training documents N and V are 0 and the pieces
-keep their start; repeated rows are scored each; null doc_ids are not held out; an empty table gives no rows. A word may be of any length:
+keep their start; repeated rows are scored each; null doc_ids are not held out; columns other than doc_id and text are not read; an empty table gives no rows. A word may be of any length:
 those beyond LONG bytes go through the recursion in blocks, in memory of a few numbers a byte.
 """
 
@@ -317,6 +318,21 @@ def _ranges(docs: DataFrame, range_bytes: int = RANGE_BYTES, coarse: int = COARS
     return F.when(of.isNull(), spread).otherwise(at * steps + part).cast("long")
 
 
+def _split_large(docs: DataFrame, range_bytes: int, rounds: int = 4) -> DataFrame:
+    """docs (doc_id, text, rng) with the ranges of more than twice range_bytes dealt to several by hash, again where a part is still so large: long texts whose ids are near
+    and rows of one id come apart. One document, or equal rows, stay together."""
+    for r in range(rounds):
+        h = F.xxhash64("doc_id", "text")
+        large = docs.groupBy("rng").agg(F.sum(F.octet_length("text")).alias("bytes"), F.min(h).alias("low"), F.max(h).alias("high")).where((F.col("bytes") > 2 * range_bytes) & (F.col("low") < F.col("high")))
+        large = save(large.select("rng", F.ceil(F.col("bytes") * 2 / range_bytes).alias("parts")), "large")
+        if large.isEmpty():
+            break
+        part = F.pmod(F.xxhash64("doc_id", "text", F.lit(r)), F.col("parts"))
+        told = docs.join(F.broadcast(large), "rng", "left")  # a row for each 2 * range_bytes of text at most
+        docs = told.withColumn("rng", F.when(F.col("parts").isNull(), F.col("rng")).otherwise(F.xxhash64("rng", F.lit(r), part))).drop("parts")
+    return docs
+
+
 def score_documents(docs: DataFrame, vocabulary: str | None = None, rounds: int = ROUNDS, range_bytes: int = RANGE_BYTES, coarse: int = COARSE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each of docs (doc_id, text)."""
     spark = docs.sparkSession
@@ -324,7 +340,8 @@ def score_documents(docs: DataFrame, vocabulary: str | None = None, rounds: int
         raw = f.read()
     data = spark.sparkContext.broadcast(raw)  # one vocabulary file, about 0.5 MB
     docs = docs.select("doc_id", "text")
-    docs = docs.select("doc_id", "text", _ranges(docs, range_bytes, coarse).alias("rng"), held_out(F.col("doc_id")).alias("held_out"))
+    docs = _split_large(docs.select("doc_id", "text", _ranges(docs, range_bytes, coarse).alias("rng")), range_bytes)
+    docs = docs.withColumn("held_out", held_out(F.col("doc_id")))
     ranged = save(docs.select("rng", "held_out", "text").mapInArrow(_counts, "rng long, word binary, c bigint"), "words")
     words = save(ranged.groupBy("word").agg(F.sum("c").alias("c")), "vocabulary")
     n, v, ends = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1)), F.coalesce(F.sum(F.when(F.col("word") == F.lit(b""), F.col("c"))), F.lit(0))).first()

@@ -232,7 +232,10 @@ def candidates(reps: DataFrame, percent: int, list_block: int = LIST_BLOCK) -> D
 
 
 def near_components(docs: DataFrame, block: int = BLOCK, percent: int = PERCENT, list_block: int = LIST_BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each of docs (doc_id, text); linked are sets that are `percent` (75 to 100) alike."""
+    """doc_id, n_shingles, component_id, kept of each of docs (doc_id, text); linked are sets that are `percent` (75 to 100) alike.
+    Sketches are of a size for these; less would lose links, and is refused."""
+    if not 75 <= percent <= 100:
+        raise ValueError("sketches find links of 75 to 100 percent")
     docs = docs.select("doc_id", "text")
     sk = save(docs.mapInArrow(_sketches, "doc_id bigint, n bigint, fa bigint, fb bigint, sketch array<bigint>"), "sketches")
     able = sk.where("n > 0 AND doc_id IS NOT NULL")

@@ -9,10 +9,11 @@ segments and types jointly. Base spans of a region are fixed; segments may not o
 as one: segments are scored as they come and not kept, so time and memory grow with its tokens.
 
 The weights are trained here by maximum likelihood (forward sums over all segmentations) on written-out forms of each kind,
-on counterexamples, and on at most SAMPLE documents of the corpus whose base spans are the labels.
+on counterexamples, and on at most LINES_A_DOC stretches of at most SAMPLE documents of the corpus whose base spans are the labels.
 
 Defined results: a null text is empty and has no spans; spans count code points, end exclusive; repeated rows are judged each;
-of equally good segmentations the one with the earlier cut is taken; an empty table gives no rows.
+of equally good segmentations the one with the earlier cut is taken; texts may be of any length, with or without a region; columns other
+than doc_id and text are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from .common import table
 
 KINDS = ("email", "ip", "card", "phone")
 SEGMENT, SAMPLE, SEED = 24, 300, 11
+#: Of a training document: so many stretches around a digit or @, of at most so many characters before and behind it.
+LINES_A_DOC, BEFORE, AFTER = 4, 60, 80
 
 # The base patterns. The address pattern is run from each @, see base_spans.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -265,11 +268,12 @@ def written_cases(n: int = 220, seed: int = SEED) -> list[tuple[str, list[Span]]
     return [out[i] for i in keep]
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> SemiCRF:
-    """Train on written-out cases and on at most `sample` documents with digits (regions only, labelled by the base patterns)."""
+def train(docs: DataFrame, sample: int = SAMPLE, lines: int = LINES_A_DOC, before: int = BEFORE, after: int = AFTER) -> SemiCRF:
+    """Train on written-out cases and on at most `sample` documents with digits: of each the first `lines` stretches around a digit or @, with up to
+    `before` characters in front and `after` behind, labelled by the base patterns. These bound what reaches the driver for training; prediction reads whole texts."""
     able = docs.where(F.col("text").rlike("[0-9@]"))
     ids = able.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
-    rows = able.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", F.slice(F.regexp_extract_all("text", F.lit(r"([^\n]{0,60}[0-9@][^\n]{0,80})"), F.lit(1)), 1, 4).alias("lines")).collect()
+    rows = able.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", F.slice(F.regexp_extract_all("text", F.lit(rf"([^\n]{{0,{before}}}[0-9@][^\n]{{0,{after}}})"), F.lit(1)), 1, lines).alias("lines")).collect()
     cases = [(line, base_spans(line)) for r in sorted(rows, key=lambda r: (r["doc_id"], r["lines"])) for line in r["lines"]]
     return SemiCRF().fit(written_cases() + cases)
 

@@ -118,6 +118,27 @@ def test_sharding_law_and_groups(spark, tables):
     assert split == 0 and len(where["hot"]) <= 11  # 200 of 600 rows need 8 of 24 shards at least
 
 
+def test_exchanges_leave_loads_alone():
+    rng = random.Random(4)
+    asked = [(a, b, k, rng.randrange(1, 4)) for a in range(5) for b in range(5) if a != b for k in range(6) if rng.random() < 0.7]
+    got, counts = sharding.exchanges(asked), {x[:3]: x[3] for x in asked}
+    assert len(got) == len(set(got)) > 20 and set(got) <= set(counts)
+    for s in range(5):
+        assert sum(counts[g] for g in got if g[0] == s) == sum(counts[g] for g in got if g[1] == s)
+
+
+@pytest.mark.parametrize("size, most", [(2, 0.05), (5, 0.25)])
+def test_full_shards_exchange_documents(spark, size, most):
+    """Every row has copies, so nothing is left as ballast."""
+    groups = 12_000 // size
+    docs = spark.range(groups * size).select(F.col("id").alias("doc_id"), (F.col("id") % groups).cast("string").alias("text"))
+    out = sharding.shard_documents(docs).toPandas()
+    sizes = out.groupby("shard").size()
+    assert len(sizes) == 24 and sizes.max() - sizes.min() <= 1 and len(out) == groups * size
+    largest = out.groupby(["text_crc32", "shard"]).size().groupby("text_crc32").max()
+    assert (size - largest).sum() < most * (size - 1) * groups  # links between shards
+
+
 def test_propagation_follows_links(spark):
     nodes = spark.range(240).withColumnRenamed("id", "node")
     chain = [(i, i + 1) for i in range(239) if (i + 1) % 6]
@@ -281,6 +302,13 @@ def near_sets(rng, n, size, kept):
     return [np.unique(np.r_[rng.choice(base, kept, replace=False), rng.integers(0, 1 << 62, size - kept).astype(np.uint64)]) for _ in range(n)]
 
 
+def test_links_that_sketches_may_miss_are_refused(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
+    for percent in (50, 74, 101):
+        with pytest.raises(ValueError):
+            near_dedup.near_components(docs, percent=percent)
+
+
 def test_union_sketches_against_plain_sets():
     rng = np.random.default_rng(1)
     k = near_dedup.SKETCH
@@ -570,6 +598,20 @@ def test_fine_ranges_give_the_same_scores(spark, sf):
     assert len(rng) > 15 and rng["count"].max() < 40 and rng.r.min() >= 0
 
 
+def test_ranges_of_near_long_texts_and_of_one_id(spark):
+    most = 20_000
+    long = [(i, " ".join(f"w{i}x{k % 50}" for k in range(1500))) for i in range(40)] + [(10_000 + 50 * i, "short text") for i in range(2000)]
+    one = [(7, f"text number {i} " * 20) for i in range(1500)]
+    for rows in (long, one):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        ranged = lm_scoring._split_large(docs.withColumn("rng", lm_scoring._ranges(docs, most)), most)
+        sizes = [r["n"] for r in ranged.groupBy("rng").agg(F.sum(F.octet_length("text")).alias("n")).collect()]
+        assert len(rows) == ranged.count() and max(sizes) < 2 * most and len(sizes) > 10
+        score = lambda size: {(r["doc_id"], r["n_tokens"]): r["score"] for r in lm_scoring.score_documents(docs, range_bytes=size).collect()}  # noqa: B023, E731
+        fine, whole = score(most), score(10**9)
+        assert fine.keys() == whole.keys() and all(math.isclose(fine[k], whole[k], rel_tol=1e-9) for k in fine)
+
+
 def test_lm_base_and_totals(spark, sf, docs):
     out = QUERIES["op8_lm_scoring"](spark, sf).toPandas().set_index("doc_id")
     held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in docs}

@@ -6,17 +6,24 @@ it allow. So titles are indexed by (l, d, number of the segment, its letters), a
 segment may stand, for every l that is possible; candidates come from an equi-join, are made distinct, and only then compared, with a distance that stops
 early. Segments for which nothing is left of a title are empty and match, so any percentage is exact.
 
+What a title asks with grows with the cube of d, so pairs whose longer title allows more than MOST_EDITS are found another way: as all pairs in
+neighbouring bands of a geometric scale of lengths.
+
 Defined results: titles are given distinct; a null title is no title; an empty one is like nothing but another empty one, of which there is none; titles may be of
-any length, the rows that one asks with growing with the cube of d; an empty table gives no pairs.
+any length; an empty table gives no pairs.
 """
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import rounded
 
+MOST_EDITS = 24
+
 
 def most_edits(longer: Column, least: int) -> Column:
     """The greatest distance at which titles, the longer of this length, are still `least` percent alike when rounded."""
@@ -59,10 +66,25 @@ def asked(titles: DataFrame, least: int) -> DataFrame:
     return t.select("l", "d", "i", F.substring("title", F.col("_s") + F.col("_by") + 1, F.col("_n")).alias("seg"), "ka").distinct()
 
 
+def _of_long(t: DataFrame, least: int) -> DataFrame:
+    """Pairs (ka, kb) of near lengths whose longer title, kb, allows more than MOST_EDITS."""
+    n = F.char_length("title")
+    if least <= 50:  # bands would be too wide to tell anything
+        band = F.lit(0)
+    else:
+        band = F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) * (-0.999 / log((least - 0.5) / 100))).cast("int")
+    sized = t.select("key", n.alias("n"), most_edits(n, least).alias("d"), band.alias("band"))
+    long = sized.where(F.col("d") > MOST_EDITS).select(F.col("key").alias("kb"), F.col("n").alias("nb"), F.col("d").alias("db"), "band")
+    near = sized.select(F.col("key").alias("ka"), F.col("n").alias("na"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    fits = (F.col("na") <= F.col("nb")) & (F.col("nb") - F.col("na") <= F.col("db")) & (F.col("ka") != F.col("kb"))
+    return near.join(long, "band").where(fits).select("ka", "kb")
+
+
 def candidates(titles: DataFrame, least: int = 70) -> DataFrame:
     """Pairs (a, b), a < b, that share a segment; every pair of at least `least` percent is among them."""
     t = titles.where("title IS NOT NULL")
-    both = asked(t, least).join(segments(t, least), ["l", "d", "i", "seg"]).where("ka <> kb")
+    short = t.where(most_edits(F.char_length("title"), least) <= MOST_EDITS)
+    both = asked(short, least).join(segments(short, least), ["l", "d", "i", "seg"]).where("ka <> kb").select("ka", "kb").unionAll(_of_long(t, least))
     return both.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct()
 
 

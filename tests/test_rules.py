@@ -76,6 +76,18 @@ def test_similar_pairs_against_all_pairs(spark, least):
     assert len(got) == len(set(got)) and set(got) == {w for w in want if w[2] >= least}
 
 
+@pytest.mark.parametrize("least", [50, 70, 90])
+def test_titles_too_long_for_the_index(spark, least):
+    rng = random.Random(least)
+    titles = ["".join(rng.choice("abc ") for _ in range(rng.choice([30, 70, 90, 140, 300, 900]))) for _ in range(30)]
+    titles += ["".join(rng.choice("xyz") if rng.random() < 0.15 else c for c in t) for t in titles]
+    titles = [*dict.fromkeys(titles), "q" * 9000, "q" * 8800]
+    df = spark.createDataFrame(list(enumerate(titles)), "key long, title string")
+    want = {(i, j, alike(titles[i], titles[j])) for i in range(len(titles) - 2) for j in range(i + 1, len(titles) - 2)}
+    want = {w for w in want if w[2] >= least} | {(len(titles) - 2, len(titles) - 1, 98)}
+    assert set(map(tuple, M.similar_pairs(df, least).collect())) == want
+
+
 def test_few_pairs_are_compared(spark):
     rng = random.Random(9)
     titles = ["".join(rng.choice("abcdefghijklmnop ") for _ in range(rng.randrange(40, 61))) for _ in range(300)]

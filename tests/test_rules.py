@@ -79,7 +79,7 @@ def test_similar_pairs_against_all_pairs(spark, least):
 @pytest.mark.parametrize("least", [50, 70, 90])
 def test_titles_too_long_for_the_index(spark, least):
     rng = random.Random(least)
-    titles = ["".join(rng.choice("abc ") for _ in range(rng.choice([30, 70, 90, 140, 300, 900]))) for _ in range(30)]
+    titles = ["".join(rng.choice("abc ") for _ in range(rng.choice([30, 70, 90, 140, 260]))) for _ in range(16)]
     titles += ["".join(rng.choice("xyz") if rng.random() < 0.15 else c for c in t) for t in titles]
     titles = [*dict.fromkeys(titles), "q" * 9000, "q" * 8800]
     df = spark.createDataFrame(list(enumerate(titles)), "key long, title string")

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions.dates import in_window
 from ..functions.keywords import boundary_any, contains_any, count_matches, points
+from ..functions.once import computed, spread
 from ..sources import rulepacks as R
 from ..work import save
 
@@ -70,10 +71,16 @@ def agri_score(books: DataFrame, pack: dict[str, list[str]] | None = None, requi
     full = F.concat_ws(" ", _low("title"), _low("author"), _low("publisher"), _low("series"))
     text = F.concat_ws(" ", _low("title"), _low("author"), _low("series"), _low("description"))
     noise = {w.lower() for w in R.BOOK_SCORING_NOISE}
+    books = computed(spread(books), _full=full, _text=text)
+    full, text = F.col("_full"), F.col("_text")
     score, cats = points(text, [(k, p, [w for w in pack[k] if w.lower() not in noise]) for k, p in R.BOOK_POINTS], boundary_any)
+    books = computed(books, _points=F.struct(score.alias("score"), cats.alias("cats")))
+    score, cats = F.col("_points.score"), F.col("_points.cats")
     reason = F.when(contains_any(full, exclusion), "generic").when(contains_any(full, tech_exclusion), "off topic").when(contains_any(full, R.EXAM_EXCLUSION), "exam").when(~boundary_any(text, required), "no required theme")
     reason = reason.when(~F.arrays_overlap(cats, F.array(*map(F.lit, ("core", "tech", "consumer", "social", "policy")))), "no core domain")
-    return books.withColumns({"exclude_reason": reason, "keyword_score": F.when(reason.isNull(), score).otherwise(-1), "categories": F.when(reason.isNull(), cats).otherwise(F.array(reason))})
+    judged = computed(books, exclude_reason=reason)
+    reason = F.col("exclude_reason")
+    return judged.withColumns({"keyword_score": F.when(reason.isNull(), score).otherwise(-1), "categories": F.when(reason.isNull(), cats).otherwise(F.array(reason))}).drop("_full", "_text", "_points")
 
 
 def popular_score(books: DataFrame, themes=R.REVIEW_THEMES, hooks: Sequence[str] = R.REVIEW_PRIORITY_HOOK, engaging: Sequence[str] = R.REVIEW_HIGH_ENGAGEMENT, practical: Sequence[str] = R.REVIEW_PRACTICAL_APPLICATION, series: Sequence[str] = R.REVIEW_SERIES_FRIENDLY, own: Sequence[str] = R.REVIEW_SELF_CONNECTION, pv: Sequence[str] = R.REVIEW_PV, story: Sequence[str] = R.REVIEW_STORY_LEARNING, exclusion: Sequence[str] = R.EXCLUSION, people: tuple[int, ...] = (0, 5), tale: int = 7) -> DataFrame:
@@ -81,6 +88,8 @@ def popular_score(books: DataFrame, themes=R.REVIEW_THEMES, hooks: Sequence[str]
     themes whose readers respond to engaging words, and of the stories."""
     full = F.concat_ws(" ", _low("title"), _low("author"), _low("publisher"))
     text = F.concat_ws(" ", _low("title"), _low("author"), _low("description"))
+    columns, books = books.columns, computed(spread(books), _full=full, _text=text)
+    full, text = F.col("_full"), F.col("_text")
     counted = [count_matches(text, words) for _, _, words in themes]
     flags = [boundary_any(text, w) for w in (hooks, engaging, practical, series, own, pv, story)]
     excludes = [contains_any(full, exclusion), contains_any(full, R.LIGHT_NOVEL_EXCLUSION), contains_any(full, R.EXAM_EXCLUSION), contains_any(text, R.REVIEW_TARGET_EXCLUSION)]
@@ -109,9 +118,9 @@ def popular_score(books: DataFrame, themes=R.REVIEW_THEMES, hooks: Sequence[str]
         reason = F.coalesce(reason, F.when(axes == 0, "no theme"), F.when((axes < 2) & ~hook, "no hook"))
         return F.struct(reason.alias("exclude_reason"), F.when(reason.isNull(), score).otherwise(-1).cast("int").alias("keyword_score"), F.when(reason.isNull(), cats).otherwise(F.array(reason)).alias("categories"))
 
-    seen = F.array(*counted, *(f.cast("int") for f in (*flags, *excludes)))
-    out = books.withColumn("_judged", F.get(F.transform(F.array(seen), judged), F.lit(0)))
-    return out.select(*books.columns, "_judged.exclude_reason", "_judged.keyword_score", "_judged.categories")
+    seen = computed(books, _seen=F.array(*counted, *(f.cast("int") for f in (*flags, *excludes))))
+    out = computed(seen, _judged=F.get(F.transform(F.array("_seen"), judged), F.lit(0)))
+    return out.select(*columns, "_judged.exclude_reason", "_judged.keyword_score", "_judged.categories")
 
 
 def first_branch(branches: Sequence[DataFrame]) -> DataFrame:

@@ -240,3 +240,16 @@ def test_stream_equals_batch(spark, tmp_path):
         append_batches(discussion_rows(stream, starters, "own", "m", "g"), str(tmp_path / "log"), str(tmp_path / "check")).awaitTermination()
     got = sorted(r["message_id"] for r in spark.read.parquet(str(tmp_path / "log")).collect())
     assert got == sorted(r["message_id"] for r in discussion_rows(batch, starters, "own", "m", "g").collect()) == [i for i in range(60) if i % 5 and i % 7 and i % 4 == 1]
+
+
+def a_few_books(spark, n=40):
+    return spark.range(n).select(F.col("id").cast("int").alias("ord"), F.concat(F.lit("red ring "), F.col("id")).alias("title"), *(F.lit("steel").alias(c) for c in ("author", "publisher", "series", "description")), F.concat(F.lit("2001-10-0"), F.col("id") % 9 + 1).alias("pubdate"), F.lit(9).alias("review_count"), F.lit(4.5).alias("review_average"))
+
+
+RINGS = {"themes": [("metal", 12, ["ring"]), ("colour", 10, ["red"])], "people": (0, 1), "tale": 1}
+
+
+@pytest.mark.parametrize("score", [lambda b: B.popular_score(b, **RINGS), B.agri_score])
+def test_few_bytes_of_books_are_scored_in_many_tasks(spark, score):
+    assert score(a_few_books(spark).coalesce(1)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert score(a_few_books(spark)).columns == [*a_few_books(spark).columns, "exclude_reason", "keyword_score", "categories"]

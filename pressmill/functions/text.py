@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -180,16 +178,17 @@ def body_text(html: str) -> str:
     return next((t for t in found if t is not None), "") or paragraphs or ""
 
 
-@F.pandas_udf(StringType())
-def _raw_body(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in pages:
-        yield s.map(lambda h: body_text(h) if h else "")
+# Pages go to Python a hundred at a time, not in Arrow batches of up to 10,000 or 64 MB: the parser needs but one, and its time is all the time there is.
 
 
-@F.pandas_udf(StringType())
-def _raw_guide(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in pages:
-        yield s.map(lambda h: next((t for t in element_texts(h, GUIDE_BODY, GUIDE_DROP) if t and len(t.strip()) > 200), "") if h else "")
+@F.udf(StringType(), useArrow=False)
+def _raw_body(h: str | None) -> str:
+    return body_text(h) if h else ""
+
+
+@F.udf(StringType(), useArrow=False)
+def _raw_guide(h: str | None) -> str:
+    return next((t for t in element_texts(h, GUIDE_BODY, GUIDE_DROP) if t and len(t.strip()) > 200), "") if h else ""
 
 
 def page_body(html: Column, most: int = 8000) -> Column:

@@ -253,3 +253,11 @@ RINGS = {"themes": [("metal", 12, ["ring"]), ("colour", 10, ["red"])], "people":
 def test_few_bytes_of_books_are_scored_in_many_tasks(spark, score):
     assert score(a_few_books(spark).coalesce(1)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert score(a_few_books(spark)).columns == [*a_few_books(spark).columns, "exclude_reason", "keyword_score", "categories"]
+
+
+def test_pages_go_to_python_in_small_groups(spark):
+    pages = spark.range(1).select(F.lit("<article>a  b</article>").alias("html"))
+    for body in (X.page_body(F.col("html")), X.guide_body(F.col("html"), F.lit("none"))):
+        plan = pages.select(body.alias("body"))._jdf.queryExecution().executedPlan().toString()
+        assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+    assert pages.select(X.page_body(F.col("html")).alias("body")).first()["body"] == "a b"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.dates import sales_date
+from ..functions.once import computed, spread
 from ..functions.text import strip_isbn, trim_all
 from ..operators.news import interesting
 
@@ -91,22 +92,23 @@ def release_hints(pages: DataFrame, words: Sequence[str] | None = None, html: st
     words, only books with one of them in their hints or the text around."""
     block = r"(?s)(<(?:tr|li|div)\b[^>]*>(?:(?!<(?:tr|li|div)\b).)*?<a[^>]*href=\"[^\"]*/bd/isbn/[0-9]{13}[^\"]*\"[^>]*>.*?</a>.*?(?=</?(?:tr|li|div)\b|$))"
     bare = r'(?s)(<a[^>]*href="[^"]*/bd/isbn/[0-9]{13}[^"]*"[^>]*>.*?</a>)'
-    blocks, links = F.regexp_extract_all(html, F.lit(block), F.lit(1)), F.regexp_extract_all(html, F.lit(bare), F.lit(1))
-    link = pages.select(F.posexplode(F.when(F.size(blocks) > 0, blocks).otherwise(links)).alias("ord", "b"))
-    link = link.withColumn("a", F.regexp_extract("b", bare, 1))
+    blocks, links = F.regexp_extract_all("_html", F.lit(block), F.lit(1)), F.regexp_extract_all("_html", F.lit(bare), F.lit(1))
+    found = computed(spread(pages.select(F.col(html).alias("_html"))), _blocks=blocks)
+    found = computed(found, _found=F.when(F.size("_blocks") > 0, F.col("_blocks")).otherwise(links))
+    link = computed(found.select(F.posexplode("_found").alias("ord", "b")), a=F.regexp_extract("b", bare, 1))
     plain = lambda c: trim_all(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", ""), "\\s+", " "))
-    around, text, alt = plain("b"), plain("a"), F.regexp_extract("a", 'alt="([^"]*)"', 1)
+    link = computed(link, around=plain("b"), text=plain("a"), alt=F.regexp_extract("a", 'alt="([^"]*)"', 1))
+    around, text, alt = F.col("around"), F.col("text"), F.col("alt")
     hint = lambda p: F.regexp_extract(around, p, 1)
     day = F.regexp_extract(around, "([0-9]{4}[/年-]\\s?[0-9]{1,2}[/月-]\\s?[0-9]{1,2})", 1)
-    out = link.select(
-        "ord",
-        F.regexp_extract("a", "/bd/isbn/([0-9]{13})", 1).alias("isbn"),
-        F.when(text != "", text).when(alt != "", alt).otherwise(F.substring(around, 1, 120)).alias("title"),
-        hint("出版社[:：]?\\s*([^\\s|｜/／]+)").alias("publisher"),
-        hint("著者?[:：]?\\s*([^\\s|｜/／]+)").alias("author"),
-        F.regexp_replace(F.regexp_replace(day, "\\s", ""), "[/年月]", "-").alias("pubdate"),
-        around.alias("around"),
-    )
+    out = computed(
+        link,
+        isbn=F.regexp_extract("a", "/bd/isbn/([0-9]{13})", 1),
+        title=F.when(text != "", text).when(alt != "", alt).otherwise(F.substring(around, 1, 120)),
+        publisher=hint("出版社[:：]?\\s*([^\\s|｜/／]+)"),
+        author=hint("著者?[:：]?\\s*([^\\s|｜/／]+)"),
+        pubdate=F.regexp_replace(F.regexp_replace(day, "\\s", ""), "[/年月]", "-"),
+    ).select("ord", "isbn", "title", "publisher", "author", "pubdate", "around")
     if words is not None:
         out = out.where(interesting(words, *map(F.col, ("title", "author", "publisher", "around"))))
     return out.drop("around").withColumn("_n", F.row_number().over(Window.partitionBy("isbn").orderBy("ord"))).where("_n = 1").drop("_n")

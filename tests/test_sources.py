@@ -136,3 +136,13 @@ def test_fallbacks(spark):
     said = lambda: lambda prompts: ['x {"titleJa": "T", "technicalTerms": {"a": "b"}} y' for _ in prompts]
     got = models.translated(a.withColumn("body", F.lit(None).cast("string")), said).collect()
     assert [(r["title"], r["translation"]["titleJa"], r["translation"]["technicalTerms"]) for r in got] == [("t", "T", {"a": "b"})]
+
+
+def test_hints_are_read_once_and_in_many_tasks(spark):
+    html = '<ul><li><a href="https://shop.example/bd/isbn/9780000000001">ring</a> 著者：a-b 出版社：c 2024年1月5日</li></ul>'
+    pages = spark.createDataFrame([(html,)], "html string").coalesce(1)
+    out = readers.release_hints(pages, ["ring"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert sum("tr|li|div" in line for line in plan) == 1 and sum("著者" in line for line in plan) == 1
+    assert any("Repartition" in line for line in plan)
+    assert [tuple(r) for r in out.select("isbn", "title", "author", "publisher", "pubdate").collect()] == [("9780000000001", "ring", "a-b", "c", "2024-1-5")]

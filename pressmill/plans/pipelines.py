@@ -78,7 +78,7 @@ def repost(books: DataFrame, as_of: Column, least: int = REPOST_LEAST, **rules)
 
 def pick(candidates: DataFrame, chooser: Callable[[DataFrame], DataFrame] | None, k: int = 8) -> DataFrame:
     """One of the k best: the number that a chooser's JSON answer names, else the first. The chooser sees k rows."""
-    best = N.top(candidates, k, F.desc("total"), *B.by_date(candidates))
+    best = save(N.top(candidates, k, F.desc("total"), *B.by_date(candidates)), "best")  # so that the candidates are scored once
     if chooser is None:
         return best.where("rank = 1")
     named = chooser(best).select(json_object(F.col("answer"), "index int, reason string")["index"].alias("_index")).agg(F.max("_index").alias("_index"))

@@ -255,6 +255,19 @@ def test_few_bytes_of_books_are_scored_in_many_tasks(spark, score):
     assert score(a_few_books(spark)).columns == [*a_few_books(spark).columns, "exclude_reason", "keyword_score", "categories"]
 
 
+def test_pick_asks_for_its_candidates_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def total(ord):
+        seen.add(1)
+        return ord
+
+    candidates = a_few_books(spark).select("ord", "pubdate", total.asNondeterministic()("ord").alias("total")).withColumn("pub_date", F.lit(None).cast("date"))
+    assert P.pick(candidates, lambda best: best.agg(F.lit('{"index": 2}').alias("answer"))).first()["ord"] == 38
+    assert seen.value == 40
+
+
 def test_pages_go_to_python_in_small_groups(spark):
     pages = spark.range(1).select(F.lit("<article>a  b</article>").alias("html"))
     for body in (X.page_body(F.col("html")), X.guide_body(F.col("html"), F.lit("none"))):

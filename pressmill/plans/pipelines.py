@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import freshness_bonus, not_far_future, parse_pubdate, quality_bonus
 from ..functions.keywords import contains_any
+from ..functions.once import computed
 from ..functions.text import escape_brackets, host, json_object, page_body, shorten
 from ..operators import books as B
 from ..operators import news as N
@@ -52,7 +53,7 @@ def global_research(articles: DataFrame, posted: DataFrame, as_of: Column, k: in
 
 def scored_books(books: DataFrame, as_of: Column, popular: bool, **rules) -> DataFrame:
     """keyword score, bonuses and total of all books."""
-    out = (B.popular_score if popular else B.agri_score)(books, **rules).withColumn("pub_date", parse_pubdate(F.col("pubdate")))
+    out = computed((B.popular_score if popular else B.agri_score)(books, **rules), pub_date=parse_pubdate(F.col("pubdate")))
     fresh, good = freshness_bonus(F.col("pub_date"), F.to_date(as_of)), quality_bonus(F.col("review_count"), F.col("review_average"), F.col("description"))
     return out.withColumns({"freshness": fresh, "quality": good}).withColumn("total", F.col("keyword_score") + F.col("freshness") + F.col("quality"))
 

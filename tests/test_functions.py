@@ -268,6 +268,12 @@ def test_pick_asks_for_its_candidates_once(spark):
     assert seen.value == 40
 
 
+def test_dates_of_reposts_are_read_once(spark):
+    books = a_few_books(spark)
+    plan = P.repost(books, F.lit("2001-10-15 00:00:00").cast("timestamp_ntz"), **RINGS)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("[-/年月日]" in line for line in plan.splitlines()) == 1
+
+
 def test_pages_go_to_python_in_small_groups(spark):
     pages = spark.range(1).select(F.lit("<article>a  b</article>").alias("html"))
     for body in (X.page_body(F.col("html")), X.guide_body(F.col("html"), F.lit("none"))):

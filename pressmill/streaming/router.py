@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.once import computed
 from .store import BatchStore
 
 #: The kinds of posts, and the columns of their logs.
@@ -40,15 +41,19 @@ def _lines(c: Column) -> Column:
 def judged(posts: DataFrame) -> DataFrame:
     """posts (body, received_at) with `type`, and `reason` where a post is rejected."""
     field = lambda path: F.get_json_object("body", path)
-    reason = F.when(field("$").isNull() | ~F.startswith(F.trim("body"), F.lit("{")), "no JSON object")
-    kind = field("$.type")
+    read, kind = computed(posts, type=field("$.type"), _json=field("$").isNotNull()), F.col("type")
+    reason = F.when(~F.col("_json") | ~F.startswith(F.trim("body"), F.lit("{")), "no JSON object")
     reason = reason.when(~F.coalesce(kind.isin(list(LOGS)), F.lit(False)), "unknown kind").when((kind == "addArticles") & ~F.coalesce(F.startswith(field("$.articles"), F.lit("[")), F.lit(False)), "no articles")
-    return posts.select("body", "received_at", kind.alias("type"), reason.alias("reason"))
+    return read.select("body", "received_at", "type", reason.alias("reason"))
 
 
 def routed(posts: DataFrame) -> dict[str, DataFrame]:
     """The rows of each log, and `rejected`. Fields are read as text by the schema of their kind."""
-    read = judged(posts)
+    return _fanned(judged(posts))
+
+
+def _fanned(read: DataFrame) -> dict[str, DataFrame]:
+    """The same for posts that are judged."""
     out = {}
     for kind in LOGS:
         names = _names(kind)
@@ -73,11 +78,11 @@ def run_router(posts: DataFrame, store: BatchStore, checkpoint: str) -> Streamin
     """posts (body, received_at), a stream, to the tables of the store."""
 
     def fan_out(df: DataFrame, number: int) -> None:
-        df.persist()  # six tables of one reading
+        read = judged(df).persist()  # six tables of one reading, each post judged once
         try:
-            store.write(number, routed(df))
+            store.write(number, _fanned(read))
         finally:
-            df.unpersist()
+            read.unpersist()
 
     return posts.writeStream.foreachBatch(fan_out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

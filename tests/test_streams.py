@@ -192,3 +192,16 @@ def test_nothing_is_left_behind(spark, sf, name):
     assert work.mark(spark) - before and {p.name for p in folder.iterdir()} > there
     work.release(spark, but=before)
     assert {p.name for p in folder.iterdir()} == there
+
+
+def test_posts_are_judged_once(spark, tmp_path, monkeypatch):
+    """Six tables, but each post's kind is read from its text one time."""
+    posts = spark.createDataFrame([('{"type":"news","title":"t"}', "now"), ('{"type":"none"}', "now"), ("{broken", "now"), (None, "now")], "body string, received_at string")
+    posts.write.parquet(str(tmp_path / "posts"))
+    plans, fanned = [], router._fanned
+    monkeypatch.setattr(router, "_fanned", lambda read: plans.extend(d._jdf.queryExecution().optimizedPlan().toString() for d in fanned(read).values()) or fanned(read))
+    store = BatchStore(spark, str(tmp_path / "logs"))
+    router.run_router(spark.readStream.schema(posts.schema).parquet(str(tmp_path / "posts")), store, str(tmp_path / "checkpoint")).awaitTermination()
+    assert len(plans) == 6 and all(p.splitlines().index(next(x for x in p.splitlines() if "InMemoryRelation" in x)) < min(i for i, x in enumerate(p.splitlines()) if "$.type" in x) for p in plans)
+    assert router.log(store, "news").count() == 1
+    assert sorted(r["reason"] for r in router.log(store, "rejected").collect()) == ["no JSON object", "no JSON object", "unknown kind"]

@@ -22,6 +22,8 @@ from ..functions.text import json_object
 
 Client = Callable[[list[str]], Sequence[str | None]]
 BATCH, ATTEMPTS, PAUSE, LONGEST_ERROR = 16, 3, 0.5, 500
+#: Batches of prompts whose rows go on together.
+GROUPS = 16
 
 
 def _asked(client: Client, prompts: list[str], attempts: int, pause: float) -> Sequence[str | None]:
@@ -57,16 +59,21 @@ def ask(df: DataFrame, prompt: Column, factory: Callable[[], Client], batch: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client = None
         for rows in batches:
-            prompts = rows.column(1).to_pylist()
-            at = [i for i, p in enumerate(prompts) if p is not None]
-            got: list[tuple[str | None, str | None]] = [(None, None)] * len(prompts)
-            if at and client is None:
-                client = factory()
-            for s in range(0, len(at), batch):
-                some = at[s : s + batch]
-                for i, r in zip(some, answered(client, [prompts[i] for i in some], attempts, pause), strict=True):
-                    got[i] = r
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([a for a, _ in got], pa.string()), pa.array([e for _, e in got], pa.string())], names=["row", "answer", "error"])
+            texts, start = rows.column(1), 0
+            at = [i for i, there in enumerate(texts.is_valid().to_pylist()) if there]
+            for s in range(0, max(len(at), 1), batch * GROUPS):  # only so many prompts and answers are held besides the rows
+                here = at[s : s + batch * GROUPS]
+                stop = at[s + len(here)] if s + len(here) < len(at) else rows.num_rows
+                got: list[tuple[str | None, str | None]] = [(None, None)] * (stop - start)
+                if here and client is None:
+                    client = factory()
+                for g in range(0, len(here), batch):
+                    some = here[g : g + batch]
+                    for i, r in zip(some, answered(client, texts.take(pa.array(some)).to_pylist(), attempts, pause), strict=True):
+                        got[i - start] = r
+                yield pa.RecordBatch.from_arrays([rows.column(0).slice(start, stop - start), pa.array([a for a, _ in got], pa.string()), pa.array([e for _, e in got], pa.string())], names=["row", "answer", "error"])
+                start = stop
+            del rows, texts  # before the next ones are read
 
     return packed.mapInArrow(run, schema)
 

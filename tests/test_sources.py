@@ -146,3 +146,30 @@ def test_hints_are_read_once_and_in_many_tasks(spark):
     assert sum("tr|li|div" in line for line in plan) == 1 and sum("著者" in line for line in plan) == 1
     assert any("Repartition" in line for line in plan)
     assert [tuple(r) for r in out.select("isbn", "title", "author", "publisher", "pubdate").collect()] == [("9780000000001", "ring", "a-b", "c", "2024-1-5")]
+
+
+def test_a_model_is_asked_in_whole_batches_and_bounded_groups(spark):
+    """Nulls between prompts do not make batches smaller; no more than some batches of answers are held."""
+    pa = pytest.importorskip("pyarrow")
+
+    calls, given = [], []
+
+    class Rows:
+        """What ask() needs of a table, to hand it one batch of rows."""
+
+        columns = ["n"]
+
+        def select(self, row, prompt):
+            return self
+
+        schema = {"row": models.T.StructField("row", models.T.LongType())}
+
+        def mapInArrow(self, run, schema):
+            texts = [None if i % 3 == 0 else str(i) for i in range(3000)]
+            given.extend(run(iter([pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(texts)], names=["row", "prompt"]), pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.string())], names=["row", "prompt"])])))
+
+    models.ask(Rows(), F.lit("prompt"), lambda: lambda prompts: calls.append(len(prompts)) or prompts)
+    assert calls == [16] * 125
+    whole = pa.Table.from_batches(given)
+    assert whole["row"].to_pylist() == list(range(3000)) and whole["answer"].to_pylist() == [None if i % 3 == 0 else str(i) for i in range(3000)]
+    assert max(b.num_rows for b in given) <= 400

@@ -173,3 +173,58 @@ def test_a_model_is_asked_in_whole_batches_and_bounded_groups(spark):
     whole = pa.Table.from_batches(given)
     assert whole["row"].to_pylist() == list(range(3000)) and whole["answer"].to_pylist() == [None if i % 3 == 0 else str(i) for i in range(3000)]
     assert max(b.num_rows for b in given) <= 400
+
+
+def test_prompts_alone_go_through_python_once(spark, tmp_path):
+    """Rows of whatever type and name stay as they are; a filter and two readers of an answer do not ask twice."""
+    made = str(tmp_path / "asked")
+    Path(made).mkdir()
+
+    def factory():
+        def client(prompts):
+            import uuid
+
+            for p in prompts:
+                Path(f"{made}/{uuid.uuid4().hex}").write_text(p)
+            return ["no" if "t1" in p else None if "t2" in p else '{"titleJa": "T", "insight": "I", "questions": [], "summary": "S"}' for p in prompts]
+
+        return client
+
+    a = spark.range(30, numPartitions=3).select(
+        F.concat(F.lit("t"), F.col("id") % 3).alias("title"), F.lit("s" * 300).alias("snippet"), F.when(F.col("id") > 3, "b" * 300).alias("body"), F.col("id").alias("answer"), F.lit("own").alias("a.b"),
+        F.expr("make_ym_interval(1, CAST(id AS INT))").alias("span"), F.expr("TIMESTAMP '2024-10-27 01:30:00' + make_dt_interval(0, CAST(id AS INT))").alias("at"),
+    )
+    text = lambda df: sorted(map(tuple, df.select("answer", F.col("`a.b`"), F.col("span").cast("string"), F.col("at").cast("string"), "title").collect()))
+    for out, prompts, kept in ((models.translated(a, factory), 30, "id % 3 = 0"), (models.with_insight(a, F.lit("x"), factory), 30, "true"), (models.with_guide_summary(a, factory), 26, "true")):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" not in plan and plan.count("ArrowEvalPython [") == 1
+        before = len(list(Path(made).iterdir()))
+        assert len(out.drop("span").collect()) == (10 if kept != "true" else 30) and len(list(Path(made).iterdir())) - before == prompts
+        assert text(out) == text(a.where(kept.replace("id", "answer")))
+
+
+@pytest.mark.parametrize("batch", [1, 3, 100])
+def test_replies_are_those_of_ask(spark, tmp_path, batch):
+    df = spark.createDataFrame([(i, None if i % 4 == 0 else f"p{i}") for i in range(1000)], "i int, p string").repartition(3)
+    made = str(tmp_path / "made")
+    Path(made).mkdir()
+
+    def factory():
+        import uuid
+
+        open(f"{made}/{uuid.uuid4().hex}", "w").close()
+
+        def client(prompts):
+            if "p7" in prompts:
+                raise ValueError("seven")
+            return [None if p == "p9" else p + "!" for p in prompts]
+
+        return client
+
+    calls = {"batch": batch, "attempts": 2, "pause": 0}
+    got = rows(df.select("i", models.reply(F.col("p"), factory, **calls).alias("r")).select("i", "r.answer", "r.error"))
+    assert len(list(Path(made).iterdir())) == 3
+    assert got == rows(models.ask(df, F.col("p"), factory, **calls).select("row.i", "answer", "error"))
+    assert got == sorted(((i, None if i % 4 == 0 or i in (7, 9) else f"p{i}!", "ValueError: seven" if i == 7 else None) for i in range(1000)), key=str)
+    none = df.limit(0).select(models.reply(F.col("p"), factory).alias("r"))
+    assert none.collect() == [] and len(list(Path(made).iterdir())) == 6

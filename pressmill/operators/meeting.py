@@ -4,8 +4,8 @@ A group's titles are of one length. They are dealt to rows of about CHUNK titles
 its home, and home rows stay where they are. A task reads the rows sorted by home, so it holds one home row and one Arrow batch of visitors, whatever a group's size.
 
 Edit distances are worked out in numpy for some thousand pairs at a time, bit-parallel by Myers and Hyyro: a visitor's column of the distance matrix is two words of 64 bits,
-the differences of +1 and -1 between neighbouring cells, and a letter of the home title turns it into the next column. While all titles of the home row have the same letter, as
-those of one form have but for their digits, a visitor has one column for all of them. So a visitor has at most LONGEST letters; home titles may be of any length.
+the differences of +1 and -1 between neighbouring cells, and a letter of the home title turns it into the next column. A visitor has one column for all home titles that begin
+alike so far, as those of one form do up to their digits. A visitor has at most LONGEST letters; home titles may be of any length.
 """
 
 from __future__ import annotations
@@ -47,8 +47,18 @@ class Home:
         self.alphabet = np.unique(texts)
         self.slots = slots  # 0 for every code point that is not in these titles
         slots[self.alphabet] = np.arange(1, len(self.alphabet) + 1)
-        self.columns = slots[texts.T]
-        self.same = (self.columns == self.columns[:, :1]).all(axis=1)
+        columns = slots[texts.T]
+        self.order = np.lexsort(columns[::-1])
+        columns = columns[:, self.order]
+        self.titles = columns.shape[1]
+        #: For each letter: of the starts up to it that differ, the letter and the number of the start that is one letter shorter.
+        self.starts, new, was = [], np.arange(self.titles) == 0, np.zeros(self.titles, np.int64)
+        for column in columns:
+            new = new | (np.diff(column, prepend=column[:1]) != 0)
+            first = np.flatnonzero(new)
+            self.starts.append((column[first].astype(np.int64), was[first]))
+            was = np.cumsum(new) - 1
+        self.last = was
 
     def leave(self) -> None:
         self.slots[self.alphabet] = 0
@@ -69,55 +79,54 @@ class Home:
         return table
 
     def distances(self, letters: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Of home titles by visitors (rows of letters, filled up with anything)."""
-        many, wide = len(sizes), self.columns.shape[1]
+        """Of home titles, in their order, by visitors (rows of letters, filled up with anything)."""
+        many = len(sizes)
         table = self._table(letters)
         up, down = np.full((1, many), ~np.uint64(0)), np.zeros((1, many), np.uint64)
-        diagonal, across, equal = np.empty_like(up), np.empty_like(up), None
-        for column, same in zip(self.columns, self.same, strict=True):
-            if same:
-                now = table[column[:1]]
-            else:
-                if equal is None:
-                    equal = np.empty((wide, many), np.uint64)
-                    up, down = np.repeat(up, wide, axis=0), np.repeat(down, wide, axis=0)
-                    diagonal, across = np.empty_like(up), np.empty_like(up)
-                now = table.take(column, axis=0, out=equal, mode="clip")
+        diagonal, flat, now = (np.empty_like(up) for _ in range(3))
+        for letter, start in self.starts:
+            if len(start) > len(up):
+                up, down = up.take(start, axis=0), down.take(start, axis=0)
+                diagonal, flat, now = (np.empty_like(up) for _ in range(3))
+            table.take(letter, axis=0, out=now, mode="clip")
             np.bitwise_and(now, up, out=diagonal)
             diagonal += up
             diagonal ^= up
             diagonal |= now
-            diagonal |= down
-            np.bitwise_or(diagonal, up, out=across)
-            np.invert(across, out=across)
-            across |= down
+            diagonal |= down  # where a cell is no greater than the one diagonally before it
+            np.bitwise_or(diagonal, up, out=flat)
+            flat ^= down
+            flat <<= ONE  # where a row does not rise; the first row, of no letters, always does
             up &= diagonal
-            across <<= ONE
-            across |= ONE
-            up <<= ONE
-            np.bitwise_and(across, diagonal, out=down)
-            diagonal |= across
-            np.invert(diagonal, out=diagonal)
-            up |= diagonal
+            up <<= ONE  # where it falls
+            np.bitwise_and(diagonal, flat, out=down)
+            flat ^= down
+            up |= flat
+            down ^= diagonal
         inside = ~np.uint64(0) >> (LONGEST - sizes).astype(np.uint64)
-        d = np.bitwise_count(up & inside).astype(np.int16) - np.bitwise_count(down & inside)
-        return np.broadcast_to(d + np.int32(self.size), (wide, many))
+        up &= inside
+        down &= inside
+        d = np.bitwise_count(up).astype(np.int32) - np.bitwise_count(down) + np.int32(self.size)
+        return d if len(d) == self.titles else d.take(self.last, axis=0)
 
     def alike(self, titles: pa.Array, least: float, itself: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Numbers of visitor and home title, and their similarity, where it is at least `least`; of its own titles, pairs in order."""
         codes, sizes = _letters(titles)
         letters = np.zeros((len(sizes), sizes.max()), np.uint32)
         letters[np.arange(letters.shape[1]) < sizes[:, None]] = codes
-        step = max(1, min(PAIRS // self.columns.shape[1], LETTERS // (len(self.alphabet) + 1)))
+        step = max(1, min(PAIRS // self.titles, LETTERS // (len(self.alphabet) + 1)))
+        longest = np.arange(self.size, max(self.size, LONGEST) + 1)[:, None]
+        grades = np.floor((longest - np.arange(longest[-1, 0] + 1)) / longest * 100 + 0.5).astype(np.int32)  # by the longer title's length and the distance
+        most = ((grades >= least).sum(axis=1) - 1).astype(np.int32)
+        longer = np.maximum(sizes - self.size, 0)
         for k in range(0, len(sizes), step):
-            d = self.distances(letters[k : k + step], sizes[k : k + step])
-            longest = np.maximum(sizes[k : k + step], self.size)
-            h, v = np.nonzero(d <= longest * (100.5 - least) / 100 + 1)
-            similarity = np.floor((longest[v] - d[h, v]) / longest[v] * 100 + 0.5).astype(np.int32)
-            kept = similarity >= least
+            d, row = self.distances(letters[k : k + step], sizes[k : k + step]), longer[k : k + step]
+            h, v = np.nonzero(d <= most[row])
+            similarity, h, v = grades[row[v], d[h, v]], self.order[h], v + k
             if itself:
-                kept &= v + k < h
-            yield v[kept] + k, h[kept], similarity[kept]
+                before = v < h
+                similarity, h, v = similarity[before], h[before], v[before]
+            yield v, h, similarity
 
 
 def _compare(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
